@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .fingerprint import as_text, edit_report
+from .mixing import pareto_mix
 from .shared import table
 
 
@@ -14,7 +16,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", F.col("copies").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = pareto_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = edit_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return report.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("lanes")).alias("fingerprint"), as_text(F.col("edited_lanes")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op4_exact_dedup": op4_exact_dedup, "op8_fingerprint": op8_fingerprint}
 
 ORACLE = {
     "op4_exact_dedup": """
