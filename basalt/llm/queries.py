@@ -8,9 +8,22 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_groups
 from .fingerprint import as_text, edit_report
 from .mixing import pareto_mix
+from .packing import pack, pieces
 from .shared import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def packed_documents(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+    """Per piece of docs: its tokens' checksum and its place in the packed sequences."""
+    cut = pieces(docs, tokenizer_file).select("id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack(cut).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", F.col("copies").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -26,7 +39,7 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("lanes")).alias("fingerprint"), as_text(F.col("edited_lanes")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_exact_dedup": op4_exact_dedup, "op8_fingerprint": op8_fingerprint}
+QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op4_exact_dedup": op4_exact_dedup, "op8_fingerprint": op8_fingerprint}
 
 ORACLE = {
     "op4_exact_dedup": """
