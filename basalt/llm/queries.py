@@ -10,6 +10,7 @@ from .fingerprint import as_text, edit_report
 from .mixing import pareto_mix
 from .packing import pack, pieces
 from .shared import table
+from .simhash import near_duplicates
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,12 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("lanes")).alias("fingerprint"), as_text(F.col("edited_lanes")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op4_exact_dedup": op4_exact_dedup, "op8_fingerprint": op8_fingerprint}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash, "op8_fingerprint": op8_fingerprint}
 
 ORACLE = {
     "op4_exact_dedup": """
