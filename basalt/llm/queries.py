@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .fingerprint import as_text, edit_report
+from .language import language_report
 from .mixing import pareto_mix
 from .packing import pack, pieces
 from .shared import table
 from .simhash import near_duplicates
+from .toxicity import toxicity_report
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash, "op8_fingerprint": op8_fingerprint}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity_report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash, "op8_fingerprint": op8_fingerprint, "op10_language": op10_language}
 
 ORACLE = {
     "op4_exact_dedup": """
