@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .fingerprint import as_text, edit_report
+from .html_text import extract
 from .language import language_report
 from .mixing import pareto_mix
 from .packing import pack, pieces
+from .personal_data import KINDS, count_of, personal_data
+from .personal_data import as_text as spans_as_text
 from .shared import table
 from .simhash import near_duplicates
 from .toxicity import toxicity_report
@@ -57,7 +60,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash, "op8_fingerprint": op8_fingerprint, "op10_language": op10_language}
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=("url",))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(spans_as_text(F.col("base")), 256).alias("base_sha256"), spans_as_text(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash, "op7_html_text": op7_html_text, "op8_fingerprint": op8_fingerprint, "op9_personal_data": op9_personal_data, "op10_language": op10_language}
 
 ORACLE = {
     "op4_exact_dedup": """
