@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .fingerprint import as_text, edit_report
+from .fixity import audit, warc_records
 from .html_text import extract
 from .language import language_report
 from .mixing import pareto_mix
@@ -60,6 +61,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of all pages against a replica with planted damage: by the md5 of the id, one page in 16 has a byte changed, one in 256 is lost."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    ours = warc_records(pages)
+    mark = F.md5(F.col("id").cast("string").cast("binary"))
+    damaged = F.when(mark.startswith("0"), F.concat(F.expr("left(record, length(record) - 1)"), F.lit("?"))).otherwise(F.col("record"))
+    theirs = ours.where(~F.coalesce(mark.startswith("1f"), F.lit(False))).withColumn("record", damaged)
+    return audit(ours, theirs).select(F.col("id").alias("page_id"), "status", "digest_a", "length_a", "digest_b", "length_b")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=("url",))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -71,9 +82,21 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(spans_as_text(F.col("base")), 256).alias("base_sha256"), spans_as_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash, "op7_html_text": op7_html_text, "op8_fingerprint": op8_fingerprint, "op9_personal_data": op9_personal_data, "op10_language": op10_language}
+QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_exact_dedup": op4_exact_dedup, "op5_warc_fixity": op5_warc_fixity, "op6_simhash": op6_simhash, "op7_html_text": op7_html_text, "op8_fingerprint": op8_fingerprint, "op9_personal_data": op9_personal_data, "op10_language": op10_language}
 
 ORACLE = {
+    "op5_warc_fixity": """
+        WITH r AS (
+          SELECT page_id, md5(CAST(page_id AS VARCHAR)) AS mark,
+                 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || CAST(page_id AS VARCHAR) || '>'
+                 || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html AS record
+          FROM pages),
+        d AS (
+          SELECT *, CASE WHEN mark LIKE '0%' THEN left(record, length(record) - 1) || '?' ELSE record END AS other FROM r WHERE mark LIKE '0%' OR mark LIKE '1f%')
+        SELECT page_id, CASE WHEN mark LIKE '1f%' THEN 'missing' ELSE 'changed' END AS status,
+               sha256(record) AS digest_a, CAST(strlen(record) + 4 AS BIGINT) AS length_a,
+               CASE WHEN mark LIKE '0%' THEN sha256(other) END AS digest_b, CASE WHEN mark LIKE '0%' THEN CAST(strlen(other) + 4 AS BIGINT) END AS length_b
+        FROM d""",
     "op4_exact_dedup": """
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,

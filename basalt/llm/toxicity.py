@@ -16,12 +16,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -289,16 +290,25 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
     return model
 
 
+def toxicity_of(spark: SparkSession, model: ToxicityModel) -> Callable[[Column], Column]:
+    """A function from a text column to its scores."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf(T.DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(t or "") for t in texts], dtype=float)
+
+    return lambda text: score(text.cast("string"))
+
+
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), toxicity_of(docs.sparkSession, model)(F.col(f"`{text_col}`")).alias("score"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], ["id", "score"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("score", T.DoubleType())]))
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """docs with a score below the limit, all columns kept."""
+    return docs.where(toxicity_of(docs.sparkSession, model)(F.col(f"`{text_col}`")) < limit)
 
 
 def fold_is(key: Column, folds: int, held: int) -> Column:

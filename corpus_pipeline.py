@@ -1,16 +1,54 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: toxicity, exact dedup, near-dedup, mixing, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from basalt.llm.exact_dedup import exact_dedup
+from basalt.llm.mixing import mixed
+from basalt.llm.queries import packed_documents
+from basalt.llm.shared import stored, table
+from basalt.llm.simhash import near_dedup
+from basalt.llm.toxicity import drop_toxic, learn
 
+
+def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs that a model, learned from all labelled ones, doesn't call toxic."""
+    return drop_toxic(docs, learn(docs, table(spark, sf_dir, "labels"), folds=1, held=-1))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one of each group of equal texts."""
+    return exact_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one of each group of near copies."""
+    return near_dedup(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs as often as the mix takes them."""
+    return mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of docs and their places in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic_documents), ("exact_dedup", drop_copies), ("simhash_near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+
+#: SQL expresses neither the scores nor the fingerprints; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at + 1 < len(STAGES):
+            docs = stored(docs)
     return docs
