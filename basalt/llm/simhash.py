@@ -1,11 +1,14 @@
 """Near duplicates by SimHash, found through a segment-popcount embedding.
 
-A fingerprint (64 bits) is embedded as its bit counts in 16 segments of 4 bits. The Manhattan distance of two embeddings
+A fingerprint (64 bits) is embedded as its bit counts in 32 segments of 2 bits. The Manhattan distance of two embeddings
 is at most the number of differing bits, so fingerprints within 2 bits lie within distance 2 on the grid. Every
-fingerprint visits its own cell and the cells one step away (33 rows); two fingerprints meet in a cell if, and only if,
+fingerprint visits its own cell and the cells one step away (49 rows on average); two fingerprints meet in a cell if, and only if,
 their embeddings are within distance 2, so this range join is one shuffle keyed by cell. Only fingerprints that meet
 another one go on to the exact test.
 
+Short segments make the bound tight: of unlike fingerprints, about one pair in 10**10 meets by chance, so what
+goes on is what is linked, and its number follows the input.
+
 The exact test is of the same form in all 64 dimensions: two fingerprints differ in at most 2 bits if, and only if, some
 64-bit number differs from each in at most 1 bit. Each candidate links to the smallest fingerprint that meets it at such a number.
 No pairs are made, however large a group of near copies is, and no link is lost.
@@ -25,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small, stored, text_of
+from .shared import stored, text_of
 
 SHINGLE_WORDS, SEED = 3, 42
-SEGMENTS, SEGMENT_BITS = 16, 4
+SEGMENTS, SEGMENT_BITS = 32, 2
 
 
 def simhash(text: bytes) -> int:
@@ -66,25 +69,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def cell(bits: Column) -> Column:
-    """The bit counts of all segments, packed into one number: counts of 0 to 4 in fields of 4 bits."""
-    odd, twos = F.lit(0x5555555555555555), F.lit(0x3333333333333333)
+    """The bit counts of all segments, packed into one number: counts of 0 to 2 in fields of 2 bits."""
+    odd = F.lit(0x5555555555555555)
     right, left = bits.bitwiseAND(odd), F.shiftrightunsigned(bits, 1).bitwiseAND(odd)
-    pairs = F.shiftleft(left.bitwiseAND(right), 1).bitwiseOR(left.bitwiseXOR(right))  # a sum could overflow
-    return pairs.bitwiseAND(twos) + F.shiftrightunsigned(pairs, 2).bitwiseAND(twos)
+    return F.shiftleft(left.bitwiseAND(right), 1).bitwiseOR(left.bitwiseXOR(right))
 
 
 def near_cells(at: Column) -> Column:
-    """The cell and those one step away: a segment's count is one more (up to 4) or one less (down to 0)."""
+    """The cell and those one step away: a segment's count is one more (up to 2) or one less (down to 0)."""
     found = [at]
     for low in range(0, SEGMENTS * SEGMENT_BITS, SEGMENT_BITS):
-        count, step = F.shiftrightunsigned(at, low).bitwiseAND(F.lit(7)), F.lit(1 << low).cast("long")
-        found += [F.when(count < SEGMENT_BITS, at + step), F.when(count > 0, at - step)]
+        # counts are 00, 01, 10: one step from 0 or 2 leads to 1, one from 1 to either
+        field = F.shiftrightunsigned(at, low).bitwiseAND(F.lit(3).cast("long"))
+        one, three = _long(1 << low), _long(3 << low)
+        found += [F.when(field == 2, at.bitwiseXOR(three)).otherwise(at.bitwiseXOR(one)), F.when(field == 1, at.bitwiseXOR(three))]
     return F.filter(F.array(*found), lambda c: c.isNotNull())
 
 
+def _long(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
+
+
 def near_points(bits: Column) -> Column:
     """bits and all numbers that differ from it in one bit."""
-    return F.array(bits, *(bits.bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")) for i in range(64)))
+    return F.array(bits, *(bits.bitwiseXOR(_long(1 << i)) for i in range(64)))
 
 
 def candidates(prints: DataFrame) -> DataFrame:
@@ -131,12 +139,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = found.join(distinct, "bits")
     firsts = grouped.groupBy("root").agg(F.min("first_id").alias("linked_id"))
     linked = stored(grouped.join(firsts, "root").select("bits", "linked_id"))
-    ids = stored(distinct.join(small(linked), "bits", "left").select("bits", F.coalesce("linked_id", "first_id").alias("component_id")))
+    ids = stored(distinct.join(linked, "bits", "left").select("bits", F.coalesce("linked_id", "first_id").alias("component_id")))
     return prints.join(ids, "bits").select("id", "bits", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the one with the smallest id. Every column stays."""
     gone = near_duplicates(docs, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__gone"))
-    gone = small(stored(gone.distinct()))
+    gone = stored(gone.distinct())
     return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
