@@ -40,7 +40,7 @@ FEATURES = 8
 
 
 class Trie:
-    """Terms by letters. A term that ends in * is a stem: it matches any word that starts with (about) it."""
+    """Terms by letters. A term that ends in * is a stem: it matches any word that starts with it."""
 
     def __init__(self, terms: list[str]):
         self.terms, self.next, self.word, self.stem = terms, [{}], [-1], [-1]
@@ -53,30 +53,71 @@ class Trie:
                 at = self.next[at][c]
             (self.stem if term.endswith("*") else self.word)[at] = n
 
-    def match(self, word: str) -> tuple[int, int] | None:
-        """Term and edit distance of the closest term within the errors allowed for its length, or None.
-
-        A state of the automaton is a row of the edit-distance table, of which only entries within the bound matter; a branch
-        of the trie ends where no entry is. A word may have one error from 5 letters on, two from 12; stems must start it exactly.
-        """
-        bound = 0 if len(word) < 5 else 1 if len(word) < 12 else 2
-        best: tuple[int, int, int] | None = None
-        todo = [(0, list(range(len(word) + 1)), 0)]
+
+class Automaton:
+    """The Levenshtein automaton of up to `bound` errors, intersected with a trie and made deterministic as words need it.
+
+    A state is a set of (place in the trie, errors so far). Most words leave the automaton after a few letters, and states that were
+    reached once are kept, so a word costs a look-up for each letter.
+    """
+
+    def __init__(self, trie: Trie, bound: int):
+        self.trie, self.bound, self.ids = trie, bound, {}
+        self.steps: list[dict[str, int]] = []
+        self.places: list[dict[int, int]] = []
+        self.ends: list[tuple[int, int, int] | None] = []
+        self.stems: list[int] = []
+        self.start = self._state({0: 0})
+
+    def _state(self, places: dict[int, int]) -> int:
+        """The number of the state, or -1 for the empty one. A letter that is missing from the word takes an error and nothing else."""
+        todo = list(places.items())
         while todo:
-            at, row, depth = todo.pop()
-            if row[-1] <= bound and (n := self.word[at]) >= 0:
-                found = (row[-1], 0, n)
-                best = found if best is None or found < best else best
-            if (n := self.stem[at]) >= 0 and depth <= len(word) and row[depth] == 0:
-                found = (0, 1, n)
-                best = found if best is None or found < best else best
-            for c, below in self.next[at].items():
-                new = [row[0] + 1]
-                for j, d in enumerate(word, 1):
-                    new.append(min(row[j - 1] + (d != c), row[j] + 1, new[j - 1] + 1))
-                if min(new) <= bound:
-                    todo.append((below, new, depth + 1))
-        return None if best is None else (best[2], best[0])
+            at, errors = todo.pop()
+            if errors < self.bound:
+                for below in self.trie.next[at].values():
+                    if places.get(below, self.bound + 1) > errors + 1:
+                        places[below] = errors + 1
+                        todo.append((below, errors + 1))
+        if not places:
+            return -1
+        key = frozenset(places.items())
+        if key not in self.ids:
+            self.ids[key] = len(self.steps)
+            self.steps.append({})
+            self.places.append(places)
+            self.ends.append(min(((e, 0, self.trie.word[at]) for at, e in places.items() if self.trie.word[at] >= 0), default=None))
+            self.stems.append(max((self.trie.stem[at] for at, e in places.items() if e == 0), default=-1))
+        return self.ids[key]
+
+    def _step(self, state: int, letter: str) -> int:
+        after: dict[int, int] = {}
+
+        def reach(at: int, errors: int) -> None:
+            if errors <= self.bound and after.get(at, self.bound + 1) > errors:
+                after[at] = errors
+
+        for at, errors in self.places[state].items():
+            reach(at, errors + 1)
+            for c, below in self.trie.next[at].items():
+                reach(below, errors + (c != letter))
+        found = self.steps[state][letter] = self._state(after)
+        return found
+
+    def match(self, word: str) -> tuple[int, int] | None:
+        """Term and errors of the closest term, or None; of equally close ones a whole word goes before a stem."""
+        at, stem, steps, stems = self.start, -1, self.steps, self.stems
+        for letter in word:
+            to = steps[at].get(letter)
+            at = self._step(at, letter) if to is None else to
+            if at < 0:
+                break
+            if stems[at] >= 0:
+                stem = stems[at]
+        end = self.ends[at] if at >= 0 else None
+        if stem >= 0 and (end is None or end[0] > 0):
+            return stem, 0
+        return None if end is None else (end[2], end[0])
 
 
 @dataclass
@@ -92,10 +133,17 @@ class ToxicityModel:
     window: int = 5
 
     def __post_init__(self):
-        self.trie, self.kept = Trie(self.terms), {}
+        trie = Trie(self.terms)
+        self.automata = [Automaton(trie, bound) for bound in range(3)]
+        self.kept: dict[str, tuple[int, int] | None] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("trie", "kept")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("automata", "kept")}
+
+    def match(self, word: str) -> tuple[int, int] | None:
+        """Term and errors: none are allowed below 5 letters, two from 12 on."""
+        n = len(word)
+        return self.automata[0 if n < 5 else 1 if n < 12 else 2].match(word)
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -105,19 +153,24 @@ class ToxicityModel:
         """place, term, distance, whether within quotation marks."""
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        kept, found, quoted, marks = self.kept, [], False, {}
+        kept, hit = self.kept, {}
+        for word in set(tokens):
+            try:
+                one = kept[word]
+            except KeyError:
+                one = kept[word] = None if word in self.benign or word in QUOTES else self.match(word)
+            if one:
+                hit[word] = one
+        if not hit:
+            return []
+        found, quoted, marks = [], False, {}
         for at, word in enumerate(tokens):
             if word in QUOTES:
                 quoted = not quoted
                 marks[at] = quoted
-                continue
-            try:
-                hit = kept[word]
-            except KeyError:
-                hit = kept[word] = None if word in self.benign else self.trie.match(word)
-            if hit:
-                found.append((at, *hit, quoted))
-        if quoted and found:  # the last mark opens a quotation that never ends
+            elif word in hit:
+                found.append((at, *hit[word], quoted))
+        if quoted:  # the last mark opens a quotation that never ends
             last = max(marks)
             found = [(at, t, d, q and at < last) for at, t, d, q in found]
         return found
@@ -259,7 +312,7 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
     # Words of clean texts that the automaton takes for a term, and that toxic texts have no more often, are no misspellings.
     def resembling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [bool((hit := model.trie.match(word)) and hit[1]) for word in batch.column(0).to_pylist()]
+            keep = [bool((hit := model.match(word)) and hit[1]) for word in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     seen = counts.where("clean > 0 and not endswith(key, '*')").withColumn("odds", strength).where("odds < 2").select("key", "clean")
