@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import os
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -84,14 +86,48 @@ def _decoded(data: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(data.cast("string")), decode(data))
 
 
+def _hidden(root: str, max_bytes: int) -> Iterator[str]:
+    """Relative paths of local files that Spark's readers leave out: those with a part that starts with _ or a dot."""
+    for folder, folders, names in os.walk(root):
+        at = os.path.relpath(folder, root).replace(os.sep, "/")
+        folders[:] = [d for d in folders if f"{d}/" not in IGNORED]
+        for name in names:
+            path = name if at == "." else f"{at}/{name}"
+            full = os.path.join(folder, name)
+            if any(part[0] in "_." for part in path.split("/")) and os.path.isfile(full) and os.path.getsize(full) <= max_bytes:
+                yield path
+
+
+def _read_hidden(spark: SparkSession, root: str, max_bytes: int) -> DataFrame:
+    """path, data. Only the names pass the driver; tasks read the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(os.path.join(root, path), "rb") as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "data"])
+
+    return spark.createDataFrame([(p,) for p in _hidden(root, max_bytes)], "path string").mapInArrow(run, "path string, data binary")
+
+
 def files_from_dir(spark: SparkSession, root: str, *, max_bytes: int = MAX_BYTES, ignore: tuple[str, ...] = (), ignore_files: tuple[str, ...] = (".gitignore",)) -> DataFrame:
-    """path (relative), content, size, language, digest of the text files below root that no ignore pattern excludes."""
+    """path (relative), content, size, language, digest of the text files below root that no ignore pattern excludes.
+
+    Spark's readers pass over names that start with _ or a dot. Below a local root (one that all executors share) those are read
+    too, and so are the root's ignore files; in other stores give their lines as `ignore`.
+    """
     root = root.rstrip("/")
-    lists = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(ignore_files) + "}").load(root)
-    lines = [line for r in sorted(lists.select("path", "content").collect(), key=lambda r: ignore_files.index(r["path"].rsplit("/", 1)[1])) for line in bytes(r["content"]).decode("utf-8", "replace").splitlines()]
+    plain = re.sub("^file:(?://)?(?=/)", "", root)
+    local, lines = "://" not in plain, []
+    for name in ignore_files if local else ():
+        if os.path.isfile(at := os.path.join(plain, name)):
+            with open(at, encoding="utf-8", errors="replace") as f:
+                lines += f.read().splitlines()
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    at = F.expr(f"substring(path, instr(path, '{root.removeprefix('file:').lstrip('/')}/') + {len(root.removeprefix('file:').lstrip('/')) + 1})")
-    rows = found.where(F.col("length") <= max_bytes).select(at.alias("path"), F.col("content").alias("data"))
+    tail = plain.split("://", 1)[-1].lstrip("/") + "/"
+    rows = found.where(F.col("length") <= max_bytes).select(F.expr("substring(path, instr(path, :tail) + length(:tail))".replace(":tail", "'" + tail.replace("\\", "\\\\").replace("'", "\\'") + "'")).alias("path"), F.col("content").alias("data"))
+    if local:
+        rows = rows.unionByName(_read_hidden(spark, plain, max_bytes))
     rows = rows.where(~ignored(F.col("path"), [*IGNORED, *lines, *ignore])).where(~is_binary(F.col("path"), F.col("data")))
     return with_language(rows.select("path", _decoded(F.col("data")).alias("content")))
 

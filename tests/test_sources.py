@@ -1,0 +1,65 @@
+import io
+import tarfile
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from basalt.sources import files as S
+
+
+def test_walk(spark, tmp_path):
+    for name, data in {"a.py": b"x = 1\r\n", "b.bin": b"a\0b", "c.txt": b"t\0t", "node_modules/m.js": b"x", "lib/d.min.js": b"x", "skip/e.py": b"x", "skip/keep.py": b"y", "sub/f.ts": b"z", "big.py": b"#" * 3000, "pkg/__init__.py": b"x", ".env": b"k", "script": b"#!/usr/bin/env python\n", ".gitignore": b"skip/*\n!skip/keep.py\n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    rows = {r["path"]: r for r in S.files_from_dir(spark, str(tmp_path), max_bytes=2000).collect()}
+    assert sorted(rows) == [".env", ".gitignore", "a.py", "c.txt", "pkg/__init__.py", "script", "skip/keep.py", "sub/f.ts"]
+    assert rows["a.py"]["content"] == "x = 1\n" and rows["a.py"]["language"] == "python"
+    assert rows["sub/f.ts"]["language"] == "typescript" and rows["script"]["language"] == "python" and rows["c.txt"]["language"] is None
+
+
+def test_bad_bytes_are_replaced(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes(b"x = '\xff\xe2\x82'\n")
+    assert S.files_from_dir(spark, str(tmp_path)).first()["content"] == b"x = '\xff\xe2\x82'\n".decode("utf-8", "replace")
+
+
+@pytest.mark.parametrize("pattern,path,excluded", [("*.map", "a/b.map", True), ("/a.py", "b/a.py", False), ("/a.py", "a.py", True), ("a/b", "c/a/b", False), ("dist/", "x/dist/y.js", True), ("dist/", "dist", False), ("**/t.py", "x/y/t.py", True), ("a/**", "a/b/c", True), ("f[0-9].py", "f3.py", True), ("f?.py", "f/.py", False), ("# x", "# x", False)])
+def test_ignore_patterns(spark, pattern, path, excluded):
+    assert spark.createDataFrame([(path,)], "p string").select(S.ignored(F.col("p"), [pattern])).first()[0] is excluded
+
+
+def test_last_pattern_wins(spark):
+    row = spark.createDataFrame([("a/x.py",)], "p string").select(S.ignored(F.col("p"), ["*.py", "!x.py"]), S.ignored(F.col("p"), ["!x.py", "*.py"])).first()
+    assert list(row) == [False, True]
+
+
+def archive(kind, members):
+    data = io.BytesIO()
+    if kind == "zip":
+        with zipfile.ZipFile(data, "w") as z:
+            for name, content in members.items():
+                z.writestr(name, content)
+    else:
+        with tarfile.open(fileobj=data, mode="w:gz") as t:
+            for name, content in members.items():
+                info = tarfile.TarInfo(name)
+                info.size = len(content)
+                t.addfile(info, io.BytesIO(content))
+    return data.getvalue()
+
+
+@pytest.mark.parametrize("kind", ["zip", "tar"])
+def test_archives(spark, tmp_path, kind):
+    (tmp_path / "good").write_bytes(archive(kind, {"p/a.py": b"eval(x)", "p/b.bin": b"\0", "node_modules/c.js": b"x"}))
+    (tmp_path / "bad").write_bytes(archive(kind, {"../a.py": b"x"}))
+    (tmp_path / "many").write_bytes(archive(kind, {f"{n}.py": b"x" for n in range(6)}))
+    (tmp_path / "broken").write_bytes(b"no archive")
+    rows = S.files_from_archives(spark, str(tmp_path), max_files=5).collect()
+    assert {r["archive"].rsplit("/", 1)[1]: r["path"] for r in rows if r["error"] is None} == {"good": "p/a.py"}
+    assert sorted(r["archive"].rsplit("/", 1)[1] for r in rows if r["error"]) == ["bad", "broken", "many"]
+
+
+def test_repository(spark):
+    urls = {"https://github.com/a/b": ("a", "b"), "https://github.com/a/b.git": ("a", "b"), "http://www.github.com/a/b/": ("a", "b"), "https://github.com/a": None, "https://github.com/a/b/c": None, "https://evil.com/github.com/a/b": None, "ftp://github.com/a/b": None}
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", S.repository(F.col("u")).alias("r")).collect()
+    assert {r["u"]: tuple(r["r"]) if r["r"] else None for r in rows} == urls
