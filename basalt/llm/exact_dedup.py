@@ -4,8 +4,8 @@ Memtables (slices of the input) flush runs of (digest, smallest id, copies), sor
 the runs of a level into the next and keeps the smallest id of each digest. A bitmap filter of the digests with more than one
 member picks the texts whose bytes are compared, so texts without a copy never move. All of it is DataFrame work in the JVM.
 
-Defined results: null texts count as empty texts; null ids sort after all others; rows that repeat an id share
-its decision; empty input gives an empty result; other columns are ignored.
+Defined results: null texts count as empty texts; null ids sort after all others; rows that repeat an id are
+judged by their own text; empty input gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,8 +110,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select("id", "keep_id", "copies", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without all but the first (smallest id) of equal texts; every column stays."""
-    groups = exact_groups(docs, id_col, text_col, **options)
-    gone = groups.where(~F.col("kept")).select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest: Callable[[Column], Column] = sha256, **options) -> DataFrame:
+    """docs without all but the first (smallest id) of equal texts; every column stays. Of rows that share both id and text one stays."""
+    groups = stored(exact_groups(docs, id_col, text_col, digest=digest, **options).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "kept", "keep_id"))
+    rows = docs.withColumn("__text_digest", digest(normalised(text_of(text_col))))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text_digest") == F.col("__digest"))
+    left = rows.join(groups.where(~F.col("kept")).select("__id", "__digest").distinct(), same, "left_anti")
+    twice = stored(groups.where("kept").groupBy("__id", "__digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    if not twice.isEmpty():
+        once = left.join(twice, same, "left_semi").dropDuplicates([id_col, "__text_digest"])
+        left = left.join(twice, same, "left_anti").unionByName(once)
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

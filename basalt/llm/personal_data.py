@@ -87,13 +87,14 @@ def context_edges(found: DataFrame) -> DataFrame:
     tokens = found.where(F.col("kind") == len(KINDS)).withColumn("inner", F.ltrim(F.col("value"), F.lit(WRAPPING))).where("inner != ''")
     tokens = tokens.withColumn("first", F.col("end") - F.length("inner")).withColumn("inner", F.rtrim(F.col("inner"), F.lit(WRAPPING)))
     tokens = tokens.where("inner != ''").select("row", F.col("first").alias("start"), (F.col("first") + F.length("inner")).alias("end"), F.lower("inner").alias("value"), "before")
-    base = found.where(F.col("kind") < len(KINDS)).select(F.col("row").alias("r"), F.col("kind"), F.col("start").alias("s"), F.col("end").alias("e"))
+    base = found.where(F.col("kind") < len(KINDS)).select(F.col("row").alias("r"), F.col("kind"), F.col("start").alias("s"), F.col("end").alias("e"), F.lower("value").alias("whole"))
     overlap = (F.col("row") == F.col("r")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))
     held = tokens.join(base, overlap, "left")
-    # Only the token in which a span starts is its instance; others (the rest of a spaced number) are parts, which teach nothing.
+    # The instance is the whole span, told at the token in which it starts; its other tokens are parts, which teach nothing.
     state = F.when(F.col("r").isNull(), F.lit(-1)).when(F.col("s") >= F.col("start"), F.col("kind")).otherwise(-2)
-    each = held.groupBy("row", "start", "end", "value", "before").agg(F.max(state).alias("kind"))
-    return each.where("kind != -2").select("row", "start", "end", "value", F.when(F.col("kind") >= 0, F.col("kind")).alias("kind"), F.explode(_cues(F.col("before"))).alias("cue"))
+    each = held.groupBy("row", "start", "end", "value", "before").agg(F.max(F.struct(state.alias("kind"), "whole")).alias("top")).where("top.kind != -2")
+    known = F.col("top.kind") >= 0
+    return each.select("row", "start", "end", F.when(known, F.col("top.whole")).otherwise(F.col("value")).alias("value"), F.when(known, F.col("top.kind")).alias("kind"), F.explode(_cues(F.col("before"))).alias("cue"))
 
 
 def cue_places(docs: DataFrame, cues: DataFrame, text_col: str) -> DataFrame:

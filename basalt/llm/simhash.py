@@ -57,15 +57,15 @@ def simhash(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, bits (the fingerprint as a signed 64-bit number) of every row."""
+    """id, mark (a hash of the text, which tells rows with the same id apart), bits (the fingerprint as a signed 64-bit number) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((simhash(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "bits"])
+            found = np.fromiter((simhash(t) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["id", "mark", "bits"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).cast("binary").alias("body"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("bits", T.LongType())]))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).cast("binary").alias("body"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("mark", T.LongType()), T.StructField("bits", T.LongType())]))
 
 
 def cell(bits: Column) -> Column:
@@ -132,7 +132,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, bits, component_id (the smallest id reachable over links of 2 bits or fewer) of every row of docs."""
+    """id, mark, bits, component_id (the smallest id reachable over links of 2 bits or fewer) of every row of docs."""
     prints = stored(fingerprints(docs, id_col, text_col))
     distinct = stored(prints.groupBy("bits").agg(F.min("id").alias("first_id")))
     found = components(links(stored(candidates(distinct.select("bits")))))
@@ -140,11 +140,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = grouped.groupBy("root").agg(F.min("first_id").alias("linked_id"))
     linked = stored(grouped.join(firsts, "root").select("bits", "linked_id"))
     ids = stored(distinct.join(linked, "bits", "left").select("bits", F.coalesce("linked_id", "first_id").alias("component_id")))
-    return prints.join(ids, "bits").select("id", "bits", "component_id")
+    return prints.join(ids, "bits").select("id", "mark", "bits", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one with the smallest id. Every column stays."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__gone"))
-    gone = stored(gone.distinct())
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    """docs with one row of each component: the one with the smallest id (rows that share it stay together). Every column stays."""
+    gone = near_duplicates(docs, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__mark"))
+    return docs.join(stored(gone.distinct()), same, "left_anti")

@@ -227,8 +227,17 @@ def _counted(rows: DataFrame, find, schema: str) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
+def _unquoted(tokens: list[str]) -> list[str]:
+    """The words that don't stand between quotation marks; a last mark without a partner opens nothing."""
+    marks = [at for at, word in enumerate(tokens) if word in QUOTES]
+    ends = [0, *marks[: len(marks) // 2 * 2], len(tokens)]
+    return [word for a, b in zip(ends[::2], ends[1::2]) for word in tokens[a:b] if word not in QUOTES]
+
+
 def _terms_of(text: str) -> set[str]:
-    words = set(TOKEN.findall(text.lower())) - QUOTES
+    """Words and stems of the text outside quotations."""
+    tokens = TOKEN.findall(text.lower())
+    words = set(tokens) if QUOTES.isdisjoint(tokens) else set(_unquoted(tokens))
     return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
 
 

@@ -1,0 +1,72 @@
+import random
+import zlib
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from basalt.llm.packing import WordTokenizer, best_fit, pack, pieces, sequences
+
+FILE = public_tokenizers.path("word_bpe_49k.json")
+TEXTS = [None, "", "Hello, world!", "naïve Ünïcode ñandú straße", "a1 b2; c_d ... don't e-mail x@y.z", "日本語 текст 😀   nbsp", "<|endoftext|> and <|startoftext|>", "\x00\x1f ctrl", "İstanbul ﬁ ligature Å", "it's THEY'RE we'll", "word " * 9000, "x" * 3000]
+
+
+@pytest.mark.parametrize("text", TEXTS[1:])
+def test_ids_are_the_tokenizers(text):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(FILE)
+    whole.encode_special_tokens = True
+    got = WordTokenizer(FILE).ids(text)
+    assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_best_fit_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(50):
+        lengths, room, want = [rng.randint(1, 20) for _ in range(60)], [], {}
+        for i in sorted(range(60), key=lambda i: -lengths[i]):
+            fitting = [(r, b) for b, r in enumerate(room) if r >= lengths[i]]
+            if not fitting:
+                room.append(20)
+                fitting = [(20, len(room) - 1)]
+            r, b = min(fitting)
+            room[b] = r - lengths[i]
+            want[i] = r
+        bins, offsets, fills = best_fit(lengths, 20)
+        assert len(fills) == len(room) and sorted(fills) == sorted(20 - r for r in room)
+        assert all(20 - o == want[i] for i, o in enumerate(offsets))
+
+
+def test_sequences_hold_every_piece_once(spark):
+    docs = spark.createDataFrame([(n, t, 3) for n, t in enumerate(TEXTS * 20)] + [(None, "null id", 1), (0, "repeated id", 1)], "doc_id long, text string, length int")
+    cut = pieces(docs, FILE)
+    packed = pack(cut.withColumn("crc", F.crc32("ids")).drop("ids"), items_per_task=100).collect()
+    assert len(packed) == cut.count()
+    by = {}
+    for r in packed:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in by.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at and 1 <= length
+            at += length
+        assert at <= 4096
+    total = sum(r["length"] for r in packed)
+    assert len(by) <= -(-total // 4096) + 2
+    starts = {(r["id"], r["piece"]): r["start"] for r in packed if r["id"] not in (None, 0)}
+    assert all(start == 4096 * piece for (_, piece), start in starts.items())
+
+
+def test_packed_ids(spark):
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(TEXTS)], "doc_id long, text string")
+    cut = pieces(docs, FILE)
+    rows = pack(cut.select("id", "piece", "length", F.crc32("ids").alias("crc")))
+    whole = {r["sequence_id"]: bytes(r["ids"]) for r in sequences(cut, rows).collect()}
+    for r in rows.collect():
+        assert zlib.crc32(whole[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])]) == r["crc"]
+
+
+def test_no_rows(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert pack(pieces(docs, FILE).drop("ids")).count() == 0

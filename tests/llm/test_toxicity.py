@@ -1,0 +1,76 @@
+import random
+
+from pyspark.sql import functions as F
+
+from basalt.llm.toxicity import ToxicityModel, drop_toxic, fit_toxicity, toxicity_report
+
+TERMS = ["idiot", "moron", "worthless", "trash", "disgustingly", "lowei*"]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_the_automaton_finds_what_comparing_with_every_term_finds():
+    model, rng = ToxicityModel(TERMS, [1.0] * len(TERMS)), random.Random(3)
+    for _ in range(3000):
+        w = list(rng.choice(TERMS).strip("*"))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "o", "l", "e"])
+        w = "".join(w)
+        bound = 0 if len(w) < 5 else 1 if len(w) < 12 else 2
+        all_found = [(d, 0, n) for n, t in enumerate(TERMS) if not t.endswith("*") and (d := distance(w, t)) <= bound] + [(0, 1, n) for n, t in enumerate(TERMS) if t.endswith("*") and w.startswith(t[:-1])]
+        best = min(all_found, default=None)
+        assert model.match(w) == (best and (best[2], best[0])), w
+
+
+def test_quotation_marks():
+    model = ToxicityModel(TERMS, [1.0] * len(TERMS))
+    tokens = ["he", '"', "moron", '"', "moron", '"', "idiot"]
+    assert [h[3] for h in model.hits(tokens)] == [True, False, False]
+
+
+def labelled(spark, n=400):
+    rng = random.Random(1)
+    words = ["".join(rng.choices("bcdfglnprst", k=3)) + "a" for _ in range(300)]
+    rows = []
+    for k in range(n):
+        text, toxic = rng.choices(words, k=40), k % 4 == 0
+        for _ in range(3 if toxic else 0):
+            text.insert(rng.randrange(40), rng.choice(["idiot", "moron", "trash"]))
+        rows.append((k, " ".join(text), int(toxic)))
+    return rows
+
+
+def test_held_out_accuracy_and_misspellings(spark):
+    rows = labelled(spark)
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows] + [(9001, "some words here idiott moorn tash idiiot mororn", 0.1), (9002, None, 0.0), (9003, "", 0.0), (None, "idiot moron trash " * 20_000, 0.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(9001, None)], "doc_id long, toxic int")
+    found = {r["id"]: r for r in toxicity_report(docs, labels).collect()}
+    held = [(found[i]["predicted"], y) for i, _, y in rows if found[i]["held_out"]]
+    assert len(held) > 40 and sum(p == y for p, y in held) / len(held) > 0.97
+    assert found[9001]["score"] > found[9003]["score"] == found[9002]["score"] and found[None]["predicted"] == 1
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+
+
+def test_quoted_terms_of_clean_texts(spark):
+    rows = labelled(spark, 300)
+    quoting = [(1000 + k, t.replace(" ", ' he said: "idiot moron" ', 1), 0) for k, t, y in rows[:120] if not y]
+    model = fit_toxicity(spark.createDataFrame(rows + quoting, "doc_id long, text string, toxic int"))
+    assert sum(model.score(t) < 0.5 for _, t, _ in quoting) > 0.9 * len(quoting)
+    assert sum(model.score(t) >= 0.5 for _, t, y in rows if y) > 0.9 * sum(y for *_, y in rows)
+
+
+def test_nothing_to_learn_and_no_rows(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [r["score"] for r in toxicity_report(docs, labels).collect()] == [0.0, 0.0]
+    assert toxicity_report(docs.where("false"), labels).count() == 0
+    assert drop_toxic(docs.withColumn("score", F.lit(1)), ToxicityModel()).columns == ["doc_id", "text", "score"]
