@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basalt.functions.text import html_escaped, markdown_escaped
@@ -30,8 +31,6 @@ def ordered(findings: DataFrame) -> DataFrame:
 def rule_index(findings: DataFrame) -> DataFrame:
     """rule_id, rule_index: rules numbered by their first finding."""
     firsts = findings.groupBy("rule_id").agg(F.min(F.struct(*order_key())).alias("first"))
-    from pyspark.sql import Window
-
     return firsts.select("rule_id", (F.row_number().over(Window.orderBy("first")) - 1).alias("rule_index"))  # a row for each rule
 
 
@@ -141,3 +140,20 @@ def report(findings: DataFrame, form: str, files: int) -> Iterator[str]:
     if form in ("sarif", "junit"):
         return _sarif(findings) if form == "sarif" else _junit(findings)
     return {"console": _console, "json": _json, "markdown": _markdown, "html": _html}[form](findings, files)
+
+
+REPORT_ID = r"^[A-Za-z0-9_-]{6,64}$"
+
+
+def share(findings: DataFrame, folder: str, report_id: str, expires_at: Column) -> None:
+    """Keeps the findings below folder under that id until they expire. Raises ValueError for an id with other characters."""
+    if not re.fullmatch(REPORT_ID[1:-1], report_id):
+        raise ValueError(f"not a report id: {report_id!r}")
+    findings.withColumn("expires_at", expires_at).write.mode("overwrite").parquet(f"{folder}/report={report_id}")
+
+
+def shared(spark: SparkSession, folder: str, report_id: str, now: Column) -> DataFrame:
+    """The findings of a shared report; none if it has expired."""
+    if not re.fullmatch(REPORT_ID[1:-1], report_id):
+        raise ValueError(f"not a report id: {report_id!r}")
+    return spark.read.parquet(f"{folder}/report={report_id}").where(F.col("expires_at") >= now).drop("expires_at")

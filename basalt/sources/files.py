@@ -78,7 +78,7 @@ def with_language(files: DataFrame) -> DataFrame:
     return rows.withColumn("language", language(F.col("path"), F.col("content"))).withColumn("digest", F.sha2("content", 256))
 
 
-def _decoded(data: Column) -> Column:
+def decoded(data: Column) -> Column:
     @F.pandas_udf("string")
     def decode(values):
         return values.map(lambda b: bytes(b).decode("utf-8", "replace"))
@@ -129,7 +129,7 @@ def files_from_dir(spark: SparkSession, root: str, *, max_bytes: int = MAX_BYTES
     if local:
         rows = rows.unionByName(_read_hidden(spark, plain, max_bytes))
     rows = rows.where(~ignored(F.col("path"), [*IGNORED, *lines, *ignore])).where(~is_binary(F.col("path"), F.col("data")))
-    return with_language(rows.select("path", _decoded(F.col("data")).alias("content")))
+    return with_language(rows.select("path", decoded(F.col("data")).alias("content")))
 
 
 def files_from_table(df: DataFrame, path: Column, content: Column) -> DataFrame:

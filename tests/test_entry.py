@@ -1,5 +1,4 @@
-import importlib
-import importlib.util
+import re
 
 
 def test_entry_and_queries(spark):
@@ -17,4 +16,4 @@ def test_nothing_else_imports_the_corpus_operators():
     root = Path(basalt.__file__).parent
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
-            assert "llm" not in path.read_text(), path
+            assert not re.search(r"(?:basalt|from)\s*\.\s*llm|corpus_pipeline", path.read_text()), path
