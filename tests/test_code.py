@@ -1,6 +1,9 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from basalt.operators.facts import facts_of
 from basalt.operators.patterns import PatternError, compile_pattern
 from basalt.plans.scan import Options, scan
 from basalt.rules import RuleError, built_in, checked
@@ -161,3 +164,14 @@ def test_rule_counts():
     rules = built_in()
     assert len(rules) == 36 and sum(r["mode"] == "taint" for r in rules) == 4 and sum(len(r["pattern"]) for r in rules) == 51
     assert all(r.get("fix_suggestion") for r in rules)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abc(){}[];,.=>'\"`$/\\\n :+?!<0#", max_size=60), st.sampled_from(["python", "javascript", "typescript"]))
+def test_any_text_can_be_read(text, language):
+    assert isinstance(facts_of(language, text), list)
+
+
+@pytest.mark.parametrize("text", ["switch (x) {", "switch (x) { case 1:", "for (", "class A {", "`${", "if (a) {} else", "a = {", "f(" * 3000, "((((" * 500 + "x", "x = " + "a + " * 5000 + "b"])
+def test_text_that_ends_too_soon(text):
+    assert isinstance(facts_of("javascript", text), list) and isinstance(facts_of("python", text), list)
