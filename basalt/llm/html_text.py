@@ -36,7 +36,9 @@ CLOSES_SELF = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"
 MARKS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription tags toolbar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 SPACE = re.compile(r"\s+")
-PART = re.compile(r"[a-z]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Parts of a class that say that something is beside the element, or isn't.
+BESIDE = frozenset("with without has no".split())
 
 
 class Block:
@@ -119,7 +121,7 @@ class BlockParser(HTMLParser):
         for name, value in attrs:
             if name in ("hidden",) or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
                 return True
-            if name in ("class", "id") and value and not MARKS.isdisjoint(PART.findall(value.lower())):
+            if name in ("class", "id") and value and any(_names_boilerplate(one) for one in value.split()):
                 return True
             if name == "role" and value and value.lower() in ROLES:
                 return True
@@ -148,6 +150,11 @@ class BlockParser(HTMLParser):
             block.links += len(data) if self.in_link else 0
 
 
+def _names_boilerplate(name: str) -> bool:
+    parts = {p.lower() for p in PART.findall(name)}
+    return not MARKS.isdisjoint(parts) and BESIDE.isdisjoint(parts)
+
+
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     reach = max(1, int(3 * sigma))
     weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)

@@ -257,6 +257,14 @@ def choose_terms(texts: list[set[str]], odds: dict[str, float], times: int = 3,
                 holders.setdefault(term, []).append(n)
     lacking = [times] * len(texts)
     gains = {t: len(h) for t, h in holders.items() if len(h) >= least}
+    # A stem whose texts nearly all hold one longer term says no more than that term, but matches more by chance.
+    longest: dict[str, int] = {}
+    for term, gain in gains.items():
+        letters = term.removesuffix("*")
+        for k in STEMS:
+            if k < len(letters):
+                longest[f"{letters[:k]}*"] = max(gain, longest.get(f"{letters[:k]}*", 0))
+    gains = {t: g for t, g in gains.items() if longest.get(t, 0) < 0.8 * g}
     queue = sorted(gains, key=lambda t: (gains[t], odds[t], not t.endswith("*"), t), reverse=True)
     chosen, heap = [], deque(queue)
     while heap:

@@ -17,6 +17,7 @@ PAGES = {
     "empty": ("", ""),
     "none": (None, ""),
     "blank": ("<html><body><p> </p></body></html>", ""),
+    "beside": (f"<body><div class='page has-sidebar'>{P}{P}</div><div id=pageFooter>{P}</div>", f"{T}\n{T}"),
     "ads": (f"<article><div class='ad'>Buy</div>{P}<div class=cookie-notice>Accept</div></article>", T),
 }
 
