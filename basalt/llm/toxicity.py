@@ -13,9 +13,10 @@ empty input gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -245,17 +246,12 @@ def log_odds(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
     return math.log((toxic + 0.5) / (all_toxic + 1)) - math.log((clean + 0.5) / (all_clean + 1))
 
 
-def choose_terms(texts: list[set[str]], odds: dict[str, float], times: int = 3, least: int = 3) -> list[str]:
-    """Terms that together cover each toxic text (as a set of terms) up to `times` times, by greedy choice; each must add `least` texts.
+def choose_terms(holders: dict[str, np.ndarray], odds: dict[str, float], most: int, times: int = 3, least: int = 3) -> list[str]:
+    """Up to `most` terms that together cover each text up to `times` times, by greedy choice; each must add `least` texts.
 
-    So what a group of near copies has in common, once covered, adds no terms.
+    holders: the numbers of the texts that hold a term. What a group of near copies has in common, once covered, adds no terms.
     """
-    holders: dict[str, list[int]] = {}
-    for n, terms in enumerate(texts):
-        for term in terms:
-            if term in odds:
-                holders.setdefault(term, []).append(n)
-    lacking = [times] * len(texts)
+    lacking = np.full(1 + max((int(h.max()) for h in holders.values()), default=-1), times)
     gains = {t: len(h) for t, h in holders.items() if len(h) >= least}
     # A stem whose texts nearly all hold one longer term says no more than that term, but matches more by chance.
     longest: dict[str, int] = {}
@@ -266,20 +262,19 @@ def choose_terms(texts: list[set[str]], odds: dict[str, float], times: int = 3,
                 longest[f"{letters[:k]}*"] = max(gain, longest.get(f"{letters[:k]}*", 0))
     gains = {t: g for t, g in gains.items() if longest.get(t, 0) < 0.8 * g}
     queue = sorted(gains, key=lambda t: (gains[t], odds[t], not t.endswith("*"), t), reverse=True)
-    chosen, heap = [], deque(queue)
-    while heap:
-        term = heap.popleft()
-        gain = sum(lacking[n] > 0 for n in holders[term])
+    chosen, heap = [], [(-gains[t], at, t) for at, t in enumerate(queue)]  # sorted, so a heap
+    looks = 0
+    while heap and len(chosen) < most:
+        *_, term = heapq.heappop(heap)
+        gain = int((lacking[holders[term]] > 0).sum())
         if gain < least:
             continue
-        if heap and gain < gains[heap[0]]:  # its gain fell: look again when the others have had their turn
-            gains[term] = gain
-            place = next((k for k, other in enumerate(heap) if gains[other] <= gain), len(heap))
-            heap.insert(place, term)
+        if heap and gain < -heap[0][0]:  # its gain fell: look again when the others have had their turn
+            looks += 1
+            heapq.heappush(heap, (-gain, -looks, term))
             continue
         chosen.append(term)
-        for n in holders[term]:
-            lacking[n] -= 1
+        lacking[holders[term]] -= 1
     return chosen
 
 
@@ -298,32 +293,39 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", *, max_terms: int = 1000, max_texts: int = 4000, window: int = 5) -> ToxicityModel:
     """A model from rows with a text and a label 0 or 1.
 
-    Word counts cover all rows. max_texts: how many toxic, and how many clean texts (those with the smallest hash, copies once) choose
-    the terms and fit the regression; max_terms: the size of the lexicon.
+    Equal texts of a label count once. Word counts cover all texts. max_texts: how many toxic, and how many clean texts (those with the
+    smallest hash) choose the terms, from all keys that `least` of them hold, and fit the regression; max_terms: the size of the lexicon.
     """
     rows = labelled.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    rows = stored(rows.distinct()).withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not totals.get(1) or not totals.get(0):
         return ToxicityModel()
     counts = stored(_counted(rows, _terms_of, "key string, clean long, toxic long"))
     strength = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1))
-    strong = counts.where("toxic >= 3").withColumn("odds", strength).where("odds >= 3").orderBy(F.desc(F.col("toxic") * F.col("odds")), "key").limit(20 * max_terms)
-    odds = {r["key"]: r["odds"] for r in strong.select("key", "odds").collect()}
 
     def sample(toxic: int) -> DataFrame:
-        # Twice the rows wanted, by a share of the hash range; copies of a text count once.
+        # Twice the texts wanted, by a share of the hash range.
         share = min(1.0, 2 * max_texts / totals[toxic])
-        mine = rows.where(F.col("toxic") == toxic).withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 40))).where(F.col("hash") < int(share * (1 << 40)))
-        return mine.groupBy("hash").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+        return rows.where(F.col("toxic") == toxic).where(F.col("hash") < int(share * (1 << 40)))
 
-    names = frozenset(odds)
+    hashes = sorted(r["hash"] for r in sample(1).select("hash").collect())[:max_texts]
 
     def own_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(_terms_of(t) & names) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["hash", "terms"])
-
-    held = sorted(sample(1).select("hash", "text").mapInArrow(own_terms, "hash long, terms array<string>").collect(), key=lambda r: (r["hash"], r["terms"]))[:max_texts]
-    terms = choose_terms([set(r["terms"]) for r in held], odds)[:max_terms]
+            for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys = list(_terms_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(keys), pa.int64()), pa.array(keys, pa.string())], ["hash", "key"])
+
+    own = sample(1).where(F.col("hash") <= hashes[-1]).select("hash", "text").mapInArrow(own_terms, "hash long, key string")
+    own = own.groupBy("key").agg(F.collect_list("hash").alias("held")).where("size(held) >= 3")
+    strong = counts.where("toxic >= 3").withColumn("odds", strength).where("odds >= 3").select("key", "odds")
+    found = own.join(strong, "key").toArrow()
+    keys = found.column("key").to_pylist()
+    odds = dict(zip(keys, found.column("odds").to_pylist()))
+    number = np.asarray(hashes)
+    holders = {key: np.searchsorted(number, held.values.to_numpy()) for key, held in zip(keys, found.column("held"))}
+    terms = choose_terms(holders, odds, max_terms)
     model = ToxicityModel(terms, [odds[t] for t in terms], window=window)
 
     # Words of clean texts that the automaton takes for a term, and that toxic texts have no more often, are no misspellings.
@@ -390,7 +392,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").alias("__label")).where("__label is not null").dropDuplicates(["__id"])
     marked = small(stored(marked), 1_000_000)
     rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("text")).where(~fold_is(F.col("__doc"), folds, held))
-    joined = stored(rows.join(marked, F.col("__doc") == F.col("__id")).select("text", F.col("__label").alias("toxic")))
+    joined = rows.join(marked, F.col("__doc") == F.col("__id")).select("text", F.col("__label").alias("toxic"))
     return fit_toxicity(joined, "text", "toxic", **options)
 
 

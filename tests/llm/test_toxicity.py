@@ -74,3 +74,13 @@ def test_nothing_to_learn_and_no_rows(spark):
     assert [r["score"] for r in toxicity_report(docs, labels).collect()] == [0.0, 0.0]
     assert toxicity_report(docs.where("false"), labels).count() == 0
     assert drop_toxic(docs.withColumn("score", F.lit(1)), ToxicityModel()).columns == ["doc_id", "text", "score"]
+
+
+def test_copies_of_a_long_text_do_not_crowd_out_the_terms(spark):
+    """The long text has more keys than 20 * max_terms, and more rows than any term."""
+    rows, rng = labelled(spark), random.Random(5)
+    long = " ".join("".join(rng.choices("hjkmqvwxyz", k=8)) for _ in range(600))
+    copies = [(5000 + k, long, 1) for k in range(300)]
+    model = fit_toxicity(spark.createDataFrame(rows + copies, "doc_id long, text string, toxic int"), max_terms=20)
+    assert {"idiot", "moron", "trash"} <= {t.strip("*") for t in model.terms}
+    assert sum(model.score(t) >= 0.5 for _, t, y in rows if y) > 0.9 * sum(y for *_, y in rows)
