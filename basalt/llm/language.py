@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: The same for Spark: what NOT_LETTERS leaves.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 #: Letters are mapped to so many classes: 1 for the end of a word, 2 to 191 for code points below 0x240, the rest by remainder.
 CLASSES = 256
 NO_LANGUAGE = "und"
@@ -99,16 +101,19 @@ class LanguageModel:
 def fit_language(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, landmarks: int = 32, max_languages: int = 200, ridge: float = 1e-3) -> LanguageModel:
     """A model from rows with text and language.
 
-    At most per_language texts of each language (those with the smallest hash of the text) and max_languages languages (the most
-    frequent) come to the driver, as n-grams; landmarks of the texts of each language are the Nyström landmarks.
+    At most per_language distinct texts of each language (those with the smallest hash of the text) and max_languages languages (the
+    most frequent) come to the driver, as n-grams; landmarks of the texts of each language are the Nyström landmarks. Texts without
+    a letter teach nothing.
     """
-    rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null").where(F.col("text").rlike(LETTER))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    texts = rows.groupBy("lang", "hash").count().groupBy("lang").agg(F.sum("count").alias("rows"), F.count("*").alias("texts"))
+    counts = texts.orderBy(F.desc("rows"), "lang").limit(max_languages).collect()
     if not counts:
         return LanguageModel([], np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
-    # Of frequent languages, a share by hash that holds about twice the rows wanted; no row is sorted or moved for it.
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_language / r["count"]))))
-    picked = rows.withColumn("hash", F.xxhash64("text")).where(F.pmod("hash", F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * float(1 << 40))
+    # Of languages with many texts, a share by hash that holds about twice the texts wanted, however often each is repeated.
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_language / r["texts"]))))
+    picked = rows.where(F.pmod("hash", F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * float(1 << 40))
     picked = picked.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("text", "lang", "hash")  # copies count once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,3 +50,14 @@ def test_nothing_to_learn_and_no_rows(spark):
     model = fit_language(table.where("false"))
     assert {r["lang_pred"] for r in identify(table, model).collect()} == {"und"}
     assert language_report(table.where("false")).count() == 0
+
+
+def test_copies_do_not_thin_out_the_training_texts(spark):
+    """German has 40 texts, and 8,000 copies of one more."""
+    rng = np.random.default_rng(4)
+    texts = {lang: [" ".join(rng.choice(words, 25)) for _ in range(40)] for lang, words in WORDS.items()}
+    rows = [(t, lang) for lang, own in texts.items() for t in own] + [("haus " * 20, "de")] * 8000 + [(f"{n} ...", "ru") for n in range(8000)]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    model = fit_language(table, per_language=20, landmarks=20)
+    assert model.languages == ["de", "en", "ru"] and model.incidence.shape[1] == 60
+    assert model.predict(texts["de"])[0].count("de") > 36 and model.predict(texts["ru"])[0].count("ru") > 36

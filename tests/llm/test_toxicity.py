@@ -84,3 +84,11 @@ def test_copies_of_a_long_text_do_not_crowd_out_the_terms(spark):
     model = fit_toxicity(spark.createDataFrame(rows + copies, "doc_id long, text string, toxic int"), max_terms=20)
     assert {"idiot", "moron", "trash"} <= {t.strip("*") for t in model.terms}
     assert sum(model.score(t) >= 0.5 for _, t, y in rows if y) > 0.9 * sum(y for *_, y in rows)
+
+
+def test_copies_do_not_thin_out_the_sampled_texts(spark):
+    rows = labelled(spark)
+    copies = [(5000 + k, "one toxic boilerplate text", 1) for k in range(8000)]
+    model = fit_toxicity(spark.createDataFrame(rows + copies, "doc_id long, text string, toxic int"), max_texts=40)
+    assert sum(model.score(t) >= 0.5 for _, t, y in rows if y) > 0.9 * sum(y for *_, y in rows)
+    assert sum(model.score(t) < 0.5 for _, t, y in rows if not y) > 0.9 * sum(not y for *_, y in rows)
