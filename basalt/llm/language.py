@@ -27,37 +27,25 @@ from pyspark.sql import types as T
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: The same for Spark: what NOT_LETTERS leaves.
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
-#: Letters are mapped to so many classes: 1 for the end of a word, 2 to 191 for code points below 0x240, the rest by remainder.
-CLASSES = 256
+#: More than there are code points, so three letters are one number of 63 bits; 1 is the end of a word.
+CLASSES = 1 << 21
 NO_LANGUAGE = "und"
 
 
-def _classes() -> np.ndarray:
-    table = 192 + np.arange(0x110000, dtype=np.int64) % 64
-    letters = [c for c in range(0x240) if chr(c).isalpha() and chr(c) == chr(c).lower()]
-    for n, c in enumerate(letters):
-        table[c] = 2 + n % 190
-    table[ord(" ")] = 1
-    return table.astype(np.int32)
-
-
 class Spectrum:
-    """The distinct n-grams of whole texts, as numbers below CLASSES ** 3."""
+    """The distinct n-grams of whole texts, as numbers below CLASSES ** 3; unlike n-grams have unlike numbers."""
 
     def __init__(self):
-        self.table, self.last = _classes(), np.zeros(CLASSES**3, np.int32)
+        self.table = np.arange(0x110000, dtype=np.int64)
+        self.table[ord(" ")] = 1
 
     def grams(self, text: str) -> np.ndarray:
         letters = NOT_LETTERS.sub(" ", text.lower()).strip()
         if not letters:
-            return np.zeros(0, np.int32)
+            return np.zeros(0, np.int64)
         one = self.table[np.frombuffer(f" {letters} ".encode("utf-32-le", "replace"), np.uint32)]
         two = one[:-1] * CLASSES + one[1:]
-        all_grams = np.concatenate([one, two, two[:-1] * CLASSES + one[2:]])
-        # of each n-gram the last occurrence, by a table in which later ones overwrite earlier ones
-        order = np.arange(len(all_grams), dtype=np.int32)
-        self.last[all_grams] = order
-        return all_grams[self.last[all_grams] == order]
+        return np.unique(np.concatenate([one, two, two[:-1] * CLASSES + one[2:]]))
 
 
 _SPECTRUM: list[Spectrum] = []
@@ -110,7 +98,7 @@ def fit_language(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
     texts = rows.groupBy("lang", "hash").count().groupBy("lang").agg(F.sum("count").alias("rows"), F.count("*").alias("texts"))
     counts = texts.orderBy(F.desc("rows"), "lang").limit(max_languages).collect()
     if not counts:
-        return LanguageModel([], np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
+        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
     # Of languages with many texts, a share by hash that holds about twice the texts wanted, however often each is repeated.
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_language / r["texts"]))))
     picked = rows.where(F.pmod("hash", F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * float(1 << 40))
@@ -119,15 +107,15 @@ def fit_language(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [spectrum().grams(t).tolist() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(grams, pa.list_(pa.int32()))], ["lang", "hash", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(grams, pa.list_(pa.int64()))], ["lang", "hash", "grams"])
 
-    seen = picked.mapInArrow(run, "lang string, hash long, grams array<int>").where("size(grams) > 0").collect()
+    seen = picked.mapInArrow(run, "lang string, hash long, grams array<long>").where("size(grams) > 0").collect()
     seen.sort(key=lambda r: (r["lang"], r["hash"] % (1 << 40), r["grams"]))
     by: dict[str, list[np.ndarray]] = {}
     for r in seen:
         own = by.setdefault(r["lang"], [])
         if len(own) < per_language:
-            own.append(np.asarray(r["grams"], np.int32))
+            own.append(np.asarray(r["grams"], np.int64))
     languages = sorted(by)
     texts = [g for name in languages for g in by[name]]
     truth = np.repeat(np.arange(len(languages)), [len(by[name]) for name in languages])

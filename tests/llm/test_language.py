@@ -61,3 +61,15 @@ def test_copies_do_not_thin_out_the_training_texts(spark):
     model = fit_language(table, per_language=20, landmarks=20)
     assert model.languages == ["de", "en", "ru"] and model.incidence.shape[1] == 60
     assert model.predict(texts["de"])[0].count("de") > 36 and model.predict(texts["ru"])[0].count("ru") > 36
+
+
+def test_letters_of_all_scripts_are_told_apart(spark):
+    """Cyrillic and Greek texts whose letters differ by 128 places throughout."""
+    rng = np.random.default_rng(6)
+    words = ["".join(chr(0x3B1 + int(c)) for c in rng.integers(0, 25, 5)) for _ in range(40)]
+    greek = [" ".join(rng.choice(words, 25)).replace("ς", "σ") for _ in range(40)]
+    cyrillic = ["".join(chr(ord(c) + 128) if c != " " else c for c in t) for t in greek]
+    assert set(Spectrum().grams(greek[0]).tolist()) & set(Spectrum().grams(cyrillic[0]).tolist()) == {1}
+    model = fit_language(spark.createDataFrame([(t, "el") for t in greek[:30]] + [(t, "ru") for t in cyrillic[:30]], "text string, lang string"))
+    assert model.predict(greek[30:])[0] == ["el"] * 10 and model.predict(cyrillic[30:])[0] == ["ru"] * 10
+    assert len(Spectrum().grams("".join(chr(0x4E00 + k) for k in range(1000)))) == 3000 + 2
