@@ -293,7 +293,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", *, max_terms: int = 1000, max_texts: int = 4000, window: int = 5) -> ToxicityModel:
     """A model from rows with a text and a label 0 or 1.
 
-    Equal texts of a label count once. Word counts cover all texts. max_texts: how many toxic, and how many clean texts (those with the
+    Equal texts of a label count once. Counts of words, and of words around hits, cover all texts; every clean word that resembles a
+    term, and every word that is around hits of five texts, is kept. max_texts: how many toxic, and how many clean texts (those with the
     smallest hash) choose the terms, from all keys that `least` of them hold, and fit the regression; max_terms: the size of the lexicon.
     """
     rows = labelled.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("toxic in (0, 1)")
@@ -335,7 +336,7 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     seen = counts.where("clean > 0 and not endswith(key, '*')").withColumn("odds", strength).where("odds < 2").select("key", "clean")
-    benign = seen.mapInArrow(resembling, "key string, clean long").orderBy(F.desc("clean"), "key").limit(20 * max_terms).collect()
+    benign = seen.mapInArrow(resembling, "key string, clean long").select("key").collect()
     model = ToxicityModel(terms, model.odds, frozenset(r["key"] for r in benign), window=window)
 
     def around(text: str) -> set[str]:
@@ -343,7 +344,7 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
         places = [at for at, *_ in model.hits(tokens)]
         return {w for at in places for w in tokens[max(0, at - window) : at] + tokens[at + 1 : at + 1 + window]} - {tokens[at] for at in places}
 
-    near = _counted(sample(1).unionByName(sample(0)), around, "key string, clean long, toxic long").where("clean + toxic >= 5").orderBy(F.desc(F.col("clean") + F.col("toxic")), "key").limit(5 * max_terms).collect()
+    near = _counted(rows, around, "key string, clean long, toxic long").where("clean + toxic >= 5").orderBy("key").collect()
     clean_hits, toxic_hits = sum(r["clean"] for r in near), sum(r["toxic"] for r in near)
     context = {r["key"]: log_odds(r["toxic"], r["clean"], toxic_hits, clean_hits) for r in near} if clean_hits else {}
     model = ToxicityModel(terms, model.odds, model.benign, context, window=window)

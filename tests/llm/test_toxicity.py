@@ -92,3 +92,14 @@ def test_copies_do_not_thin_out_the_sampled_texts(spark):
     model = fit_toxicity(spark.createDataFrame(rows + copies, "doc_id long, text string, toxic int"), max_texts=40)
     assert sum(model.score(t) >= 0.5 for _, t, y in rows if y) > 0.9 * sum(y for *_, y in rows)
     assert sum(model.score(t) < 0.5 for _, t, y in rows if not y) > 0.9 * sum(not y for *_, y in rows)
+
+
+def test_all_clean_words_that_resemble_terms_and_all_contexts_are_kept(spark):
+    """60 clean words are near the only term, where 20 * max_terms are 20; 30 words stand around its hits, where 5 * max_terms are 5."""
+    word = "disgustingly"
+    alike = [word[:at] + c + word[at + 1 :] for at in range(6, 12) for c in "bcdfhjkmpq"]
+    around = [f"zq{c}" for c in "abcdefghijklmnopqrstuvwxyzäöüß"]
+    rows = [(f"t{k} {around[k % 30]} {word} {around[(k + 7) % 30]} said", 1) for k in range(150)]
+    rows += [(f"c{k} plain text with {alike[k % 60]} said", 0) for k in range(600)] + [(f"r{k} it was {word} said", 0) for k in range(6)]
+    model = fit_toxicity(spark.createDataFrame(rows, "text string, toxic int"), max_terms=1)
+    assert model.terms == [word] and set(alike) <= model.benign and set(around) <= set(model.context)
