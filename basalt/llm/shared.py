@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def work_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the session has no such setting (a local test), a temporary folder becomes the checkpoint folder.
+    Where a local session has no such setting, a temporary folder becomes the checkpoint folder; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
         root = "file://" + tempfile.mkdtemp(prefix="basalt-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/basalt-{uuid.uuid4().hex}"
@@ -42,6 +45,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores before it until no column of df has that name."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df marked for broadcast if it has at most so many rows (it must be a stored, narrow table), else df."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -3,19 +3,20 @@
 A fingerprint (64 bits) is embedded as its bit counts in 32 segments of 2 bits. The Manhattan distance of two embeddings
 is at most the number of differing bits, so fingerprints within 2 bits lie within distance 2 on the grid. Every
 fingerprint visits its own cell and the cells one step away (49 rows on average); two fingerprints meet in a cell if, and only if,
-their embeddings are within distance 2, so this range join is one shuffle keyed by cell. Only fingerprints that meet
-another one go on to the exact test.
+their embeddings are within distance 2, so this range join is one shuffle keyed by cell. A cell keeps three numbers: how
+many fingerprints visit it, the smallest and the largest. A cell of two visitors is a candidate pair, whose bits are compared.
 
-Short segments make the bound tight: of unlike fingerprints, about one pair in 10**10 meets by chance, so what
-goes on is what is linked, and its number follows the input.
+Short segments make the bound tight: of unlike fingerprints, about one pair in 10**10 meets by chance, so what meets is mostly
+what is linked, and its number follows the input.
 
-The exact test is of the same form in all 64 dimensions: two fingerprints differ in at most 2 bits if, and only if, some
-64-bit number differs from each in at most 1 bit. Each candidate links to the smallest fingerprint that meets it at such a number.
-No pairs are made, however large a group of near copies is, and no link is lost.
+In a crowded cell no pairs are made. Two fingerprints differ in at most 2 bits if, and only if, some 64-bit number differs
+from each in at most 1 bit; such a number lies in a cell that both visit. So the visitors of a crowded cell are keyed by the
+numbers within 1 bit of them that lie in that cell, and each links to the smallest visitor at the same number. The links have the
+components of all pairs within 2 bits, however large a group of near copies is.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; texts under three words are one
 shingle; null ids never become a component's id unless all its ids are null; rows that repeat an id each have
-their own fingerprint; empty input gives an empty result; other columns are ignored.
+their own fingerprint; empty input gives an empty result; very long texts are hashed whole, 65,536 shingles at a time; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stored, text_of
+from .shared import free_names, small, stored, text_of
 
 SHINGLE_WORDS, SEED = 3, 42
 SEGMENTS, SEGMENT_BITS = 32, 2
@@ -95,18 +96,32 @@ def near_points(bits: Column) -> Column:
     return F.array(bits, *(bits.bitwiseXOR(_long(1 << i)) for i in range(64)))
 
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """The fingerprints (distinct, column bits) that have another one within grid distance 2."""
-    visits = prints.select("bits", cell(F.col("bits")).alias("at")).select("bits", F.explode(near_cells(F.col("at"))).alias("cell"))
-    ends = visits.groupBy("cell").agg(F.min("bits").alias("low"), F.max("bits").alias("high")).where("low != high").select("cell")
-    return visits.join(ends, "cell", "left_semi").select("bits").distinct()
+def visits(prints: DataFrame) -> DataFrame:
+    """cell, bits: each fingerprint (distinct, column bits) at its cell and those one step away."""
+    return prints.select("bits", cell(F.col("bits")).alias("at")).select(F.explode(near_cells(F.col("at"))).alias("cell"), "bits")
 
 
-def links(prints: DataFrame) -> DataFrame:
+def meetings(prints: DataFrame) -> DataFrame:
+    """cell, low, high, visitors of the cells where at least two fingerprints meet: the grid range join."""
+    seen = visits(prints).groupBy("cell").agg(F.min("bits").alias("low"), F.max("bits").alias("high"), F.count(F.lit(1)).alias("visitors"))
+    return seen.where("visitors > 1")
+
+
+def differing(a: Column, b: Column) -> Column:
+    """How many bits differ."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def links(prints: DataFrame, most: int = 2) -> DataFrame:
     """a, b: each linked fingerprint a with smaller ones b, so that the links' components are those of all pairs within 2 bits."""
-    points = prints.select("bits", F.explode(near_points(F.col("bits"))).alias("point"))
-    lowest = points.groupBy("point").agg(F.min("bits").alias("b"), F.max("bits").alias("high")).where("b != high").select("point", "b")
-    return points.join(lowest, "point").where("bits != b").select(F.col("bits").alias("a"), "b").distinct()
+    met = stored(meetings(prints))
+    pairs = met.where("visitors = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
+    crowded = small(stored(met.where("visitors > 2").select("cell")), 1_000_000)
+    inside = visits(prints).join(crowded, "cell", "left_semi")
+    points = inside.select("cell", "bits", F.explode(near_points(F.col("bits"))).alias("point")).where(cell(F.col("point")) == F.col("cell"))
+    lowest = points.groupBy("cell", "point").agg(F.min("bits").alias("b"), F.max("bits").alias("high")).where("b != high").drop("high")
+    shared = points.join(lowest, ["cell", "point"]).where("bits != b").select(F.col("bits").alias("a"), "b")
+    return pairs.unionByName(shared).where(differing(F.col("a"), F.col("b")) <= most).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -134,8 +149,10 @@ def components(pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, mark, bits, component_id (the smallest id reachable over links of 2 bits or fewer) of every row of docs."""
     prints = stored(fingerprints(docs, id_col, text_col))
-    distinct = stored(prints.groupBy("bits").agg(F.min("id").alias("first_id")))
-    found = components(links(stored(candidates(distinct.select("bits")))))
+    # Each fingerprint makes about 49 visits, so its narrow row is dealt to all tasks.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = stored(prints.groupBy("bits").agg(F.min("id").alias("first_id")).repartition(parts, "bits"))
+    found = components(links(distinct.select("bits")))
     grouped = found.join(distinct, "bits")
     firsts = grouped.groupBy("root").agg(F.min("first_id").alias("linked_id"))
     linked = stored(grouped.join(firsts, "root").select("bits", "linked_id"))
@@ -145,6 +162,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the one with the smallest id (rows that share it stay together). Every column stays."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__mark"))
+    key, mark = free_names(docs, "gone_id", "gone_mark")
+    gone = near_duplicates(docs, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key), F.col("mark").alias(mark))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.xxhash64(text_of(text_col)) == F.col(mark))
     return docs.join(stored(gone.distinct()), same, "left_anti")

@@ -50,7 +50,7 @@ def test_links_are_those_of_all_pairs(spark):
     prints |= {0, 1, (1 << 64) - 1, (1 << 63), (1 << 64) - 2}
     signed = {f - (1 << 64) if f >> 63 else f for f in prints}
     df = spark.createDataFrame([(f,) for f in signed], "bits long")
-    found = {r["bits"]: r["root"] for r in S.components(S.links(S.candidates(df))).collect()}
+    found = {r["bits"]: r["root"] for r in S.components(S.links(df)).collect()}
     assert {f: found.get(f, f) for f in signed} == roots(signed)
 
 
@@ -62,10 +62,26 @@ def test_a_long_chain_and_a_dense_group(spark):
     dense = [(1 << 63) ^ (1 << a) ^ (1 << b) for a in range(30) for b in range(a)]
     signed = {f - (1 << 64) if f >> 63 else f for f in [*chain, *dense]}
     df = spark.createDataFrame([(f,) for f in signed], "bits long")
-    found = {r["bits"]: r["root"] for r in S.components(S.links(S.candidates(df))).collect()}
+    found = {r["bits"]: r["root"] for r in S.components(S.links(df)).collect()}
     assert {f: found.get(f, f) for f in signed} == roots(signed)
 
 
+def test_the_grid_gives_the_links(spark, monkeypatch):
+    df = spark.createDataFrame([(0,), (3,), (12 + (1 << 40),)], "bits long")
+    assert [tuple(r) for r in S.links(df).collect()] == [(3, 0)]
+    monkeypatch.setattr(S, "near_cells", lambda at: S.F.array(at))  # without the neighbouring cells nothing meets
+    assert S.links(df).count() == 0
+
+
+def test_cells_keep_the_distance(spark):
+    rng = random.Random(2)
+    rows = [(a, b) for a in (rng.getrandbits(63) for _ in range(100)) for b in (a ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)), rng.getrandbits(63))]
+    counts = lambda f: [(f >> k & 3).bit_count() for k in range(0, 64, 2)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    met = df.select("a", "b", S.F.arrays_overlap(S.near_cells(S.cell(S.F.col("a"))), S.near_cells(S.cell(S.F.col("b")))).alias("meet")).collect()
+    assert all(r["meet"] == (sum(abs(x - y) for x, y in zip(counts(r["a"]), counts(r["b"]))) <= 2) for r in met)
+
+
 def test_near_duplicates(spark):
     rows = spark.createDataFrame([(n, t, 7, None) for n, t in enumerate(TEXTS)] + [(None, "one", 1, None), (3, "other words here", 1, None)], "doc_id long, text string, id int, component_id string")
     found = S.near_duplicates(rows).collect()
@@ -80,3 +96,8 @@ def test_near_duplicates(spark):
 
 def test_empty(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a b c d", 5, 6), (2, "a b c d", 7, 8)], "doc_id long, text string, gone_id int, __id int")
+    assert [tuple(r) for r in S.near_dedup(rows).collect()] == [(1, "a b c d", 5, 6)]
