@@ -6,7 +6,8 @@ merges any more. A round only moves (bin, fill) rows. At the end the rounds' map
 sequence and place. Every group is bounded by items_per_task at any input size.
 
 Defined results: null and empty texts are one piece with just the end token; null ids and repeated rows are packed like any
-other row; empty input gives an empty result.
+other row; very long texts are cut into as many pieces as they need; empty input gives an empty result; other columns are carried
+along, except that those named sequence_id or offset are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ class WordTokenizer:
     """Token ids of whole texts from a tokenizer file whose tokens never cross white space.
 
     A text's ids are those of its white-space separated words in order, so ids are kept by word. Latin words go straight
-    to the vocabulary's merges; all others through the whole tokenizer.
+    to the vocabulary's merges; all others through the whole tokenizer. A text that holds a special token's string goes through the
+    whole tokenizer in one piece.
     """
 
     LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
@@ -42,8 +44,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
         self.kept: dict[str, bytes] = {}
         # Byte-level vocabularies write bytes as printable characters: those that are printable as themselves, the others from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,6 +53,9 @@ class WordTokenizer:
         shown = {b: chr(b if b in plain else next(others)) for b in range(256)}
         self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(192, 256)}
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         if (ids := self.kept.get(piece)) is None:
             ids = self.kept[piece] = array("I", [x.id for x in self.model.tokenize(piece.lower().translate(self.shown))]).tobytes()
@@ -60,7 +65,7 @@ class WordTokenizer:
         if m := self.LATIN.fullmatch(word):
             ids = self._piece(m[1]) + (self._piece(m[2]) if m[2] else b"")
         else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            ids = self._whole(word)
         self.kept[word] = ids
         return ids
 
@@ -68,6 +73,8 @@ class WordTokenizer:
         """The text's ids as unsigned 32-bit little-endian numbers."""
         if len(self.kept) > CACHED_WORDS:
             self.kept.clear()
+        if self.special.search(text):
+            return self._whole(text)
         kept, word = self.kept, self._word
         return b"".join([kept.get(w) or word(w) for w in re.split(r"[\x20\x09-\x0D]+", text) if w])
 
@@ -141,12 +148,15 @@ def _round(items: DataFrame, groups: int, number: int, capacity: int) -> DataFra
 
 
 def pack(items: DataFrame, capacity: int = 4096, *, slack: int = 16, fan_in: int = 8, items_per_task: int = 200_000) -> DataFrame:
-    """items (a column length of 1 to capacity, and any others but bin, fill, first) with sequence_id and offset.
+    """items (a column length of 1 to capacity, and any others) with sequence_id and offset.
 
     slack: bins with at most so much room are done. fan_in: how many groups of a round meet in one of the next.
     """
     spark = items.sparkSession
-    items = stored(items)
+    kept = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
+    plain = {c: "length" if c == "length" else f"column_{k}" for k, c in enumerate(kept)}  # names that clash with none of the rounds'
+    items = stored(items.select(*(F.col(f"`{c}`").alias(name) for c, name in plain.items())))
+    back = [F.col(name).alias(c) for c, name in plain.items()]
     count = items.count()
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // items_per_task))
     placed = stored(_round(items, groups, 0, capacity))
@@ -161,13 +171,13 @@ def pack(items: DataFrame, capacity: int = 4096, *, slack: int = 16, fan_in: int
         latest = stored(_round(under, groups, number, capacity))
         maps.append(latest)
     if not maps:
-        return placed.select(*items.columns, F.col("bin").alias("sequence_id"), "offset")
+        return placed.select(*back, F.col("bin").alias("sequence_id"), "offset")
     root = maps[-1].select("item", F.col("bin").alias("root"), F.col("offset").alias("base"))
     for earlier in reversed(maps[:-1]):
         above = root.withColumnsRenamed({"item": "bin", "base": "above"})
         root = earlier.join(above, "bin", "left").select("item", F.coalesce("root", "bin").alias("root"), (F.col("offset") + F.coalesce("above", F.lit(0))).alias("base"))
     root = stored(root)
-    return placed.join(root, F.col("bin") == F.col("item"), "left").select(*items.columns, F.coalesce("root", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
+    return placed.join(root, F.col("bin") == F.col("item"), "left").select(*back, F.coalesce("root", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
 
 
 def sequences(cut: DataFrame, packed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basalt.llm.packing import WordTokenizer, best_fit, pack, pieces, sequences
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = [None, "", "Hello, world!", "naïve Ünïcode ñandú straße", "a1 b2; c_d ... don't e-mail x@y.z", "日本語 текст 😀   nbsp", "<|endoftext|> and <|startoftext|>", "\x00\x1f ctrl", "İstanbul ﬁ ligature Å", "it's THEY'RE we'll", "word " * 9000, "x" * 3000]
+TEXTS = [None, "", "Hello, world!", "naïve Ünïcode ñandú straße", "a1 b2; c_d ... don't e-mail x@y.z", "日本語 текст 😀   nbsp", "<|endoftext|> and <|startoftext|>", "a<|endoftext|>b <|endof text|> <|ENDOFTEXT|>", "<|endoftext|>\n\n<|endoftext|>  x", "\x00\x1f ctrl", "İstanbul ﬁ ligature Å", "it's THEY'RE we'll", "word " * 9000, "x" * 3000]
 
 
 @pytest.mark.parametrize("text", TEXTS[1:])
@@ -16,7 +16,6 @@ def test_ids_are_the_tokenizers(text):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(FILE)
-    whole.encode_special_tokens = True
     got = WordTokenizer(FILE).ids(text)
     assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == whole.encode(text, add_special_tokens=False).ids
 
@@ -70,3 +69,10 @@ def test_packed_ids(spark):
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pack(pieces(docs, FILE).drop("ids")).count() == 0
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(5, n, n, "f", True, n, n) for n in range(9)], "length int, bin int, offset int, fill string, first boolean, item int, sequence_id int")
+    packed = pack(rows, 10)
+    assert packed.columns == ["length", "bin", "fill", "first", "item", "sequence_id", "offset"]
+    assert sorted(r["bin"] for r in packed.collect()) == list(range(9)) and packed.select("sequence_id").distinct().count() == 5
