@@ -1,19 +1,22 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's events. Each block of text (a paragraph, heading, list item, cell and so
-on) is a line with its characters, its tags and the characters within links. The lines' text-to-tag ratios are
-smoothed by a Gaussian, and the lines above a threshold (found by two-means clustering) are the content region. The content's
-container is the innermost article, main part or division that holds most of that region; the container's lines, without
-those in navigation, headers, footers, sidebars, notices, adverts, forms and comments, are the text.
-
-Defined results: null and empty pages, and pages without a block of text, give an empty text; markup that never ends is read
-as far as it goes; pages of one line are that line; null ids and repeated rows are kept; empty input gives an empty
-result; other columns are ignored.
+on) is a line with its characters, its tags and the characters within links. A line's text-to-tag ratio, link characters aside, is
+smoothed by a Gaussian over the lines. Where a line stands is a weight on that level, not a decision: more within an article
+or main part, less beside it, next to nothing within navigation, headers, footers, sidebars, notices, adverts, forms and comments.
+Two-means clustering finds the threshold, and the lines above it are the content region. Lines of its container (the
+innermost division that holds most of the region) that the threshold cuts off, such as headings and short items, join it.
+
+Defined results: null and empty pages, and pages without a line above the floor, give an empty text; if nothing but the class
+names of its elements holds a page below the floor, they count nothing; markup that never ends is read as far as it goes;
+pages of one line are that line; very long pages and deep markup take time in proportion to their length; null ids and repeated rows
+are kept; empty input gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,104 +31,119 @@ SILENT = frozenset("script style noscript template head title svg math canvas ob
 BOILERPLATE = frozenset("nav header footer aside form dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINERS = frozenset("article main section div body td".split())
+MAIN = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose start ends an open paragraph, or an open element of their own kind within the same parent.
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption".split())
 CLOSES_SELF = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+KEEPS_OPEN = (CONTAINERS - {"td"}) | frozenset("ul ol dl table tbody thead tfoot".split())
 #: Words of class and id values that mark what isn't content.
-MARKS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription tags toolbar widget".split())
+DISCUSSION = frozenset("comment comments disqus related replies reply respond".split())
+MARKS = DISCUSSION | frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs byline consent cookie cookies copyright footer header masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted share sharing sidebar social sponsor sponsored subscribe subscription tags toolbar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 SPACE = re.compile(r"\s+")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Parts of a class that say that something is beside the element, or isn't.
 BESIDE = frozenset("with without has no".split())
+#: Weights of a line's level by where it stands: within and beside an article or main part, and in boilerplate.
+IN_MAIN, BESIDE_MAIN, IN_BOILERPLATE = 1.5, 0.3, 0.01
+#: The level that content has at least, unless no line has it: a character for six tags. No line of boilerplate reaches it, however long.
+FLOOR = 0.15
+TAGGED, MARKED, TALK = 1, 2, 4
 
 
 class Block:
-    __slots__ = ("chars", "links", "path", "tags")
+    """A line: its characters, tags, link characters, innermost container, and what its surroundings say (main part, kinds of boilerplate)."""
 
-    def __init__(self, path: tuple[int, ...]):
+    __slots__ = ("beside", "chars", "container", "links", "main", "tags")
+
+    def __init__(self):
         self.chars: list[str] = []
-        self.tags, self.links, self.path = 0, 0, path
+        self.tags = self.links = self.container = self.beside = 0
+        self.main = False
 
     def text(self) -> str:
         return SPACE.sub(" ", "".join(self.chars)).strip()
 
+    def weight(self, classes: bool, has_main: bool) -> float:
+        if self.beside & TAGGED or (classes and self.beside):
+            return IN_BOILERPLATE
+        return IN_MAIN if self.main else BESIDE_MAIN if has_main else 1.0
+
 
 class BlockParser(HTMLParser):
-    """Splits a page into blocks. What is silent or boilerplate never becomes a block."""
+    """Splits a page into blocks. What is never shown, and what is marked within a line, becomes no block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether it hides what is in it, number if a container else 0
-        self.names: dict[int, str] = {}
-        self.hidden, self.in_link = 0, 0
-        self.blocks: list[Block] = [Block(())]
+        # each open element: tag, whether it hides what is in it, and the state outside of it
+        self.open: list[tuple[str, bool, int, int, bool]] = []
+        self.counts: Counter[str] = Counter()
+        self.block_tags: list[str] = []
+        self.parents, self.names = [0], [""]  # containers by number, in order of their start
+        self.hidden = self.container = self.beside = 0
+        self.main = False
+        self.blocks: list[Block] = [Block()]
         self.pending = 0
 
     def _new_block(self) -> None:
-        last = self.blocks[-1]
-        if not last.chars:
-            last.path = self._path()
-        else:
-            self.blocks.append(Block(self._path()))
-
-    def _path(self) -> tuple[int, ...]:
-        return tuple(n for _, _, n in self.open if n)
+        if self.blocks[-1].chars:
+            self.blocks.append(Block())
 
-    def _pop(self) -> None:
-        tag, hides, _ = self.open.pop()
+    def _pop(self) -> str:
+        tag, hides, self.container, self.beside, self.main = self.open.pop()
         self.hidden -= hides
-        self.in_link -= tag == "a"
-
-    def _close(self, tag: str) -> None:
-        while self.open:
-            last = self.open[-1][0]
-            self._pop()
-            if last == tag:
-                return
+        self.counts[tag] -= 1
+        if tag in BLOCKS:
+            self.block_tags.pop()
+        return tag
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if not self.hidden:
             self.pending += 1
         if tag in BLOCKS:
-            if tag in CLOSES_P and any(t == "p" for t, _, _ in self.open):
-                inside = [t for t, _, _ in self.open]
-                at = len(inside) - 1 - inside[::-1].index("p")
-                if not BLOCKS & set(inside[at + 1 :]):
-                    self._close("p")
+            if tag in CLOSES_P and self.block_tags and self.block_tags[-1] == "p":
+                while self._pop() != "p":
+                    pass
             self._new_block()
         if also := CLOSES_SELF.get(tag):
-            while self.open and self.open[-1][0] not in CONTAINERS - {"td"} and self.open[-1][0] not in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot") and any(t in also for t, _, _ in self.open[-2:]):
+            while self.open and self.open[-1][0] not in KEEPS_OPEN and any(t[0] in also for t in self.open[-2:]):
                 self._pop()
         if tag == "br" and not self.hidden:
             self.blocks[-1].chars.append(" ")
         if tag in VOID:
             return
-        hides = tag in SILENT or self._marked(tag, attrs)
-        number = 0
-        if tag in CONTAINERS:
-            number = len(self.names) + 1
-            self.names[number] = tag
-        self.open.append((tag, hides, number))
+        beside = self._beside(tag, attrs)
+        hides = tag in SILENT or beside < 0 or (beside > 0 and tag not in BLOCKS)
+        self.open.append((tag, hides, self.container, self.beside, self.main))
+        self.counts[tag] += 1
         self.hidden += hides
-        self.in_link += tag == "a"
-        if tag in BLOCKS and not self.blocks[-1].chars:
-            self.blocks[-1].path = self._path()
-
-    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in BOILERPLATE:
-            return True
-        if tag in ("html", "body", "article", "main"):
-            return False
+        if tag in BLOCKS:
+            self.block_tags.append(tag)
+        if tag in CONTAINERS:
+            self.parents.append(self.container)
+            self.names.append(tag)
+            self.container = len(self.names) - 1
+        if tag in MAIN and not beside and not self.beside & (TAGGED | TALK):
+            self.main, self.beside = True, 0  # the layout around an article says nothing about it
+        self.beside |= max(beside, 0)
+
+    def _beside(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """Which kinds of boilerplate the element is; -1 if it is never shown."""
+        found = TAGGED if tag in BOILERPLATE else 0
         for name, value in attrs:
-            if name in ("hidden",) or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
-                return True
-            if name in ("class", "id") and value and any(_names_boilerplate(one) for one in value.split()):
-                return True
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
+                return -1
+            if tag in ("html", "body"):
+                continue
+            if name in ("class", "id") and value:
+                for one in value.split():
+                    parts = {p.lower() for p in PART.findall(one)}
+                    if not MARKS.isdisjoint(parts) and BESIDE.isdisjoint(parts) and (tag != "main" or not DISCUSSION.isdisjoint(parts)):
+                        found |= MARKED if DISCUSSION.isdisjoint(parts) else TALK
             if name == "role" and value and value.lower() in ROLES:
-                return True
-        return False
+                found |= TAGGED
+        return found
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -135,8 +153,9 @@ class BlockParser(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if not self.hidden:
             self.pending += 1
-        if any(t == tag for t, _, _ in self.open):
-            self._close(tag)
+        if self.counts[tag]:
+            while self._pop() != tag:
+                pass
         if tag in BLOCKS:
             self._new_block()
 
@@ -146,16 +165,18 @@ class BlockParser(HTMLParser):
         block = self.blocks[-1]
         block.chars.append(data)
         if not data.isspace():
+            block.container, block.beside, block.main = self.container, self.beside, self.main
             block.tags, self.pending = block.tags + self.pending, 0
-            block.links += len(data) if self.in_link else 0
+            block.links += len(data) if self.counts["a"] else 0
 
 
-def _names_boilerplate(name: str) -> bool:
-    parts = {p.lower() for p in PART.findall(name)}
-    return not MARKS.isdisjoint(parts) and BESIDE.isdisjoint(parts)
+def ratios(sizes: np.ndarray, tags: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Characters outside links for each tag of the line."""
+    return np.maximum(sizes - links, 0) / np.maximum(tags, 1)
 
 
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
+    """Each value as the Gaussian mean of those around it; the ends are repeated outwards."""
     reach = max(1, int(3 * sigma))
     weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     padded = np.pad(values, reach, mode="edge")
@@ -177,41 +198,58 @@ def two_means(values: np.ndarray, rounds: int = 20) -> float:
     return (low + high) / 2
 
 
+def content_region(levels: np.ndarray, floor: float) -> np.ndarray:
+    """Which lines are content by their level alone."""
+    return levels >= max(two_means(levels), floor)
+
+
 def main_text(html: str, sigma: float = 1.0, link_share: float = 0.6) -> str:
     parser = BlockParser()
     parser.feed(html)
     parser.close()
-    blocks = [(b, t) for b in parser.blocks if (t := b.text())]
-    if not blocks:
+    lines = [(b, t) for b in parser.blocks if (t := b.text())]
+    if not lines:
+        return ""
+    sizes = np.array([len(t) for _, t in lines], float)
+    links = np.array([b.links for b, _ in lines], float)
+    smoothed = smooth(np.log1p(ratios(sizes, np.array([b.tags for b, _ in lines]), links)), sigma)
+    for classes in (True, False):  # without class names, where these leave nothing
+        has_main = any(b.main and b.weight(classes, True) == IN_MAIN for b, _ in lines)
+        weights = np.array([b.weight(classes, has_main) for b, _ in lines])
+        usual = weights > IN_BOILERPLATE
+        if usual.any():
+            break
+    else:
         return ""
-    sizes = np.array([len(t) for _, t in blocks], float)
-    linked = np.array([b.links for b, _ in blocks], float) / sizes
-    ratios = sizes * (1 - np.minimum(linked, 1)) / np.array([max(1, b.tags) for b, _ in blocks])
-    level = smooth(np.log1p(ratios), sigma)
-    region = level >= two_means(level)
-
-    # the innermost container with most of the region's text; an article or main part goes before divisions within it
-    total = float(sizes[region].sum())
-    held: dict[int, float] = {}
-    for (b, _), size, inside in zip(blocks, sizes, region):
-        for number in b.path if inside else ():
-            held[number] = held.get(number, 0.0) + size
-    names = parser.names
-    main = [n for n, s in held.items() if names[n] in ("article", "main") and s >= 0.3 * total]
-    # the outermost article: a page of several has them all in one parent
-    content = max(main, key=lambda n: (held[n], -n)) if main else max((n for n, s in held.items() if s >= 0.7 * total), default=0)
-    return "\n".join(t for (b, t), share in zip(blocks, linked) if (not content or content in b.path) and (main or share <= link_share))
+    levels = smoothed * weights
+    region = content_region(levels, min(FLOOR, float(levels[usual].max())))
+
+    # how much of the region each container holds: a container's number is greater than its parent's
+    held = np.zeros(len(parser.names))
+    np.add.at(held, [b.container for b, _ in lines], sizes * region)
+    total = held.sum()
+    for n in range(len(held) - 1, 0, -1):
+        held[parser.parents[n]] += held[n]
+    content = max((n for n in range(len(held)) if held[n] >= 0.7 * total), default=0)
+    inside = np.zeros(len(held), bool)
+    inside[content] = True
+    for n in range(content + 1, len(held)):
+        inside[n] = inside[parser.parents[n]]
+    within = inside[[b.container for b, _ in lines]]
+    joins = within & (weights > BESIDE_MAIN) & (has_main | (links <= link_share * sizes))
+    return "\n".join(t for (_, t), keep in zip(lines, region | joins) if keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns of keep, text of every row of pages."""
+    """id, the columns of keep, text of every row of pages. Kept columns that are named id or text come with an underscore before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(html or "") for html in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names)
 
-    rows = pages.select(F.col(f"`{id_col}`").alias("id"), *(F.col(f"`{c}`") for c in keep), F.col(f"`{html_col}`").cast("string").alias("__html"))
+    kept = [F.col(f"`{c}`").alias(f"_{c}" if c.lower() in ("id", "text") else c) for c in keep]
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), *kept, F.col(f"`{html_col}`").cast("string").alias("__html"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.StringType())])
     names = schema.names
     return rows.mapInArrow(run, schema)

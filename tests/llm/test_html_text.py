@@ -1,5 +1,9 @@
+import math
+import time
+
 import pytest
 
+from basalt.llm import html_text as H
 from basalt.llm.html_text import extract, main_text, smooth, two_means
 
 P = "<p>" + "Words of the article go on and on, sentence after sentence. " * 4 + "</p>"
@@ -17,6 +21,13 @@ PAGES = {
     "empty": ("", ""),
     "none": (None, ""),
     "blank": ("<html><body><p> </p></body></html>", ""),
+    "short": ("<html><head><meta charset=utf-8></head><body><div><p>ok</p></div></body></html>", "ok"),
+    "only menus": (f"<body><nav>{P}</nav><div class=sidebar>x</div><footer>{P}{P}</footer></body>", "x"),
+    "wrapped": (f"<body class=has-nav><div class='layout sidebar-left'><nav>{P}</nav><main><article>{P}</article></main></div></body>", T),
+    "marked whole": (f"<body><div class='widget'>{P}<p>End.</p></div><nav><a href=/>Home</a></nav></body>", f"{T}\nEnd."),
+    "talk": (f"<article>{P}</article><section class=comments><article class=comment>{P}{P}{P}</article></section>", T),
+    "table page": (f"<table><tr><td><a href=/>Home</a><br><a href=/b>About us</a></td><td>{P}{P}<p>End.</p></td></tr></table>", f"{T}\n{T}\nEnd."),
+    "inline mark": ("<article><p>One <span class=ad>Buy now</span>two three four.</p></article>", "One two three four."),
     "beside": (f"<body><div class='page has-sidebar'>{P}{P}</div><div id=pageFooter>{P}</div>", f"{T}\n{T}"),
     "ads": (f"<article><div class='ad'>Buy</div>{P}<div class=cookie-notice>Accept</div></article>", T),
 }
@@ -40,3 +51,50 @@ def test_smoothing_and_threshold():
 
     assert abs(smooth(np.ones(9), 1.0) - 1).max() < 1e-9 and smooth(np.array([0.0, 0, 9, 0, 0]), 1.0).argmax() == 2
     assert 1 < two_means(np.array([0.0, 0, 1, 8, 9])) < 8
+
+
+def brute_levels(lines, sigma=1.0):
+    """lines: (text, tags, link characters)."""
+    level = [math.log(1 + max(0, len(t) - links) / max(1, tags)) for t, tags, links in lines]
+    reach, n = max(1, int(3 * sigma)), len(level)
+    weight = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    return [sum(w * level[min(max(i + k, 0), n - 1)] for k, w in zip(range(-reach, reach + 1), weight)) / sum(weight) for i in range(n)]
+
+
+def test_ratios_smoothing_and_cut_against_brute_force():
+    parser = H.BlockParser()
+    parser.feed(f"<body><ul><li><a href=a>One</a><li><a href=b>Two</a> x</ul>{P}<p>Short <b>line</b></p>{P}<p>By <i>me</i> <a href=c>and others</a></p>")
+    parser.close()
+    lines = [(b, b.text()) for b in parser.blocks if b.text()]
+    assert [(t, b.tags, b.links) for b, t in lines] == [("One", 4, 3), ("Two x", 4, 3), (T, 2, 0), ("Short line", 3, 0), (T, 3, 0), ("By me and others", 5, 10)]
+    want = brute_levels([(t, b.tags, b.links) for b, t in lines])
+    import numpy as np
+
+    sizes = np.array([len(t) for _, t in lines], float)
+    got = smooth(np.log1p(H.ratios(sizes, np.array([b.tags for b, _ in lines]), np.array([b.links for b, _ in lines]))), 1.0)
+    assert np.allclose(got, want)
+    # the cut leaves the smallest sum of squares within the two parts
+    ordered = sorted(want)
+    spread = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v)
+    best = min(range(1, len(ordered)), key=lambda k: spread(ordered[:k]) + spread(ordered[k:]))
+    assert H.content_region(got, 0.0).tolist() == [x >= ordered[best] for x in want]
+
+
+def test_the_clusters_decide(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(H, "content_region", lambda levels, floor: np.ones(len(levels), bool))
+    assert sum(main_text(html or "") != text for html, text in PAGES.values()) >= 8
+
+
+def test_deep_pages_take_linear_time():
+    began = time.perf_counter()
+    assert main_text("<div>" * 50_000 + P) == T
+    assert main_text("<div><p>x" * 20_000).count("\n") == 19_999
+    assert main_text("<ul><li>" * 20_000 + P) == T
+    assert time.perf_counter() - began < 10
+
+
+def test_kept_names(spark):
+    rows = spark.createDataFrame([(1, "<p>Some text</p>", "t", 2)], "page_id long, html string, text string, id int")
+    assert extract(rows, keep=("text", "id")).collect()[0].asDict() == {"id": 1, "_text": "t", "_id": 2, "text": "Some text"}
