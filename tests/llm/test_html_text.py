@@ -73,11 +73,11 @@ def test_ratios_smoothing_and_cut_against_brute_force():
     sizes = np.array([len(t) for _, t in lines], float)
     got = smooth(np.log1p(H.ratios(sizes, np.array([b.tags for b, _ in lines]), np.array([b.links for b, _ in lines]))), 1.0)
     assert np.allclose(got, want)
-    # the cut leaves the smallest sum of squares within the two parts
-    ordered = sorted(want)
-    spread = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v)
-    best = min(range(1, len(ordered)), key=lambda k: spread(ordered[:k]) + spread(ordered[k:]))
-    assert H.content_region(got, 0.0).tolist() == [x >= ordered[best] for x in want]
+    # the cut lies halfway between the means of both parts
+    cut = two_means(got)
+    low, high = [x for x in want if x < cut], [x for x in want if x >= cut]
+    assert abs(cut - (sum(low) / len(low) + sum(high) / len(high)) / 2) < 1e-9
+    assert H.content_region(got, 0.0).tolist() == [x >= cut for x in want] == [False, False, True, True, True, True]
 
 
 def test_the_clusters_decide(monkeypatch):
