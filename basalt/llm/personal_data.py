@@ -1,15 +1,18 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction of what they miss.
 
-The fixed patterns (email, ip, card, phone) give the base spans. Their instances are seeds: the words before an instance are a
-lexical pattern. Patterns and instances form a bipartite graph, which is scored in rounds: a pattern's confidence is the
-share of its distinct instances that are known, counted over all places in the corpus where its words stand (also where a
-plain word follows); an instance's score is 1 less the product of its patterns' doubts. Instances with a high score count as
-known in the next round. At the end the places where a pattern of high confidence stands before an identifier of such a score, and no
-base span is, are added as spans of the pattern's kind. DataFrame functions only.
+The fixed patterns (email, ip, card, phone) give the base spans, whose instances are seeds. Values that are assigned to a name such as
+token or password are seeds of a fifth kind, secret, which has no base spans: a secret is reported only where a pattern tells it.
+The words before an instance, and the word after it, are its lexical patterns. Patterns and instances form a bipartite graph, which
+is scored in rounds: a pattern's confidence for a kind is the share of its distinct instances that are known, counted over
+all places in the corpus where its words stand (also beside a plain word); an instance's score is 1 less the product of
+its patterns' doubts. Instances with a high score count as known in the next round. At the end the places where a pattern
+of high confidence stands beside an identifier that is known (or, for secrets, a seed), and no base span is, are added as spans of the
+pattern's kind. DataFrame functions only.
 
 Defined results: null and empty texts have no spans; spans that share a start are in the order of kinds; patterns and
 instances are compared in lower case with every digit as 0 in patterns; repeated rows each get their spans, and their
-instances count once; null ids are kept; empty input gives an empty result; other columns are ignored.
+instances count once; very long texts are read whole, and candidates meet base spans by blocks of text, so their work is
+linear; null ids are kept; empty input gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .shared import small, stored, text_of
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+SECRET = len(BASE)
+KINDS = (*BASE, "secret")
 #: Java patterns; possessive, and tried only where a run begins, so that long runs take linear time and no stack.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -31,16 +36,26 @@ PATTERNS = {
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 TRIGGER = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CONTEXT_CHARS = 80
-WRAPPING = "\"'`()[]{}<>.,;:!?"
+#: Before a cue that is the word after an identifier (no word begins with a blank).
+AFTER = " "
+WRAPPING = "\"'`()[]{}<>.,;:!?#*&%$"
+#: What stands before a seed of the kind secret: a telling name and an assignment.
+SECRET_BEFORE = r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)[\"']?[\x20\x09-\x0D]*[:=][\x20\x09-\x0D]*$"
+SECRET_LENGTH = 12
+#: Candidates and base spans meet within blocks of so many characters.
+BLOCK = 64
 
 
 def _found(body: Column, kind: int, pattern: str, trigger: str | None) -> Column:
-    """kind, at (number), gap (characters since the last match), value, before (the end of what stands in the gap) of each match."""
+    """kind, gap (characters since the last match), value, before and after (the end and the start of what stands in the gap) of each match.
+
+    A last element without a value holds what follows the last match.
+    """
     gaps, values = F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(f"({pattern})"), F.lit(1))
-    pairs = F.zip_with(gaps, values, lambda g, v: F.struct(F.lit(kind).alias("kind"), F.length(g).alias("gap"), v.alias("value"), F.right(g, F.lit(CONTEXT_CHARS)).alias("before")))
-    matches = F.filter(pairs, lambda p: p["value"].isNotNull())
+    pairs = F.zip_with(gaps, values, lambda g, v: F.struct(F.lit(kind).alias("kind"), F.length(g).alias("gap"), v.alias("value"), F.right(g, F.lit(CONTEXT_CHARS)).alias("before"), F.left(g, F.lit(CONTEXT_CHARS)).alias("after")))
+    matches = F.filter(pairs, lambda p: p["value"].isNotNull() | (p["gap"] < F.length(body)))
     maybe = body.rlike("[0-9@]") if trigger is None else F.contains(body, F.lit(trigger))
-    return F.coalesce(F.when(maybe, matches), F.expr("cast(array() as array<struct<kind: int, gap: int, value: string, before: string>>)"))
+    return F.coalesce(F.when(maybe, matches), F.expr("cast(array() as array<struct<kind: int, gap: int, value: string, before: string, after: string>>)"))
 
 
 def luhn(digits: Column) -> Column:
@@ -63,50 +78,65 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (row, id) of docs, and all matches (row, kind, start, end, value, before); kind 4 are candidates, the others valid base spans."""
+    """Rows (row, id) of docs, and all matches (row, kind, start, end, value, before, after); the last kind are candidates, the others valid base spans."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("body"))
     body = F.col("body")
-    per_kind = [_found(body, k, PATTERNS[name], TRIGGER[name]) for k, name in enumerate(KINDS)]
+    per_kind = [_found(body, k, PATTERNS[name], TRIGGER[name]) for k, name in enumerate(BASE)]
     all_found = stored(rows.select("row", "id", F.concat(*per_kind, _found(body, len(KINDS), CANDIDATE, None)).alias("found")))
     flat = all_found.select("row", F.posexplode("found").alias("at", "m")).select("row", "at", "m.*")
-    upto = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("row", "kind").orderBy("at"))
-    placed = flat.select("row", "kind", "value", "before", upto.cast("long").alias("end")).withColumn("start", F.col("end") - F.length("value"))
-    return all_found.select("row", "id"), stored(placed.where(_valid(F.col("kind"), F.col("value"))))
+    order = Window.partitionBy("row", "kind").orderBy("at")
+    upto = F.sum(F.col("gap") + F.length("value")).over(order)
+    placed = flat.select("row", "kind", "value", "before", F.lead("after").over(order).alias("after"), upto.cast("long").alias("end")).withColumn("start", F.col("end") - F.length("value"))
+    return all_found.select("row", "id"), stored(placed.where(F.col("value").isNotNull() & _valid(F.col("kind"), F.col("value"))))
+
+
+def _cues(before: Column, after: Column) -> Column:
+    """The last word, and the last two words, of what stands before, and the first word after, in lower case, digits as 0.
+
+    The word after is told apart by the mark that it follows.
+    """
+    plain = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "[0-9]", "0"))
+    one = F.regexp_extract(plain(before), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
+    two = F.regexp_extract(plain(before), r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
+    following = F.regexp_extract(plain(after), r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1)
+    cues = F.array(one, F.regexp_replace(two, r"[\x20\x09-\x0D]+", " "), F.when(following != "", F.concat(F.lit(AFTER), following)))
+    return F.filter(cues, lambda c: c != "")
 
 
-def _cues(before: Column) -> Column:
-    """The last word, and the last two words, of what stands before, in lower case, digits as 0."""
-    plain = F.lower(F.regexp_replace(before, "[0-9]", "0"))
-    one = F.regexp_extract(plain, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
-    two = F.regexp_extract(plain, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
-    return F.filter(F.array(one, F.regexp_replace(two, r"[\x20\x09-\x0D]+", " ")), lambda c: c != "")
+def _blocks(start: Column, end: Column) -> Column:
+    """The blocks of text that a span touches."""
+    return F.explode(F.sequence(F.floor(start / BLOCK), F.floor((F.greatest(end, start + 1) - 1) / BLOCK)))
 
 
 def context_edges(found: DataFrame) -> DataFrame:
-    """row, start, end, value (trimmed, lower case), kind (of the base span that it begins or holds, or null), cue: candidates by the words before them."""
+    """row, start, end, value (trimmed, lower case), kind (of the base span that it begins or holds, or null), seed (a secret by its assignment), cue: candidates by the words beside them."""
     tokens = found.where(F.col("kind") == len(KINDS)).withColumn("inner", F.ltrim(F.col("value"), F.lit(WRAPPING))).where("inner != ''")
     tokens = tokens.withColumn("first", F.col("end") - F.length("inner")).withColumn("inner", F.rtrim(F.col("inner"), F.lit(WRAPPING)))
-    tokens = tokens.where("inner != ''").select("row", F.col("first").alias("start"), (F.col("first") + F.length("inner")).alias("end"), F.lower("inner").alias("value"), "before")
-    base = found.where(F.col("kind") < len(KINDS)).select(F.col("row").alias("r"), F.col("kind"), F.col("start").alias("s"), F.col("end").alias("e"), F.lower("value").alias("whole"))
-    overlap = (F.col("row") == F.col("r")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))
-    held = tokens.join(base, overlap, "left")
+    span = [F.col("first").alias("start"), (F.col("first") + F.length("inner")).alias("end")]
+    tokens = tokens.where("inner != ''").select("row", *span, F.lower("inner").alias("value"), "before", "after")
+    base = found.where(F.col("kind") < len(BASE)).select("row", F.col("kind"), F.col("start").alias("s"), F.col("end").alias("e"), F.lower("value").alias("whole"))
+    in_blocks = tokens.select("row", "start", "end", _blocks(F.col("start"), F.col("end")).alias("block"))
+    base_blocks = base.withColumn("block", _blocks(F.col("s"), F.col("e")))
     # The instance is the whole span, told at the token in which it starts; its other tokens are parts, which teach nothing.
-    state = F.when(F.col("r").isNull(), F.lit(-1)).when(F.col("s") >= F.col("start"), F.col("kind")).otherwise(-2)
-    each = held.groupBy("row", "start", "end", "value", "before").agg(F.max(F.struct(state.alias("kind"), "whole")).alias("top")).where("top.kind != -2")
-    known = F.col("top.kind") >= 0
-    return each.select("row", "start", "end", F.when(known, F.col("top.whole")).otherwise(F.col("value")).alias("value"), F.when(known, F.col("top.kind")).alias("kind"), F.explode(_cues(F.col("before"))).alias("cue"))
+    state = F.when(F.col("s") >= F.col("start"), F.col("kind")).otherwise(-2)
+    held = in_blocks.join(base_blocks, ["row", "block"]).where((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
+    held = held.groupBy("row", "start", "end").agg(F.max(F.struct(state.alias("kind"), "whole")).alias("top"))
+    each = tokens.join(held, ["row", "start", "end"], "left").where(F.coalesce(F.col("top.kind"), F.lit(-1)) != -2)
+    known = F.col("top.kind").isNotNull()
+    seed = ~known & F.col("before").rlike(SECRET_BEFORE) & (F.length("value") >= SECRET_LENGTH)
+    return each.select("row", "start", "end", F.when(known, F.col("top.whole")).otherwise(F.col("value")).alias("value"), F.when(known, F.col("top.kind")).when(seed, SECRET).alias("kind"), F.explode(_cues(F.col("before"), F.col("after"))).alias("cue"))
 
 
 def cue_places(docs: DataFrame, cues: DataFrame, text_col: str) -> DataFrame:
-    """cue, places: how often each cue (a table of a column cue) stands in the texts, whatever follows."""
+    """cue, places: how often each cue (a table of a column cue) stands in the texts, whatever is beside it."""
     words = F.split(F.lower(F.regexp_replace(text_of(text_col), "[0-9]", "0")), r"[\x20\x09-\x0D]+")
-    spread = docs.select(words.alias("words")).select("words", F.transform("words", lambda w, i: F.when(i > 0, F.concat(F.get(F.col("words"), i - 1), F.lit(" "), w))).alias("pairs"))
-    seen = spread.select(F.explode(F.concat("words", "pairs")).alias("cue")).where("cue is not null")
+    spread = docs.select(words.alias("words")).select("words", F.transform("words", lambda w, i: F.when((i > 0) & (F.get(F.col("words"), i - 1) != ""), F.concat(F.get(F.col("words"), i - 1), F.lit(" "), w))).alias("pairs"))
+    seen = spread.select(F.explode(F.concat("words", "pairs", F.transform("words", lambda w, i: F.when(i > 0, F.concat(F.lit(AFTER), w))))).alias("cue")).where("cue is not null")
     return seen.join(cues, "cue", "left_semi").groupBy("cue").agg(F.count(F.lit(1)).alias("places"))
 
 
 def bootstrap(docs: DataFrame, found: DataFrame, text_col: str = "text", *, rounds: int = 3, least: int = 5, sure: float = 0.8, accept: float = 0.9) -> DataFrame:
-    """row, kind, start, end of identifiers that no base span covers.
+    """row, kind, start, end of identifiers beside which a pattern stands and that no base span covers.
 
     least: how many distinct known instances a pattern needs; sure: its confidence, over all places where it stands; accept: the
     score that makes an instance known.
@@ -137,14 +167,16 @@ def bootstrap(docs: DataFrame, found: DataFrame, text_col: str = "text", *, roun
         best = Window.partitionBy("value").orderBy(F.desc("score"), "kind")
         fresh = fresh.where(F.col("score") >= accept).withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
         known = stored(known.where("score = 1.0").unionByName(fresh.where("score < 1.0").select("value", "kind", "score")))
-    reliable = edges.where("kind is null").drop("kind").join(small(patterns), "cue").join(known.where("score < 1.0").select("value", F.col("kind").alias("its")), "value")
+    known = known.where((F.col("score") < 1.0) | (F.col("kind") == SECRET)).select("value", F.col("kind").alias("its"))
+    free = edges.where(F.col("kind").isNull() | (F.col("kind") == SECRET)).drop("kind")
+    reliable = free.join(small(patterns), "cue").join(known, "value")
     return reliable.where("kind = its").select("row", "kind", "start", "end").distinct()
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, base and spans (arrays of start, kind, end, by start, then kind) of every row of docs."""
     rows, found = matches(docs, id_col, text_col)
-    base = found.where(F.col("kind") < len(KINDS)).select("row", "kind", "start", "end", F.lit(True).alias("base"))
+    base = found.where(F.col("kind") < len(BASE)).select("row", "kind", "start", "end", F.lit(True).alias("base"))
     added = bootstrap(docs, found, text_col, **options).select("row", "kind", "start", "end", F.lit(False).alias("base"))
     span = F.struct("start", "kind", "end")
     spans = base.unionByName(added).groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))

@@ -12,7 +12,7 @@ from .html_text import extract
 from .language import language_report
 from .mixing import pareto_mix
 from .packing import pack, pieces
-from .personal_data import KINDS, count_of, personal_data
+from .personal_data import BASE, count_of, personal_data
 from .personal_data import as_text as spans_as_text
 from .shared import table
 from .simhash import near_duplicates
@@ -78,8 +78,8 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(spans_as_text(F.col("base")), 256).alias("base_sha256"), spans_as_text(F.col("spans")).alias("spans"))
+    counts = [count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in BASE]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(spans_as_text(F.col("base")), 256).alias("base_sha256"), spans_as_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_exact_dedup": op4_exact_dedup, "op5_warc_fixity": op5_warc_fixity, "op6_simhash": op6_simhash, "op7_html_text": op7_html_text, "op8_fingerprint": op8_fingerprint, "op9_personal_data": op9_personal_data, "op10_language": op10_language}
