@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
-from .fingerprint import as_text, edit_report
+from .fingerprint import edit_report
 from .fixity import audit, warc_records
 from .html_text import extract
 from .language import language_report
@@ -14,7 +14,7 @@ from .mixing import pareto_mix
 from .packing import pack, pieces
 from .personal_data import BASE, count_of, personal_data
 from .personal_data import as_text as spans_as_text
-from .shared import table
+from .shared import stored, table
 from .simhash import near_duplicates
 from .toxicity import toxicity_report
 
@@ -42,8 +42,9 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report is written to the shared folder once, so that later filters on it don't sum the lanes again."""
     report = edit_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return report.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("lanes")).alias("fingerprint"), as_text(F.col("edited_lanes")).alias("edited_fingerprint"), "near_edited", "near_next")
+    return stored(report.withColumnRenamed("id", "doc_id"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
