@@ -1,24 +1,33 @@
 """Exact duplicates through a log-structured merge index of digests.
 
-Memtables (slices of the input) flush runs of (digest, smallest id, copies), sorted by digest. Compaction merges
-the runs of a level into the next and keeps the smallest id of each digest. A bitmap filter of the digests with more than one
-member picks the texts whose bytes are compared, so texts without a copy never move. All of it is DataFrame work in the JVM.
-
-Defined results: null texts count as empty texts; null ids sort after all others; rows that repeat an id are
-judged by their own text; empty input gives an empty result; other columns are ignored.
+A batch of rows is flushed through memtables of bounded size, each of which becomes a run: (digest, smallest id, copies), sorted by
+digest, with a bitmap filter of its digests. Compaction is tiered: when a level has `fanout` runs they merge into one
+of the next level, which keeps the smallest id of each digest. A lookup of new rows asks each run's filter first, so only rows that
+may be known are joined with the run. Of a batch itself, a filter of the digests with more than one member picks the texts whose
+bytes are compared, so texts without a copy never move. All of it is DataFrame work in the JVM; runs are tables in the
+shared folder.
+
+Defined results: null texts count as empty texts; null ids sort after all others; rows that repeat an id are judged by their own
+text; of rows that share both the smallest id and the text exactly one is kept; very long texts are digested whole; empty input
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WHITE, stored, text_of
+from .shared import WHITE, free_names, stored, text_of
 
 #: Bits of one filter slice; Spark's bitmap functions use this size.
 SLICE = 32768
+#: Filters have at least so many bits for each digest, and at most 2**MOST_BITS (128 MB, for 67 million digests). A filter
+#: over that bound passes more rows that aren't there, and loses none.
+BITS_EACH, MOST_BITS = 16, 30
 
 
 def normalised(text: Column) -> Column:
@@ -29,95 +38,141 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-class DigestIndex:
-    """Sorted runs by level. flush() adds a level-0 run for each memtable, compact() merges, lookup() probes."""
-
-    def __init__(self, spark: SparkSession, memtables: int = 4, fanout: int = 4, filter_bits: int = 24):
-        self.spark, self.memtables, self.fanout, self.filter_bits = spark, memtables, fanout, filter_bits
-        self.levels: dict[int, list[DataFrame]] = {}
-
-    def flush(self, rows: DataFrame) -> None:
-        """rows: id, digest. Each memtable aggregates its slice and goes out as one run sorted by digest."""
-        slices = rows.withColumn("memtable", F.pmod(F.xxhash64("id"), F.lit(self.memtables)).cast("int"))
-        runs = slices.groupBy("memtable", "digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-        written = stored(runs.select("digest", "keep_id", "copies", "memtable"), sort_by="digest", partition_by="memtable")
-        self.levels.setdefault(0, []).extend(written.where(F.col("memtable") == m).drop("memtable") for m in range(self.memtables))
-
-    def compact(self, level: int = 0) -> None:
-        """Merges all runs of the level into one sorted run of the next: smallest id and sum of copies of each digest."""
-        runs = self.levels.pop(level, [])
-        if not runs:
-            return
-        merged = runs[0]
-        for run in runs[1:]:
-            merged = merged.unionByName(run)
-        merged = merged.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
-        self.levels.setdefault(level + 1, []).append(stored(merged, sort_by="digest"))
-        if len(self.levels[level + 1]) >= self.fanout:
-            self.compact(level + 1)
+@dataclass
+class Filter:
+    """A bitmap of 2**bits bits, in slices; small enough to broadcast at any input size."""
 
-    def view(self) -> DataFrame:
-        """One row per digest over all runs of all levels."""
-        while sum(map(len, self.levels.values())) > 1:
-            top = max(self.levels)
-            if len(self.levels) == 1:
-                self.compact(top)
-            else:
-                low = min(self.levels)
-                self.levels.setdefault(top, []).extend(run for run in self.levels.pop(low))
-        return next(iter(self.levels.values()))[0]
-
-    def filter_of(self, digests: DataFrame) -> DataFrame:
-        """A bitmap of 2**filter_bits bits at most (2 MB by default), in slices: small enough to broadcast at any input size."""
-        at = self._position()
-        return digests.groupBy(F.expr(f"{at} div {SLICE}").alias("slice")).agg(F.expr(f"bitmap_construct_agg({at} % {SLICE})").alias("bits"))
-
-    def may_have(self, rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-        """Rows whose digest may be in the filter (no false negatives)."""
-        at, names = self._position(), rows.columns
+    slices: DataFrame
+    bits: int
+
+    @staticmethod
+    def _position(bits: int) -> str:
+        return f"(xxhash64(digest) & {(1 << bits) - 1}L)"
+
+    @classmethod
+    def of(cls, digests: DataFrame, count: int) -> Filter:
+        """A filter of a stored table with so many digests (column digest)."""
+        bits = min(MOST_BITS, max(15, math.ceil(math.log2(max(1, count) * BITS_EACH))))
+        at = cls._position(bits)
+        return cls(stored(digests.groupBy(F.expr(f"{at} div {SLICE}").alias("slice")).agg(F.expr(f"bitmap_construct_agg({at} % {SLICE})").alias("bits"))), bits)
+
+    def may_have(self, rows: DataFrame) -> DataFrame:
+        """Rows (with a column digest) that may be in the filter; none that is in it is lost."""
+        at, names = self._position(self.bits), rows.columns
         hit = F.expr(f"cast(conv(hex(substring(bits, cast(({at} % {SLICE}) div 8 as int) + 1, 1)), 16, 10) as int)")
         bit = F.expr(f"shiftleft(1, cast({at} % 8 as int))")
-        return rows.withColumn("slice", F.expr(f"{at} div {SLICE}")).join(F.broadcast(bitmap), "slice").where(hit.bitwiseAND(bit) != 0).select(names)
+        return rows.withColumn("slice", F.expr(f"{at} div {SLICE}")).join(F.broadcast(self.slices), "slice").where(hit.bitwiseAND(bit) != 0).select(names)
+
 
-    def _position(self) -> str:
-        return f"(xxhash64(digest) & {(1 << self.filter_bits) - 1}L)"
+@dataclass
+class Run:
+    """rows: digest, keep_id, keep_row, copies, sorted by digest."""
 
+    rows: DataFrame
+    count: int
+    filter: Filter | None = None
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest: Callable[[Column], Column] = sha256, memtables: int = 4, filter_bits: int = 24) -> DataFrame:
+    def filtered(self) -> Filter:
+        if self.filter is None:
+            self.filter = Filter.of(self.rows.select("digest"), self.count)
+        return self.filter
+
+
+class DigestIndex:
+    """Sorted runs by level. flush() adds level-0 runs for a batch and compacts levels that are full, lookup() probes, view() merges all."""
+
+    def __init__(self, spark: SparkSession, memtable_rows: int = 50_000_000, fanout: int = 8):
+        self.spark, self.memtable_rows, self.fanout = spark, memtable_rows, fanout
+        self.levels: list[list[Run]] = []
+
+    def flush(self, rows: DataFrame, count: int) -> None:
+        """rows: id, row (a number that tells equal ids apart), digest, a stored table of so many rows. Each memtable takes about memtable_rows of them."""
+        tables = max(1, -(-count // self.memtable_rows))
+        first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
+        runs = rows.groupBy(F.pmod(F.xxhash64("row"), F.lit(tables)).cast("int").alias("memtable"), "digest").agg(first, F.count(F.lit(1)).alias("copies"))
+        runs = runs.select("digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "copies", "memtable")
+        written = stored(runs, sort_by="digest", partition_by="memtable")
+        for m in range(tables):
+            run = written.where(F.col("memtable") == m).drop("memtable")
+            self._add(0, Run(run, run.count()))
+
+    def _add(self, level: int, run: Run) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fanout:
+            full, self.levels[level] = self.levels[level], []
+            self._add(level + 1, self._merged(full))
+
+    def _merged(self, runs: list[Run]) -> Run:
+        """One sorted run: smallest id and sum of copies of each digest."""
+        rows = runs[0].rows
+        for run in runs[1:]:
+            rows = rows.unionByName(run.rows)
+        first = F.min(F.struct(F.col("keep_id").isNull().alias("last"), F.col("keep_id").alias("id"), F.col("keep_row").alias("row"))).alias("first")
+        merged = rows.groupBy("digest").agg(first, F.sum("copies").alias("copies")).select("digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "copies")
+        written = stored(merged, sort_by="digest")
+        return Run(written, written.count())
+
+    def runs(self) -> list[Run]:
+        return [run for level in self.levels for run in level]
+
+    def view(self) -> DataFrame:
+        """One row per digest over all runs: digest, keep_id, keep_row, copies. What had several runs is one run afterwards."""
+        runs = self.runs()
+        if len(runs) != 1:
+            self.levels = [[] for _ in self.levels[:-1]] + [[self._merged(runs)]]
+        return self.runs()[0].rows
+
+    def lookup(self, rows: DataFrame) -> DataFrame:
+        """digest, keep_id, copies of the rows' digests that the index holds. rows: a column digest."""
+        wanted, found = rows.select("digest").distinct(), None
+        for run in self.runs():
+            hits = run.filtered().may_have(wanted).join(run.rows, "digest")
+            found = hits if found is None else found.unionByName(hits)
+        if found is None:
+            raise ValueError("nothing was flushed yet")
+        first = F.min(F.struct(F.col("keep_id").isNull().alias("last"), F.col("keep_id").alias("id"))).alias("first")
+        return found.groupBy("digest").agg(first, F.sum("copies").alias("copies")).select("digest", F.col("first.id").alias("keep_id"), "copies")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest: Callable[[Column], Column] = sha256, memtable_rows: int = 50_000_000, fanout: int = 8) -> DataFrame:
     """One row per row of docs: id, keep_id (smallest id of the equal texts), copies, kept, digest (binary).
 
     Texts are equal if they are identical after white space runs become one space. digest may be any hash of the text;
     texts that share a digest but differ in bytes are told apart.
     """
-    index = DigestIndex(docs.sparkSession, memtables=memtables, filter_bits=filter_bits)
+    index = DigestIndex(docs.sparkSession, memtable_rows, fanout)
     text = normalised(text_of(text_col))
-    ids = stored(docs.select(F.col(f"`{id_col}`").alias("id"), digest(text).alias("digest")))
-    index.flush(ids)
-    index.compact()
+    ids = stored(docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), digest(text).alias("digest")))
+    index.flush(ids, ids.count())
     merged = index.view()
 
-    shared = merged.where("copies > 1").select("digest")
+    shared = stored(merged.where("copies > 1").select("digest"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("body")).withColumn("digest", digest(F.col("body")))
-    suspects = index.may_have(texts, index.filter_of(shared))
+    suspects = Filter.of(shared, shared.count()).may_have(texts)
     # Of each digest the smallest and the largest text, gathered in each task first: equal bytes if, and only if, they are equal.
     differing = stored(suspects.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low != high").select("digest"))
 
-    found = ids.join(merged, "digest")
+    found = ids.join(merged, "digest").select("id", "row", "keep_id", "keep_row", "copies", "digest")
     if not differing.isEmpty():
-        split = texts.join(differing, "digest", "left_semi")
-        exact = split.groupBy("digest", "body").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+        split = stored(texts.join(differing, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()))
+        first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
+        exact = split.groupBy("digest", "body").agg(first, F.count(F.lit(1)).alias("copies")).select("digest", "body", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "copies")
         found = found.join(differing, "digest", "left_anti").unionByName(split.join(exact, ["digest", "body"]).drop("body"))
-    return found.select("id", "keep_id", "copies", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    return found.select("id", "keep_id", "copies", (F.col("row") == F.col("keep_row")).alias("kept"), "digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest: Callable[[Column], Column] = sha256, **options) -> DataFrame:
     """docs without all but the first (smallest id) of equal texts; every column stays. Of rows that share both id and text one stays."""
-    groups = stored(exact_groups(docs, id_col, text_col, digest=digest, **options).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "kept", "keep_id"))
-    rows = docs.withColumn("__text_digest", digest(normalised(text_of(text_col))))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text_digest") == F.col("__digest"))
-    left = rows.join(groups.where(~F.col("kept")).select("__id", "__digest").distinct(), same, "left_anti")
-    twice = stored(groups.where("kept").groupBy("__id", "__digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    key, mark, own = free_names(docs, "group_id", "group_digest", "text_digest")
+    groups = exact_groups(docs, id_col, text_col, digest=digest, **options)
+    each = stored(groups.groupBy(F.col("id").alias(key), F.col("digest").alias(mark)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"))
+    rows = docs.withColumn(own, digest(normalised(text_of(text_col))))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.col(own) == F.col(mark))
+    left = rows.join(each.where("not kept").select(key, mark), same, "left_anti")
+    twice = each.where("kept").select(key, mark)
     if not twice.isEmpty():
-        once = left.join(twice, same, "left_semi").dropDuplicates([id_col, "__text_digest"])
+        once = left.join(twice, same, "left_semi").dropDuplicates([id_col, own])
         left = left.join(twice, same, "left_anti").unionByName(once)
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))
