@@ -4,11 +4,13 @@ Two texts are alike by the n-grams (1 to 3 letters, a blended spectrum) that are
 sqrt(|X| |Y|). Nyström landmarks (some texts of each language) turn the kernel into a short feature vector, and a
 one-versus-rest kernel ridge regression on a bounded sample of labelled texts gives a weight vector for each
 language. A batch of texts is scored by two matrix products: presence of the landmarks' n-grams times the landmarks'
-incidence, and the kernel values times the weights.
+incidence, and the kernel values times the weights. Both factors of the first are sparse, and are kept and multiplied so: for each n-gram
+of the vocabulary, the landmarks that hold it.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as are all texts where nothing could be
 learned; ties go to the language that sorts first; null ids are in the training fold of the text ''; repeated rows get equal
-predictions; empty input gives an empty result; other columns are ignored.
+predictions; very long texts count with all their n-grams; empty input gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -57,23 +59,48 @@ def spectrum() -> Spectrum:
     return _SPECTRUM[0]
 
 
+@dataclass
+class Incidence:
+    """vocab: sorted n-grams of the landmarks; those at n are in the landmarks `marks[starts[n]:starts[n + 1]]`; scale: 1 / sqrt of a landmark's n-grams."""
+
+    vocab: np.ndarray
+    starts: np.ndarray
+    marks: np.ndarray
+    scale: np.ndarray
+
+    @classmethod
+    def of(cls, landmarks: list[np.ndarray]) -> Incidence:
+        sizes = [len(g) for g in landmarks]
+        grams, held = np.concatenate([*landmarks, np.zeros(0, np.int64)]), np.repeat(np.arange(len(landmarks), dtype=np.int32), sizes)
+        order = np.argsort(grams, kind="stable")
+        vocab, starts = np.unique(grams[order], return_index=True)
+        return cls(vocab, np.append(starts, len(grams)), held[order], 1 / np.sqrt(np.maximum(sizes, 1)))
+
+    def product(self, found: list[np.ndarray]) -> np.ndarray:
+        """How many n-grams each text shares with each landmark, over the root of the landmark's number."""
+        shared = np.zeros((len(found), len(self.scale)))
+        for row, grams in enumerate(found):
+            at = np.searchsorted(self.vocab, grams)
+            at = at[at < len(self.vocab)] if len(at) and at[-1] == len(self.vocab) else at
+            at = at[self.vocab[at] == grams[: len(at)]]
+            counts = self.starts[at + 1] - self.starts[at]
+            # the places of all landmarks of all hits: for each hit a run of consecutive numbers
+            places = np.arange(counts.sum()) + np.repeat(self.starts[at] - np.cumsum(counts) + counts, counts)
+            shared[row] = np.bincount(self.marks[places], minlength=len(self.scale))
+        return shared * self.scale
+
+
 @dataclass
 class LanguageModel:
-    """languages; vocab: sorted n-grams of the landmarks; incidence: vocab x landmarks; weights: landmarks x languages."""
+    """languages; incidence of the landmarks; weights: landmarks x languages."""
 
     languages: list[str]
-    vocab: np.ndarray
-    incidence: np.ndarray
+    incidence: Incidence
     weights: np.ndarray
 
     def kernel(self, found: list[np.ndarray]) -> np.ndarray:
-        present = np.zeros((len(found), len(self.vocab)), np.float32)
-        for row, grams in enumerate(found):
-            at = np.searchsorted(self.vocab, grams)
-            at[at == len(self.vocab)] = 0
-            present[row, at[self.vocab[at] == grams]] = 1
-        sizes = np.sqrt(np.maximum([len(g) for g in found], 1)).astype(np.float32)
-        return present @ self.incidence / sizes[:, None]
+        sizes = np.sqrt(np.maximum([len(g) for g in found], 1))
+        return self.incidence.product(found) / sizes[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         found = [spectrum().grams(t or "") for t in texts]
@@ -86,22 +113,25 @@ class LanguageModel:
         return [self.languages[b] if k else NO_LANGUAGE for b, k in zip(best, known)], [float(s) if k else 0.0 for s, k in zip(score, known)]
 
 
-def fit_language(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, landmarks: int = 32, max_languages: int = 200, ridge: float = 1e-3) -> LanguageModel:
+def fit_language(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, landmarks: int = 32, all_texts: int = 60_000, all_landmarks: int = 4096, ridge: float = 1e-3) -> LanguageModel:
     """A model from rows with text and language.
 
-    At most per_language distinct texts of each language (those with the smallest hash of the text) and max_languages languages (the
-    most frequent) come to the driver, as n-grams; landmarks of the texts of each language are the Nyström landmarks. Texts without
-    a letter teach nothing.
+    Every language that has a text with a letter is learned. At most per_language distinct texts of each (those with the smallest
+    hash of the text) come to the driver, as n-grams; landmarks of the texts of each language are the Nyström landmarks. Where languages are
+    so many that this would exceed all_texts or all_landmarks, each language has an equal share of these, and at least 8 texts and one
+    landmark. Texts without a letter teach nothing.
     """
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null").where(F.col("text").rlike(LETTER))
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    texts = rows.groupBy("lang", "hash").count().groupBy("lang").agg(F.sum("count").alias("rows"), F.count("*").alias("texts"))
-    counts = texts.orderBy(F.desc("rows"), "lang").limit(max_languages).collect()
+    texts = rows.groupBy("lang", "hash").count().groupBy("lang").agg(F.count("*").alias("texts"))
+    counts = texts.collect()  # a row for each language
     if not counts:
-        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
+        return LanguageModel([], Incidence.of([]), np.zeros((0, 0)))
+    per_language = max(8, min(per_language, all_texts // len(counts)))
+    landmarks = max(1, min(landmarks, all_landmarks // len(counts)))
     # Of languages with many texts, a share by hash that holds about twice the texts wanted, however often each is repeated.
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_language / r["texts"]))))
-    picked = rows.where(F.pmod("hash", F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * float(1 << 40))
+    share = F.broadcast(texts.select(F.col("lang").alias("its"), F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("texts")).alias("share")))
+    picked = rows.join(share, F.col("lang") == F.col("its")).where(F.pmod("hash", F.lit(1 << 40)) < F.col("share") * float(1 << 40))
     picked = picked.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("text", "lang", "hash")  # copies count once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,19 +150,15 @@ def fit_language(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
     texts = [g for name in languages for g in by[name]]
     truth = np.repeat(np.arange(len(languages)), [len(by[name]) for name in languages])
     marks = [g for name in languages for g in by[name][:landmarks]]
-    vocab = np.unique(np.concatenate(marks))
-    incidence = np.zeros((len(vocab), len(marks)), np.float32)
-    for k, g in enumerate(marks):
-        incidence[np.searchsorted(vocab, g), k] = 1 / np.sqrt(len(g))
-    model = LanguageModel(languages, vocab, incidence, np.zeros((len(marks), len(languages))))
-    values, vectors = np.linalg.eigh(model.kernel(marks).astype(np.float64))
+    model = LanguageModel(languages, Incidence.of(marks), np.zeros((len(marks), len(languages))))
+    values, vectors = np.linalg.eigh(model.kernel(marks))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6))
-    z = model.kernel(texts).astype(np.float64) @ whiten
+    z = model.kernel(texts) @ whiten
     goal = np.where(truth[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Each language weighs the same, however many texts it has.
     weight = (1 / np.bincount(truth, minlength=len(languages)))[truth][:, None]
     solved = np.linalg.solve(z.T @ (weight * z) + ridge * np.eye(z.shape[1]), z.T @ (weight * goal))
-    model.weights = (whiten @ solved).astype(np.float32)
+    model.weights = whiten @ solved
     return model
 
 

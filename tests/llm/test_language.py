@@ -1,6 +1,6 @@
 import numpy as np
 
-from basalt.llm.language import CLASSES, Spectrum, fit_language, identify, language_report
+from basalt.llm.language import CLASSES, Incidence, Spectrum, fit_language, identify, language_report
 
 WORDS = {"en": "the and that with from this have which would there about their other these could people through between".split(), "de": "und der die nicht mit sich auch eine nach werden über zwischen können müssen größe straße dieser wieder".split(), "ru": "и в не на что как это было только может человек время когда очень после перед".split()}
 
@@ -59,7 +59,7 @@ def test_copies_do_not_thin_out_the_training_texts(spark):
     rows = [(t, lang) for lang, own in texts.items() for t in own] + [("haus " * 20, "de")] * 8000 + [(f"{n} ...", "ru") for n in range(8000)]
     table = spark.createDataFrame(rows, "text string, lang string")
     model = fit_language(table, per_language=20, landmarks=20)
-    assert model.languages == ["de", "en", "ru"] and model.incidence.shape[1] == 60
+    assert model.languages == ["de", "en", "ru"] and len(model.incidence.scale) == 60
     assert model.predict(texts["de"])[0].count("de") > 36 and model.predict(texts["ru"])[0].count("ru") > 36
 
 
@@ -73,3 +73,23 @@ def test_letters_of_all_scripts_are_told_apart(spark):
     model = fit_language(spark.createDataFrame([(t, "el") for t in greek[:30]] + [(t, "ru") for t in cyrillic[:30]], "text string, lang string"))
     assert model.predict(greek[30:])[0] == ["el"] * 10 and model.predict(cyrillic[30:])[0] == ["ru"] * 10
     assert len(Spectrum().grams("".join(chr(0x4E00 + k) for k in range(1000)))) == 3000 + 2
+
+
+def test_every_language_can_be_predicted(spark):
+    """250 languages, each with two letters and words of its own: more than any cut of a list of languages."""
+    rng, rows = np.random.default_rng(7), []
+    for n in range(250):
+        words = ["".join(rng.choice([chr(0x4E00 + 20 * n + k) for k in range(12)], 4)) for _ in range(15)]
+        rows += [(" ".join(rng.choice(words, 20)), f"l{n:03d}") for _ in range(10)]
+    held = [rows[k] for k in range(0, 2500, 10)]
+    model = fit_language(spark.createDataFrame([r for k, r in enumerate(rows) if k % 10], "text string, lang string"), all_texts=2000, all_landmarks=500)
+    assert len(model.languages) == 250 and len(model.incidence.scale) == 500
+    assert model.predict([t for t, _ in held])[0] == [lang for _, lang in held]
+
+
+def test_sparse_products():
+    rng = np.random.default_rng(8)
+    texts = [np.unique(rng.integers(0, 60, size)) for size in (0, 5, 20, 40, 60)]
+    marks = [np.unique(rng.integers(10, 50, size)) for size in (1, 10, 30)]
+    want = [[len(set(t) & set(m)) / np.sqrt(len(m)) for m in marks] for t in texts]
+    assert np.allclose(Incidence.of(marks).product(texts), want)
