@@ -6,8 +6,8 @@ u / (1 - u), and documents go by the quotient of both, smallest first, until the
 then tried by size, so that the words taken come near the target. DataFrame functions only.
 
 Defined results: null texts have size 0 and take 0 words; null sources are one source, after all others; null ids and repeated
-rows get the same random number and are told apart by size only (equal rows are interchangeable); empty input gives an
-empty result.
+rows get the same random number and are told apart by size only (equal rows are interchangeable); very long texts are counted whole, and
+are taken where they fit; empty input gives an empty result; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, stored, text_of
+from .shared import WORD, free_names, stored, text_of
 
 #: Ranks have RANK_BITS bits and are cut by BIN_BITS at a time, so that only the rows of one tiny bin are ever ordered one by one.
 RANK_BITS, BIN_BITS, LEVELS = 40, 10, 2
@@ -126,9 +126,10 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mixture itself: every row of docs as often as it is taken, all columns kept. Rows of size 0 go."""
-    plan = pareto_mix(docs, id_col, source_col, text_col, **options).where("copies > 0 and size > 0").groupBy("id", "source", "size").agg(F.max("copies").alias("__copies"))
-    plan = plan.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
-    rows = docs.withColumn("__words", words(text_of(text_col)))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    key, origin, size, times, own, each = free_names(docs, "plan_id", "plan_source", "plan_size", "copies", "words", "copy")
+    plan = pareto_mix(docs, id_col, source_col, text_col, **options).where("copies > 0 and size > 0").groupBy("id", "source", "size").agg(F.max("copies").alias("copies"))
+    plan = plan.select(F.col("id").alias(key), F.col("source").alias(origin), F.col("size").alias(size), F.col("copies").alias(times))
+    rows = docs.withColumn(own, words(text_of(text_col)))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & F.col(f"`{source_col}`").eqNullSafe(F.col(origin)) & (F.col(own) == F.col(size))
     out = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.join(plan, same).select(*out, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")).drop("__copy")
+    return rows.join(plan, same).select(*out, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(each)).drop(each)

@@ -74,3 +74,11 @@ def test_mixture(spark):
 
 def test_no_rows(spark):
     assert pareto_mix(docs(spark, [])).count() == 0 and pareto_mix(docs(spark, [(1, "a", None)])).first()["taken"] == 0
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(n, "a b c", "s", 1, 2, 3, 4) for n in range(4)], "doc_id long, text string, source string, `__words` int, `__copy` int, copy int, copies int")
+    from basalt.llm.mixing import mixed
+
+    found = mixed(rows)
+    assert found.columns == rows.columns and {tuple(r)[3:] for r in found.collect()} == {(1, 2, 3, 4)}
