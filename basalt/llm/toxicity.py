@@ -7,8 +7,9 @@ marks, or next to words that clean texts have around such hits (someone is quote
 regression on these few counts, fitted on a bounded sample of the labelled rows, gives the score.
 
 Defined results: null and empty texts have no hits and get the score of a text without hits; without toxic labels every
-score is 0; labels that are null, and ids without a label, teach nothing; repeated rows get equal scores; null ids are kept;
-empty input gives an empty result; other columns are ignored.
+score is 0; labels that are null or no number, ids without a label, and ids with unlike labels teach nothing, so reruns agree; texts that
+have both labels count under both; very long texts are read whole; repeated rows get equal scores; null ids are kept; empty input
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -246,10 +247,36 @@ def log_odds(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
     return math.log((toxic + 0.5) / (all_toxic + 1)) - math.log((clean + 0.5) / (all_clean + 1))
 
 
+def families(sketches: list[list[int]], band: int = 4) -> np.ndarray:
+    """A number for each text: texts that agree on a band of min-hashes (near copies, mostly) have the same one."""
+    parent = list(range(len(sketches)))
+
+    def find(n: int) -> int:
+        while parent[n] != n:
+            parent[n] = n = parent[parent[n]]
+        return n
+
+    first: dict[tuple, int] = {}
+    for n, sketch in enumerate(sketches):
+        for k in range(0, len(sketch), band):
+            a, b = find(n), find(first.setdefault((k, *sketch[k : k + band]), n))
+            parent[max(a, b)] = min(a, b)
+    return np.array([find(n) for n in range(len(sketches))], np.int64)
+
+
+def sketch_of(text: str, size: int = 16) -> list[int]:
+    """Min-hashes of the text's words."""
+    from xxhash import xxh64_intdigest
+
+    words = np.array([xxh64_intdigest(w) for w in set(TOKEN.findall(text.lower()))] or [0], np.uint64)
+    return [int((words * np.uint64(2 * k + 0x9E3779B97F4A7C15) >> np.uint64(1)).min()) for k in range(size)]
+
+
 def choose_terms(holders: dict[str, np.ndarray], odds: dict[str, float], most: int, times: int = 3, least: int = 3) -> list[str]:
     """Up to `most` terms that together cover each text up to `times` times, by greedy choice; each must add `least` texts.
 
-    holders: the numbers of the texts that hold a term. What a group of near copies has in common, once covered, adds no terms.
+    holders: the numbers of the texts, or of their families, that hold a term. What a group of near copies has in common, once
+    covered, adds no terms; where families are given, it is one text from the start.
     """
     lacking = np.full(1 + max((int(h.max()) for h in holders.values()), default=-1), times)
     gains = {t: len(h) for t, h in holders.items() if len(h) >= least}
@@ -310,7 +337,13 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
         share = min(1.0, 2 * max_texts / totals[toxic])
         return rows.where(F.col("toxic") == toxic).where(F.col("hash") < int(share * (1 << 40)))
 
-    hashes = sorted(r["hash"] for r in sample(1).select("hash").collect())[:max_texts]
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch_of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["hash", "sketch"])
+
+    sketches = sorted((r["hash"], r["sketch"]) for r in sample(1).select("hash", "text").mapInArrow(sketched, "hash long, sketch array<long>").collect())[:max_texts]
+    hashes = [h for h, _ in sketches]
+    family = families([k for _, k in sketches])
 
     def own_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +358,8 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
     keys = found.column("key").to_pylist()
     odds = dict(zip(keys, found.column("odds").to_pylist()))
     number = np.asarray(hashes)
-    holders = {key: np.searchsorted(number, held.values.to_numpy()) for key, held in zip(keys, found.column("held"))}
+    # A term must stand in texts that are unlike each other, so it is held by families of near copies.
+    holders = {key: np.unique(family[np.searchsorted(number, held.values.to_numpy())]) for key, held in zip(keys, found.column("held"))}
     terms = choose_terms(holders, odds, max_terms)
     model = ToxicityModel(terms, [odds[t] for t in terms], window=window)
 
@@ -390,7 +424,8 @@ def fold_is(key: Column, folds: int, held: int) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, folds: int = 5, held: int = 0, **options) -> ToxicityModel:
     """A model from the labelled rows outside the held-out fold (crc32 of the id modulo folds)."""
-    marked = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").alias("__label")).where("__label is not null").dropDuplicates(["__id"])
+    marked = labels.select(F.col(f"`{id_col}`").alias("__id"), F.expr(f"try_cast(`{label_col}` as int)").alias("__label"))
+    marked = marked.groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("__top")).where("__label = __top").drop("__top")
     marked = small(stored(marked), 1_000_000)
     rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("text")).where(~fold_is(F.col("__doc"), folds, held))
     joined = rows.join(marked, F.col("__doc") == F.col("__id")).select("text", F.col("__label").alias("toxic"))

@@ -103,3 +103,35 @@ def test_all_clean_words_that_resemble_terms_and_all_contexts_are_kept(spark):
     rows += [(f"c{k} plain text with {alike[k % 60]} said", 0) for k in range(600)] + [(f"r{k} it was {word} said", 0) for k in range(6)]
     model = fit_toxicity(spark.createDataFrame(rows, "text string, toxic int"), max_terms=1)
     assert model.terms == [word] and set(alike) <= model.benign and set(around) <= set(model.context)
+
+
+def test_unlike_labels_of_an_id_teach_nothing(spark):
+    from basalt.llm.toxicity import learn
+
+    docs = spark.createDataFrame([(n, f"clean words number{n}" if n % 2 else f"filthscum and more{n}") for n in range(60)], "doc_id long, text string")
+    sure = [(n, str(1 - n % 2)) for n in range(40)]
+    torn = [(n, label) for n in range(40, 60) for label in "01"] + [(1, None), (3, "x"), (None, "1")]
+    plain = learn(docs, spark.createDataFrame(sure, "doc_id long, toxic string"))
+    for rows in (sure + torn, torn[::-1] + sure):
+        model = learn(docs, spark.createDataFrame(rows, "doc_id long, toxic string").repartition(3))
+        assert (model.terms, model.weights) == (plain.terms, plain.weights)
+    assert any(t.startswith("filth") for t in plain.terms)
+
+
+def test_families_are_near_copies():
+    import random
+
+    from basalt.llm.toxicity import families, sketch_of
+
+    rng = random.Random(1)
+    words = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts, truth = [], []
+    for f in range(30):
+        own = words()
+        for _ in range(4):
+            copy = list(own)
+            copy[rng.randrange(60)] = "x"
+            texts.append(" ".join(copy))
+            truth.append(f)
+    found = families([sketch_of(t) for t in texts])
+    assert len({(f, g) for f, g in zip(truth, found)}) <= 33 and len(set(found.tolist())) >= 30
