@@ -36,6 +36,12 @@ def found_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fin.completed(stored(secrets(files)), files, rules_table(spark))
 
 
+def graded_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents with their rules' ranks: all that counting needs, without snippets or fingerprints."""
+    ranks = rules_table(spark).select("rule_id", "severity", "confidence")
+    return secrets(documents(spark, sf_dir)).join(F.broadcast(ranks), "rule_id")
+
+
 def secret_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(documents(spark, sf_dir))
     return found.select("path", "rule_id", "start_line", masked(F.col("value")).alias("shown"), F.length("value").cast("long").alias("size"), F.round(entropy(F.col("value")), 6).alias("bits"))
@@ -48,16 +54,16 @@ def secrets_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fin.severity_counts(found_secrets(spark, sf_dir)).select("severity", "n")
+    return fin.severity_counts(graded_secrets(spark, sf_dir)).select("severity", "n")
 
 
 def fail_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = found_secrets(spark, sf_dir)
+    found = graded_secrets(spark, sf_dir)
     return found.agg(*(F.coalesce(F.max((severity_rank(F.col("severity")) <= n).cast("int")), F.lit(0)).alias(f"fails_on_{s.lower()}") for n, s in enumerate(SEVERITIES)))
 
 
 def min_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = found_secrets(spark, sf_dir)
+    found = graded_secrets(spark, sf_dir)
     return fin.configured(found, min_confidence="MEDIUM").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -101,7 +107,7 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents a cache filled from the conversations and the English documents knows."""
+    """Which documents a cache filled from the English documents knows."""
     files = documents(spark, sf_dir)
     english = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.sha2(F.regexp_replace("text", "\r\n?", "\n"), 256).alias("digest"))
     cache = english.select(F.lit("v1").alias("config"), F.lit(None).cast("string").alias("language"), "digest")

@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir, which all executors share, and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share. A local session may lack the setting, a cluster may not."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
         root = "file://" + tempfile.mkdtemp(prefix="basalt-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/basalt-{uuid.uuid4().hex}"
+    return f"{root}/basalt-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The rows of all rounds of an iteration: each round is written once, and all of them read as one table."""
+
+    def __init__(self, like: DataFrame):
+        self.spark, self.schema, self.path = like.sparkSession, like.schema, shared_path(like.sparkSession)
+        self.paths: list[str] = []
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Writes a round and returns it."""
+        path = f"{self.path}/{len(self.paths)}"
+        rows.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)

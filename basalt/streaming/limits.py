@@ -6,6 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,23 +29,24 @@ def _decide(log: deque, at: float, limit: int, window: float) -> bool:
 def rate_limited(requests: DataFrame, key: str, ts: str, tie: str, *, limit: int = 3, window: float = 60.0) -> DataFrame:
     """requests with accepted. A key's requests are taken in order of time, then of tie.
 
-    Each decision depends on those before it, so a key's rows meet in one task; they come as sorted batches, and the task
-    keeps only `limit` times, not the rows.
+    Null is a key like any other. A request without a time can't be decided: its accepted is null, and it counts for nothing. Each
+    decision depends on those before it, so a key's rows meet in one task; they come as sorted batches, and the task keeps only
+    `limit` times, not the rows. Only the decision is made in Python: all columns pass through as they are.
     """
     schema = T.StructType([*requests.schema.fields, T.StructField("accepted", T.BooleanType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, log = object(), deque()
-        for frame in frames:
-            seconds = frame[ts].astype("int64") / {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[frame[ts].dt.unit]
+        for batch in batches:
+            times = batch.column(batch.schema.names.index(ts)).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist()
             out = []
-            for name, at in zip(frame[key], seconds):
-                if name != current:
+            for name, at in zip(batch.column(batch.schema.names.index(key)).to_pylist(), times):
+                if name != current and (name == name or current == current):  # NaN is one key
                     current, log = name, deque()
-                out.append(_decide(log, at, limit, window))
-            yield frame.assign(accepted=out)
+                out.append(None if at is None else _decide(log, at / 1e6, limit, window))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], schema=batch.schema.append(pa.field("accepted", pa.bool_())))
 
-    return requests.repartition(key).sortWithinPartitions(key, ts, tie).mapInPandas(run, schema)
+    return requests.repartition(key).sortWithinPartitions(key, ts, tie).mapInArrow(run, schema)
 
 
 def rate_limited_stream(requests: DataFrame, key: str, ts: str, *, limit: int = 3, window: float = 60.0, late: str = "10 minutes") -> DataFrame:

@@ -26,6 +26,15 @@ def test_rejected_requests_do_not_count(spark):
     assert {r["n"]: r["accepted"] for r in rows} == WANT
 
 
+def test_null_and_large_keys(spark):
+    big = (1 << 53) + 1
+    rows = [(n, k, t) for k, first in ((None, 0), (big, 10), (big - 1, 20)) for n, t in enumerate(at(*range(6)), first)] + [(30, None, None), (31, big, None)]
+    got = {r["n"]: (r["k"], r["accepted"]) for r in rate_limited(spark.createDataFrame(rows, "n int, k long, ts timestamp").repartition(3), "k", "ts", "n").collect()}
+    for k, first in ((None, 0), (big, 10), (big - 1, 20)):
+        assert [got[first + n] for n in range(6)] == [(k, n < 3) for n in range(6)]
+    assert got[30] == (None, None) and got[31] == (big, None)
+
+
 def test_stream_gives_the_same(spark, tmp_path):
     requests(spark).select("k", "ts").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in"))
