@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from basalt.operators import reports
 from basalt.operators.facts import code_facts
 from basalt.operators.patterns import pattern_candidates, pattern_rows, patterns_table
 from basalt.operators.secrets import DETECTORS, rules_table, secrets
-from basalt.plans.corpus import TEMPLATES, templated
+from basalt.plans.corpus import TEMPLATES, planted, planted_parts, templated
 from basalt.plans.scan import Options, scan
 from basalt.plans.store import stored
 from basalt.sources.files import base_name, files_from_table, ignored, language, repository
@@ -47,6 +49,19 @@ def secret_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "rule_id", "start_line", masked(F.col("value")).alias("shown"), F.length("value").cast("long").alias("size"), F.round(entropy(F.col("value")), 6).alias("bits"))
 
 
+def planted_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every kind, in texts made from the events."""
+    found = secrets(planted(table(spark, sf_dir, "events")))
+    return found.select("path", "rule_id", "start_line", masked(F.col("value")).alias("shown"), F.length("value").alias("size"), F.round(entropy(F.col("value")), 6).alias("bits"))
+
+
+def planted_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by rule, of medium confidence at least and without a disabled rule."""
+    ranks = rules_table(spark).select("rule_id", "severity", "confidence")
+    found = secrets(planted(table(spark, sf_dir, "events"))).join(F.broadcast(ranks), "rule_id")
+    return fin.configured(found, disabled=("secrets.slack.token",), min_confidence="MEDIUM").groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def secrets_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([(d.rule_id,) for d in DETECTORS], "rule_id string")
     counts = secrets(documents(spark, sf_dir)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
@@ -207,7 +222,7 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rulepacks.metadata(spark, rulepacks.built_in()).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (severity_counts, secret_values, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, taint_flows, rule_counts)}
+QUERIES = {f.__name__: f for f in (severity_counts, secret_values, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, taint_flows, rule_counts)}
 
 # The same in SQL. RE2 patterns: its \s has no vertical tab, its \b is of ASCII letters.
 _RE = {
@@ -246,7 +261,13 @@ lin AS (SELECT path, n, text FROM rows r WHERE NOT (text = '' AND n = (SELECT ma
 """
 _EXPECTED = "(VALUES " + ", ".join(f"({n}, '{s}', {_quoted(e[0])}, {e[1]}, {e[2] if len(e) > 2 else 0})" for n, (s, _, e) in enumerate(TEMPLATES) if e) + ") AS t(n, suffix, rule_id, line, first_line)"
 
+# The same texts from the events, in SQL; what is in them is found by the same patterns as in the documents.
+_PLANTED_TEXT = "CASE event_id % " + str(len(planted_parts())) + " " + " ".join(f"WHEN {n} THEN " + " || ".join(_quoted(p) if isinstance(p, str) else f"left({'upper(h)' if p[0] else 'h'}, {p[1]})" for p in parts) for n, parts in enumerate(planted_parts())) + " END"
+_PLANTED = re.sub(r"txt AS \(SELECT .*? FROM documents\)", lambda _: f"txt AS (SELECT 'ev/' || event_id AS path, {_PLANTED_TEXT} AS body FROM (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h FROM events))", _FOUND)
+
 ORACLE = {
+    "planted_secrets": _PLANTED + "SELECT path, rule_id, CAST(line AS INTEGER) AS start_line, shown, length(value) AS size, round(bits, 6) AS bits FROM found",
+    "planted_confidence": _PLANTED + "SELECT rule_id, severity, count(*) AS n FROM found WHERE rule_id NOT IN ('secrets.jwt', 'secrets.generic.high-entropy-assignment', 'secrets.slack.token') GROUP BY rule_id, severity",
     "severity_counts": _FOUND + "SELECT s.severity, count(path) AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) s(severity) LEFT JOIN found USING (severity) GROUP BY s.severity",
     "secret_values": _FOUND + "SELECT path, rule_id, CAST(line AS INTEGER) AS start_line, shown, length(value) AS size, round(bits, 6) AS bits FROM found",
     "secrets_all_counts": _FOUND + "SELECT det.rule_id, count(path) AS n FROM det LEFT JOIN found USING (rule_id) GROUP BY det.rule_id",
