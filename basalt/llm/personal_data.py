@@ -128,10 +128,18 @@ def context_edges(found: DataFrame) -> DataFrame:
 
 
 def cue_places(docs: DataFrame, cues: DataFrame, text_col: str) -> DataFrame:
-    """cue, places: how often each cue (a table of a column cue) stands in the texts, whatever is beside it."""
+    """cue, places: how often each cue (a table of a column cue) stands in the texts, whatever is beside it.
+
+    Words come with the word before them; only those that end a cue go on.
+    """
     words = F.split(F.lower(F.regexp_replace(text_of(text_col), "[0-9]", "0")), r"[\x20\x09-\x0D]+")
-    spread = docs.select(words.alias("words")).select("words", F.transform("words", lambda w, i: F.when((i > 0) & (F.get(F.col("words"), i - 1) != ""), F.concat(F.get(F.col("words"), i - 1), F.lit(" "), w))).alias("pairs"))
-    seen = spread.select(F.explode(F.concat("words", "pairs", F.transform("words", lambda w, i: F.when(i > 0, F.concat(F.lit(AFTER), w))))).alias("cue")).where("cue is not null")
+    nothing = F.array(F.lit(None).cast("string"))
+    each = docs.select(words.alias("w")).select(F.inline(F.arrays_zip(F.col("w").alias("word"), F.concat(nothing, "w").alias("last"))))
+    ends = small(stored(cues.select(F.regexp_extract("cue", "[^ ]*$", 0).alias("word")).distinct()))
+    kept = each.join(ends, "word", "left_semi")
+    pair = F.when(F.col("last") != "", F.concat("last", F.lit(" "), "word"))
+    after = F.when(F.col("last").isNotNull(), F.concat(F.lit(AFTER), "word"))
+    seen = kept.select(F.explode(F.array("word", pair, after)).alias("cue")).where("cue is not null")
     return seen.join(cues, "cue", "left_semi").groupBy("cue").agg(F.count(F.lit(1)).alias("places"))
 
 
