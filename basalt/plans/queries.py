@@ -15,7 +15,7 @@ from basalt.operators import reports
 from basalt.operators.facts import code_facts
 from basalt.operators.patterns import pattern_candidates, pattern_rows, patterns_table
 from basalt.operators.secrets import DETECTORS, rules_table, secrets
-from basalt.plans.corpus import TEMPLATES, planted, planted_parts, templated
+from basalt.plans.corpus import PYTHON_LINES, SCRIPT_LINES, TEMPLATES, planted, planted_parts, ruled, templated
 from basalt.plans.scan import Options, scan
 from basalt.plans.store import stored
 from basalt.sources.files import base_name, files_from_table, ignored, language, repository
@@ -113,7 +113,8 @@ def ui_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = found_secrets(spark, sf_dir).join(F.broadcast(reports.rule_index(found_secrets(spark, sf_dir))), "rule_id")
+    every = stored(found_secrets(spark, sf_dir))
+    found = every.join(F.broadcast(reports.rule_index(every)), "rule_id")
     return found.groupBy("rule_id", "rule_index", reports.lookup(reports.LEVELS, F.col("severity")).alias("level"), reports.lookup(reports.SCORES, F.col("severity")).alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -218,11 +219,18 @@ def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("location.path").alias("path"), "rule_id", F.get("data_flow", F.lit(0))["location"]["start_line"].alias("first_line"), F.element_at("data_flow", -1)["location"]["start_line"].alias("last_line"))
 
 
+def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every code rule finds in two lines for each event."""
+    files = ruled(table(spark, sf_dir, "events").select("event_id"))
+    found = scan(files_from_table(files, F.col("path"), F.col("content")), Options(passes=("patterns", "taint")))
+    return found.select(F.col("location.path").alias("path"), "rule_id", F.col("location.start_line").alias("line"))
+
+
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rulepacks.metadata(spark, rulepacks.built_in()).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (severity_counts, secret_values, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, taint_flows, rule_counts)}
+QUERIES = {f.__name__: f for f in (severity_counts, secret_values, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, taint_flows, rule_lines, rule_counts)}
 
 # The same in SQL. RE2 patterns: its \s has no vertical tab, its \b is of ASCII letters.
 _RE = {
@@ -261,6 +269,23 @@ lin AS (SELECT path, n, text FROM rows r WHERE NOT (text = '' AND n = (SELECT ma
 """
 _EXPECTED = "(VALUES " + ", ".join(f"({n}, '{s}', {_quoted(e[0])}, {e[1]}, {e[2] if len(e) > 2 else 0})" for n, (s, _, e) in enumerate(TEMPLATES) if e) + ") AS t(n, suffix, rule_id, line, first_line)"
 
+# What a rule finds in a line of code: suffix, rule, a regular expression of the line.
+_LINE_RULES = (
+    ("py", "py.crypto.weak-hash-md5", r"^d = hashlib\.md5\("), ("py", "py.crypto.weak-hash-sha1", r"^d = hashlib\.sha1\("), ("py", "py.crypto.weak-hash-new", r"hashlib\.new\('(md5|sha1)'"),
+    ("py", "py.crypto.requests-no-verify", r"^requests\..*verify=False"), ("py", "py.crypto.ssl-unverified-context", r"ssl\._create_unverified"), ("py", "py.dangerous.os-system", r"^os\.system\("),
+    ("py", "py.dangerous.eval", r"^eval\("), ("py", "py.dangerous.yaml-load", r"^yaml\.load\([^,]*\)$"), ("py", "py.dangerous.exec", r"^exec\("), ("py", "py.dangerous.tempfile-mktemp", r"tempfile\.mktemp\("),
+    ("py", "py.deser.pickle-load", r"^pickle\.load\("), ("py", "py.deser.pickle-loads", r"^pickle\.loads\("), ("py", "py.deser.marshal-loads", r"^marshal\.loads\("), ("py", "py.deser.yaml-unsafe-load", r"^yaml\.unsafe_load\("),
+    ("py", "py.deser.jsonpickle", r"^jsonpickle\.decode\("), ("py", "py.flask.debug-run", r"\.run\(.*debug=True"), ("py", "py.django.raw-sql", r"\.raw\("), ("py", "py.xss.flask-markup", r"^mark_safe\("),
+    ("py", "py.injection.subprocess-shell-true", r"^subprocess\..*shell=True"), ("py", "py.injection.os-popen", r"^os\.popen\("), ("py", "py.injection.subprocess-getoutput", r"^subprocess\.getoutput\("),
+    ("py", "py.taint.sql-injection", r"\.execute\(request\."), ("py", "py.taint.command-injection", r"^subprocess\.call\(request\."),
+    ("js", "js.crypto.weak-hash", r"createHash\('(md5|sha1)'\)"), ("js", "js.crypto.create-cipher", r"^crypto\.createCipher\("), ("js", "js.dangerous.eval", r"^eval\("), ("js", "js.dangerous.child-process-exec", r"^cp\.exec\([^,]*\);"),
+    ("js", "js.dangerous.child-process-exec-sync", r"\.execSync\("), ("js", "js.dangerous.new-function", r"new Function\("), ("js", "js.dangerous.vm-run", r"^vm\.runIn"), ("js", "js.xss.document-write", r"^document\.write\("),
+    ("js", "js.xss.inner-html", r"\.innerHTML ="), ("js", "js.xss.outer-html", r"\.outerHTML ="), ("js", "js.xss.insert-adjacent-html", r"\.insertAdjacentHTML\("), ("js", "js.taint.sql-injection", r"\.query\(req\."),
+    ("js", "js.taint.command-injection", r"^cp\.exec\(req\."),
+)
+_LINE_AT = lambda lines, at: f"CASE ({at}) % {len(lines)} " + " ".join(f"WHEN {n} THEN {_quoted(x)}" for n, x in enumerate(lines)) + " END"
+_LINE_TEXTS = ", ".join(f"CASE WHEN event_id % 2 = 0 THEN {_LINE_AT(PYTHON_LINES, py)} ELSE {_LINE_AT(SCRIPT_LINES, js)} END" for py, js in (("event_id // 2",) * 2, tuple(f"event_id // 2 // {len(x)}" for x in (PYTHON_LINES, SCRIPT_LINES))))
+
 # The same texts from the events, in SQL; what is in them is found by the same patterns as in the documents.
 _PLANTED_TEXT = "CASE event_id % " + str(len(planted_parts())) + " " + " ".join(f"WHEN {n} THEN " + " || ".join(_quoted(p) if isinstance(p, str) else f"left({'upper(h)' if p[0] else 'h'}, {p[1]})" for p in parts) for n, parts in enumerate(planted_parts())) + " END"
 _PLANTED = re.sub(r"txt AS \(SELECT .*? FROM documents\)", lambda _: f"txt AS (SELECT 'ev/' || event_id AS path, {_PLANTED_TEXT} AS body FROM (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h FROM events))", _FOUND)
@@ -302,6 +327,8 @@ ORACLE = {
     "feedback_counts": "SELECT 'rule.' || event_type AS rule_id, count(*) AS n FROM events WHERE event_id % 10 <> 0 AND regexp_full_match('rule.' || event_type, '[a-z0-9]+([.-][a-z0-9]+)*') GROUP BY 1",
     "script_calls": "SELECT page_id, 'js.track' AS rule_id, CAST(1 AS INTEGER) AS start_line FROM pages WHERE regexp_matches(html, '<script>[^<]*(</p>)?[^<]*track\\([^,)]+\\)')",
     "code_scan": f"SELECT event_id || '.' || suffix AS path, rule_id, CAST(line AS INTEGER) AS line FROM events JOIN {_EXPECTED} ON event_id % {len(TEMPLATES)} = n",
+    "rule_lines": f"""WITH l AS (SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'py' ELSE 'js' END AS suffix, unnest([1, 2]) AS line, replace(unnest([{_LINE_TEXTS}]), '{{0}}', CAST(event_id AS VARCHAR)) AS text FROM events)
+        SELECT event_id || '.' || suffix AS path, rule_id, CAST(line AS INTEGER) AS line FROM l JOIN (VALUES {", ".join(f"('{s}', '{r}', {_quoted(p)})" for s, r, p in _LINE_RULES)}) r(suffix, rule_id, pattern) USING (suffix) WHERE regexp_matches(text, pattern)""",
     "taint_flows": f"SELECT event_id || '.' || suffix AS path, rule_id, CAST(first_line AS INTEGER) AS first_line, CAST(line AS INTEGER) AS last_line FROM events JOIN {_EXPECTED} ON event_id % {len(TEMPLATES)} = n WHERE first_line > 0",
     "baseline_diff": _FOUND + _LINES + """, fp AS (SELECT f.path, sha256(f.rule_id || chr(0) || string_agg(trim(regexp_replace(h.text, '[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}]+', ' ', 'g')), chr(10) ORDER BY h.n) || chr(0) || f.idx) AS fingerprint
         FROM found f JOIN lin h ON h.path = f.path AND h.n BETWEEN f.line - 3 AND f.line + 3 GROUP BY f.path, f.rule_id, f.line, f.nth, f.idx)
