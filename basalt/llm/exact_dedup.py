@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WHITE, free_names, stored, text_of
+from .shared import WHITE, free_names, join_groups, stored, text_of
 
 #: Bits of one filter slice; Spark's bitmap functions use this size.
 SLICE = 32768
@@ -145,7 +145,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = DigestIndex(docs.sparkSession, memtable_rows, fanout)
     text = normalised(text_of(text_col))
     ids = stored(docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), digest(text).alias("digest")))
-    index.flush(ids, ids.count())
+    rows = ids.count()
+    index.flush(ids, rows)
     merged = index.view()
 
     shared = stored(merged.where("copies > 1").select("digest"))
@@ -154,7 +155,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Of each digest the smallest and the largest text, gathered in each task first: equal bytes if, and only if, they are equal.
     differing = stored(suspects.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low != high").select("digest"))
 
-    found = ids.join(merged, "digest").select("id", "row", "keep_id", "keep_row", "copies", "digest")
+    found = join_groups(ids, merged, "digest", "copies", rows).select("id", "row", "keep_id", "keep_row", "copies", "digest")
     if not differing.isEmpty():
         split = stored(texts.join(differing, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()))
         first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")

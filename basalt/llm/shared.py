@@ -57,6 +57,19 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return found
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, members: str, total: int, how: str = "inner", parts: int = 1000) -> DataFrame:
+    """rows with their groups: a stored table with one row for each value of the key, and a number of members in all `total` rows.
+
+    Groups of more than a `parts`-th of all rows, of which there are fewer than `parts`, go to every task, so their rows stay where they
+    are; only rows of smaller groups meet theirs by a shuffle.
+    """
+    large = F.col(members) > total // parts
+    if groups.where(large).isEmpty():
+        return rows.join(groups, key, how)
+    heavy, light = F.broadcast(groups.where(large)), groups.where(~large)
+    return rows.join(heavy, key).unionByName(rows.join(heavy, key, "left_anti").join(light, key, how))
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df marked for broadcast if it has at most so many rows (it must be a stored, narrow table), else df."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_names, small, stored, text_of
+from .shared import free_names, join_groups, small, stored, text_of
 
 SHINGLE_WORDS, SEED = 3, 42
 SEGMENTS, SEGMENT_BITS = 32, 2
@@ -151,13 +151,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = stored(fingerprints(docs, id_col, text_col))
     # Each fingerprint makes about 49 visits, so its narrow row is dealt to all tasks.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = stored(prints.groupBy("bits").agg(F.min("id").alias("first_id")).repartition(parts, "bits"))
+    distinct = stored(prints.groupBy("bits").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("members")).repartition(parts, "bits"))
     found = components(links(distinct.select("bits")))
-    grouped = found.join(distinct, "bits")
+    grouped = found.join(distinct.drop("members"), "bits")
     firsts = grouped.groupBy("root").agg(F.min("first_id").alias("linked_id"))
     linked = stored(grouped.join(firsts, "root").select("bits", "linked_id"))
-    ids = stored(distinct.join(linked, "bits", "left").select("bits", F.coalesce("linked_id", "first_id").alias("component_id")))
-    return prints.join(ids, "bits").select("id", "mark", "bits", "component_id")
+    ids = stored(distinct.join(linked, "bits", "left").select("bits", "members", F.coalesce("linked_id", "first_id").alias("component_id")))
+    return join_groups(prints, ids, "bits", "members", prints.count()).select("id", "mark", "bits", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,12 @@
 import random
 import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 
 from basalt.llm.mixing import mixed, pareto_mix
+from basalt.llm.shared import join_groups
 
 
 def docs(spark, rows):
@@ -66,10 +71,59 @@ def test_inclusion_odds(spark):
 
 def test_mixture(spark):
     data = rows()
-    plan = {(r["id"], r["source"], r["size"]): r["copies"] for r in pareto_mix(docs(spark, data)).collect()}
     got = mixed(docs(spark, data))
     assert got.columns == docs(spark, data).columns
-    assert got.count() == sum(plan.get((i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))), 0) for i, s, t in data if t)
+    plan = Counter({})
+    for r in pareto_mix(docs(spark, data)).collect():
+        plan[r["id"], r["source"], r["size"]] += r["copies"] if r["size"] else 0
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert Counter((r["doc_id"], r["source"], count(r["text"])) for r in got.collect()) == +plan
+
+
+def crowd():
+    """Null ids with unlike texts, and one row very often, beside usual rows."""
+    rng = random.Random(9)
+    usual = [(k, "ab"[k % 2], " ".join(["w"] * rng.randint(1, 30))) for k in range(500)]
+    return usual + [(None, "a", f"t{n} " * (1 + n % 20)) for n in range(300)] + [(7000, "b", "p q r")] * 400
+
+
+def test_null_ids_and_repeated_rows(spark):
+    found = pareto_mix(docs(spark, crowd())).collect()
+    of = lambda k: [r["copies"] for r in found if r["id"] == k]
+    assert len(set(of(None))) > 1, "null ids are drawn one by one"
+    assert len(of(7000)) == 400 and len(set(of(7000))) == 1, "equal rows are one block"
+    for s in "ab":
+        taken, target = sum(r["taken"] for r in found if r["source"] == s), next(r["target"] for r in found if r["source"] == s)
+        assert abs(taken - target) <= 40, (s, taken, target)
+    got = Counter(r["doc_id"] for r in mixed(docs(spark, crowd())).collect())
+    assert got[7000] == sum(of(7000)) and got[None] == sum(of(None))
+
+
+def test_bins_are_cut_until_they_are_small(spark, monkeypatch):
+    """Further cuts change which rows are ordered one by one, not the result."""
+    from basalt.llm import mixing
+
+    once = sorted(map(repr, pareto_mix(docs(spark, crowd()), rounds=1).collect()))
+    monkeypatch.setattr(mixing, "BIN_ROWS", 2)
+    assert sorted(map(repr, pareto_mix(docs(spark, crowd()), rounds=1).collect())) == once
+
+
+def test_ranks_follow_odds_and_ties_are_told_apart(spark):
+    marks = spark.range(2000).selectExpr("id", "xxhash64(id) as mark")
+    from basalt.llm.mixing import RANK_BITS, pareto_rank
+
+    for odds in (1e-13, 1.0, 1e13):
+        ranks = [r["rank"] for r in pareto_rank(marks, F.lit(odds)).collect()]
+        assert all(0 <= r < 1 << RANK_BITS for r in ranks) and len(set(ranks)) > 1990
+
+
+@pytest.mark.parametrize("parts", [1, 4, 1000])
+def test_groups_meet_their_rows_at_any_size(spark, parts):
+    rows = spark.createDataFrame([(k, n) for k, times in (("x", 60), ("y", 30), ("z", 9), ("alone", 1)) for n in range(times)], "k string, n int")
+    groups = spark.createDataFrame([("x", 60, 1), ("y", 30, 2), ("z", 9, 3)], "k string, members int, g int")
+    for how, lost in (("inner", 1), ("left", 0)):
+        got = Counter((r["k"], r["g"]) for r in join_groups(rows, groups, "k", "members", 100, how, parts).collect())
+        assert got == Counter({("x", 1): 60, ("y", 2): 30, ("z", 3): 9} | ({} if lost else {("alone", None): 1}))
 
 
 def test_no_rows(spark):
