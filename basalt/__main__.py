@@ -68,7 +68,7 @@ def main(args: list[str] | None = None) -> int:
 
 def _run(given: argparse.Namespace) -> int:
     from basalt.operators import findings as fin
-    from basalt.operators.reports import FORMATS, report
+    from basalt.operators.reports import REPORTERS, report
     from basalt.plans.scan import Options
     from basalt.plans.scan import scan as scan_files
     from basalt.plans.store import stored
@@ -85,7 +85,7 @@ def _run(given: argparse.Namespace) -> int:
     settings = KEYS if getattr(given, "no_config", True) else load_config()
     form = getattr(given, "format", None) or settings["format"]
     fail_on = getattr(given, "fail_on", None) or settings["fail_on"]
-    if form not in FORMATS:
+    if form not in REPORTERS:
         raise ValueError(f"unknown format: {form}")
     options = Options(disabled=tuple(settings["disabled_rules"]), min_confidence=settings["min_confidence"], fail_on=fail_on)
     spark = SparkSession.builder.appName("basalt").getOrCreate()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -130,16 +130,25 @@ def _console(findings: DataFrame, files: int) -> Iterator[str]:
     yield ", ".join(f"{n} {s}" for s, n in counts(findings).items()) + f" in {files} files" if not findings.isEmpty() else f"No findings in {files} files"
 
 
-FORMATS = ("console", "json", "sarif", "markdown", "html", "junit")
+#: The lines of a report by form, from the findings and the number of files. register_report adds one.
+REPORTERS: dict[str, Callable[[DataFrame, int], Iterator[str]]] = {
+    "console": _console, "json": _json, "sarif": lambda findings, files: _sarif(findings),
+    "markdown": _markdown, "html": _html, "junit": lambda findings, files: _junit(findings),
+}
+
+
+def register_report(form: str, lines: Callable[[DataFrame, int], Iterator[str]]) -> None:
+    """Raises ValueError if the form is taken."""
+    if form in REPORTERS:
+        raise ValueError(f"there is a format {form} already")
+    REPORTERS[form] = lines
 
 
 def report(findings: DataFrame, form: str, files: int) -> Iterator[str]:
     """The lines of a report. Rows come from the executors a partition at a time. Raises ValueError for an unknown form."""
-    if form not in FORMATS:
+    if form not in REPORTERS:
         raise ValueError(f"unknown format: {form}")
-    if form in ("sarif", "junit"):
-        return _sarif(findings) if form == "sarif" else _junit(findings)
-    return {"console": _console, "json": _json, "markdown": _markdown, "html": _html}[form](findings, files)
+    return REPORTERS[form](findings, files)
 
 
 REPORT_ID = r"^[A-Za-z0-9_-]{6,64}$"

@@ -137,6 +137,39 @@ def test_options(spark):
         Options(min_confidence="SOME")
 
 
+def test_own_passes(spark, monkeypatch):
+    """A pass over files and one over facts, with rules of their own, beside a built-in one."""
+    from basalt.model import CANDIDATE
+    from basalt.plans import scan as S
+
+    monkeypatch.setattr(S, "PASSES", dict(S.PASSES))
+    rules = [{"id": i, "message": "m", "severity": "LOW", "confidence": "HIGH"} for i in ("own.long", "own.calls")]
+    names = [part.split()[0] for part in CANDIDATE.split(", ")[:9]]
+    place = {"path": "path", "engine": "'own'", "rule_id": "'own.long'", "seq": "1L", "start_line": "1", "start_col": "0", "end_line": "1", "end_col": "1", "value": "cast(null as string)"}
+    flow = next(t for t in CANDIDATE.split("data_flow ")[1:])
+
+    def longer(files, options):
+        return files.where("length(content) > 12").selectExpr(*(f"{place[n]} as {n}" for n in names), f"cast(array() as {flow}) as data_flow")
+
+    def calls(facts, patterns):
+        one = place | {"rule_id": "'own.calls'", "seq": "id", **{n: n for n in ("start_line", "start_col", "end_line", "end_col")}}
+        return facts.where("kind = 'call' and name = 'run'").selectExpr(*(f"{one[n]} as {n}" for n in names), f"cast(array() as {flow}) as data_flow")
+
+    S.register_pass("long", S.Pass(longer, metadata=tuple(rules[:1])))
+    S.register_pass("calls", S.Pass(calls, reads_code=True, metadata=tuple(rules[1:])))
+    found, _ = scanned(spark, {"a.py": "run(eval(x))\nrun(y)\n", "b.py": "eval(z)\n"}, passes=("long", "patterns", "calls"))
+    assert sorted((p, n, r) for p, n, r in found) == [("a.py", 1, "own.calls"), ("a.py", 1, "own.long"), ("a.py", 1, "py.dangerous.eval"), ("a.py", 2, "own.calls"), ("b.py", 1, "py.dangerous.eval")]
+    with pytest.raises(ValueError):
+        S.register_pass("taint", S.Pass(longer))
+    with pytest.raises(ValueError):
+        Options(passes=("nothing",))
+
+
+def test_files_that_nest_too_deep_keep_what_was_read(spark):
+    found, _ = scanned(spark, {"a.py": "eval(x)\ny = " + "-" * 3000 + "1\n"})
+    assert ("a.py", 1, "py.dangerous.eval") in found
+
+
 def test_no_files(spark):
     table = files_from_table(spark.createDataFrame([], "p string, c string"), F.col("p"), F.col("c"))
     assert scan(table).count() == 0

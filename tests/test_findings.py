@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basalt.operators import findings as fin
-from basalt.operators.reports import FORMATS, report
+from basalt.operators.reports import REPORTERS, register_report, report
 from basalt.plans.scan import scan
 from basalt.sources.files import files_from_table
 
@@ -46,7 +46,7 @@ def test_cache(spark):
     assert fin.cache_split(files, cache, "v2")[0].count() == 0
 
 
-@pytest.mark.parametrize("form", FORMATS)
+@pytest.mark.parametrize("form", sorted(REPORTERS))
 def test_reports(found, form):
     text = "\n".join(report(found, form, 2))
     assert "py.dangerous.eval" in text
@@ -63,7 +63,7 @@ def test_reports(found, form):
         assert "&lt;id&gt;" in text and "<id>" not in text
 
 
-@pytest.mark.parametrize("form", FORMATS)
+@pytest.mark.parametrize("form", sorted(REPORTERS))
 def test_reports_of_nothing(found, form):
     assert "\n".join(report(found.where("false"), form, 0))
 
@@ -71,3 +71,11 @@ def test_reports_of_nothing(found, form):
 def test_unknown_format(found):
     with pytest.raises(ValueError):
         report(found, "pdf", 1)
+
+
+def test_own_report(found, monkeypatch):
+    monkeypatch.setattr("basalt.operators.reports.REPORTERS", dict(REPORTERS))
+    register_report("count", lambda findings, files: iter([f"{findings.count()} in {files}"]))
+    assert list(report(found, "count", 2)) == ["3 in 2"]
+    with pytest.raises(ValueError):
+        register_report("json", None)
