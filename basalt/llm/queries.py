@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .divergence import divergence
 from .exact_dedup import exact_groups
 from .fingerprint import edit_report
 from .fixity import audit, warc_records
@@ -14,6 +15,7 @@ from .mixing import pareto_mix
 from .packing import pack, pieces
 from .personal_data import BASE, count_of, personal_data
 from .personal_data import as_text as spans_as_text
+from .phrases import collocations
 from .shared import stored, table
 from .simhash import near_duplicates
 from .toxicity import toxicity_report
@@ -83,7 +85,15 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(spans_as_text(F.col("base")), 256).alias("base_sha256"), spans_as_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_exact_dedup": op4_exact_dedup, "op5_warc_fixity": op5_warc_fixity, "op6_simhash": op6_simhash, "op7_html_text": op7_html_text, "op8_fingerprint": op8_fingerprint, "op9_personal_data": op9_personal_data, "op10_language": op10_language}
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_exact_dedup": op4_exact_dedup, "op5_warc_fixity": op5_warc_fixity, "op6_simhash": op6_simhash, "op7_html_text": op7_html_text, "op8_fingerprint": op8_fingerprint, "op9_personal_data": op9_personal_data, "op10_language": op10_language, "op12_phrases": op12_phrases, "op13_divergence": op13_divergence}
 
 ORACLE = {
     "op5_warc_fixity": """
@@ -103,4 +113,43 @@ ORACLE = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
         FROM t""",
+    "op12_phrases": """
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang,
+                 list_filter(regexp_split_to_array(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w
+          FROM documents),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces WHERE len(w) > 0),
+        grams AS (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, range(1, 5) t(k) WHERE i + k - 1 <= len(w)),
+        f AS (SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+        c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 30),
+        cuts AS (SELECT c.*, unnest(range(1, words)) AS k FROM c),
+        sides AS (
+          SELECT u.lang, u.words, u.phrase, u.a, u.k, x.f AS l, y.f AS r, ((2000000::HUGEINT * u.a) // (x.f + y.f))::BIGINT AS score
+          FROM cuts u JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.w[1:u.k], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.w[u.k + 1:], ' ')),
+        best AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        held AS (
+          SELECT DISTINCT p.lang, p.phrase FROM c q JOIN c p ON p.lang = q.lang AND p.words < q.words AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' ')
+          WHERE 100::HUGEINT * q.a >= 80::HUGEINT * p.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank, phrase, a, l, r, n, score
+        FROM best JOIN n USING (lang) ANTI JOIN held USING (lang, phrase)
+        QUALIFY rank <= 2000""",
+    "op13_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+        s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        p AS (SELECT s.*, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM s JOIN v USING (lang)),
+        a AS (SELECT lang, term, sum(n) AS n FROM s GROUP BY ALL),
+        q AS (SELECT a.lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM a JOIN v USING (lang)),
+        pairs AS (
+          SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(sum(abs(i.p - j.p)), 0)::BIGINT AS value
+          FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+          LEFT JOIN p i ON i.lang = x.lang AND i.source = x.source LEFT JOIN p j ON j.lang = y.lang AND j.source = y.source AND j.term = i.term GROUP BY ALL),
+        terms AS (SELECT p.lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+        FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 50""",
 }
