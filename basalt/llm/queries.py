@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .divergence import divergence
+from .embedding_forest import near_vectors
 from .exact_dedup import exact_groups
 from .fingerprint import edit_report
 from .fixity import audit, warc_records
@@ -85,6 +86,11 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(spans_as_text(F.col("base")), 256).alias("base_sha256"), spans_as_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -93,7 +99,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_exact_dedup": op4_exact_dedup, "op5_warc_fixity": op5_warc_fixity, "op6_simhash": op6_simhash, "op7_html_text": op7_html_text, "op8_fingerprint": op8_fingerprint, "op9_personal_data": op9_personal_data, "op10_language": op10_language, "op12_phrases": op12_phrases, "op13_divergence": op13_divergence}
+QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_exact_dedup": op4_exact_dedup, "op5_warc_fixity": op5_warc_fixity, "op6_simhash": op6_simhash, "op7_html_text": op7_html_text, "op8_fingerprint": op8_fingerprint, "op9_personal_data": op9_personal_data, "op10_language": op10_language, "op11_embedding_dedup": op11_embedding_dedup, "op12_phrases": op12_phrases, "op13_divergence": op13_divergence}
 
 ORACLE = {
     "op5_warc_fixity": """
@@ -152,4 +158,14 @@ ORACLE = {
         terms AS (SELECT p.lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p > q)
         SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
         FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 50""",
+    "op11_embedding_dedup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+          WHERE len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+        links AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT r.a AS vec_id, coalesce(max(n.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+        FROM reach r LEFT JOIN n ON n.a = r.a GROUP BY r.a""",
 }

@@ -1,0 +1,76 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+from basalt.llm import phrases as P
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute(rows, longest=4, least=30, share=80, top=2000):
+    counts, total = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            words = re.findall("[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in range(1, longest + 1):
+                counts[lang].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    found = []
+    for lang, f in counts.items():
+        many = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        gone = {q[i : i + k] for q, b in many.items() for k in range(2, len(q)) for i in range(len(q) - k + 1) if 100 * b >= share * many[q[i : i + k]]}
+        scored = []
+        for p, a in many.items():
+            if p not in gone:
+                score, k = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+                scored.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        found += [(lang, n, p.decode(), -a, left, right, total[lang], -s) for n, (s, a, p, left, right) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(found)
+
+
+def corpus(seed, texts=120):
+    rng = random.Random(seed)
+    fixed = ["new york city hall", "in spite of", "À la carte", "red wine", "red wine glass", "wine glass"]
+    rows = []
+    for _ in range(texts):
+        words = [rng.choice(fixed) if rng.random() < 0.3 else rng.choice("abcdefgh") for _ in range(rng.randrange(40))]
+        ends = [rng.choice([" ", " ", "  ", "\t", ", ", ".", "\n", " ! ", "\x0b"]) for _ in words]
+        rows.append(("".join(w + e for w, e in zip(words, ends)), rng.choice(["en", "fr", None, "und", ""])))
+    return rows
+
+
+def result(df):
+    return sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in df.collect())
+
+
+def test_phrases_are_those_of_all_ngrams(spark):
+    for seed, least, top in ((1, 5, 2000), (2, 2, 7), (3, 12, 2000)):
+        rows = corpus(seed)
+        frame = spark.createDataFrame([(t, lang, "x", 1) for t, lang in rows], "text string, lang string, phrase string, score int")
+        want = brute(rows, least=least, top=top)
+        assert len(want) > 10 and result(P.collocations(frame, least=least, top=top)) == want
+
+
+def test_two_and_three_words(spark):
+    rows = corpus(4)
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    for longest in (2, 3):
+        assert result(P.collocations(frame, longest=longest, least=5)) == brute(rows, longest=longest, least=5)
+
+
+def test_odd_rows(spark):
+    rows = [(None, "en"), ("", None), (" \t ", "en"), (".,;", "de"), ("one", "en"), ("A b" * 3, "en")] + [("x y", None)] * 3 + [("X\tY  z", "und")] * 3 + [("w " * 20_000, "long")]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    got = result(P.collocations(frame, least=3))
+    assert got == brute(rows, least=3) and any(r[0] == "und" and r[2] == "x y" and r[3] == 6 for r in got)
+    assert result(P.collocations(frame.limit(0), least=3)) == []
+
+
+def test_a_filter_holds_what_it_was_given(spark):
+    hashes = spark.range(-500, 500).selectExpr("xxhash64(id) AS h").cache()
+    held = P.HashFilter(hashes)
+    rows = spark.range(-500, 20_000).selectExpr("id", "xxhash64(id) AS h")
+    passed = {r["id"] for r in held.marked(rows, "h", "there").where("there").collect()}
+    assert set(range(-500, 500)) <= passed and len(passed) < 4000
+    assert P.HashFilter(hashes.limit(0)).marked(rows, "h", "there").where("there").count() == 0
