@@ -15,10 +15,11 @@ from basalt.operators import reports
 from basalt.operators.facts import code_facts
 from basalt.operators.patterns import pattern_candidates, pattern_rows, patterns_table
 from basalt.operators.secrets import DETECTORS, rules_table, secrets
-from basalt.plans.corpus import PYTHON_LINES, SCRIPT_LINES, TEMPLATES, planted, planted_parts, ruled, templated
+from basalt.plans.corpus import PYTHON_LINES, SCRIPT_LINES, STEPS, TEMPLATES, TREE_FOLDERS, TREE_SUFFIXES, branching, planted, planted_parts, ruled, templated, tree_paths, write_archives, write_tree
 from basalt.plans.scan import Options, scan
-from basalt.plans.store import stored
-from basalt.sources.files import base_name, files_from_table, ignored, language, repository
+from basalt.plans.store import shared_path, stored
+from basalt.sources.files import base_name, files_from_archives, files_from_dir, files_from_table, ignored, language, repository
+from basalt.sources.tree import local_path
 from basalt.streaming.limits import fresh, in_flight, rate_limited
 
 WEEK = "interval 168 hours"
@@ -226,11 +227,36 @@ def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("location.path").alias("path"), "rule_id", F.col("location.start_line").alias("line"))
 
 
+def branch_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows through three statements of branches, loops and handlers, by every event."""
+    files = branching(table(spark, sf_dir, "events").select("event_id"))
+    found = scan(files_from_table(files, F.col("path"), F.col("content")), Options(passes=("taint",)))
+    return found.select(F.col("location.path").alias("path"), "rule_id")
+
+
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of a tree with ignored folders and nested ignore files, as the tree's source reads them."""
+    root = local_path(shared_path(spark))
+    write_tree(tree_paths(table(spark, sf_dir, "documents")), root)
+    found = files_from_dir(spark, root, nested=True)
+    return found.where("path not like '%.gitignore'").select("path", "size", "language", "digest")
+
+
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as members of zip and tar archives, read by ranges of members."""
+    root = local_path(shared_path(spark))
+    write_archives(table(spark, sf_dir, "documents").select("doc_id", "text"), root)
+    return files_from_archives(spark, root).select(base_name(F.col("archive")).alias("archive"), "path", "size", "digest")
+
+
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rulepacks.metadata(spark, rulepacks.built_in()).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    """How often each code rule fires in two lines for each event, zeros included."""
+    rules = rulepacks.metadata(spark, rulepacks.built_in()).select("rule_id", "severity")
+    counts = rule_lines(spark, sf_dir).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return F.broadcast(rules).join(counts, "rule_id", "left").select("rule_id", "severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (severity_counts, secret_values, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, taint_flows, rule_lines, rule_counts)}
+QUERIES = {f.__name__: f for f in (severity_counts, secret_values, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, taint_flows, rule_lines, branch_flows, source_tree, archive_members, rule_counts)}
 
 # The same in SQL. RE2 patterns: its \s has no vertical tab, its \b is of ASCII letters.
 _RE = {
@@ -283,6 +309,7 @@ _LINE_RULES = (
     ("js", "js.xss.inner-html", r"\.innerHTML ="), ("js", "js.xss.outer-html", r"\.outerHTML ="), ("js", "js.xss.insert-adjacent-html", r"\.insertAdjacentHTML\("), ("js", "js.taint.sql-injection", r"\.query\(req\."),
     ("js", "js.taint.command-injection", r"^cp\.exec\(req\."),
 )
+_SEVERITY = {rule["id"]: rule["severity"] for rule in rulepacks.built_in()}
 _LINE_AT = lambda lines, at: f"CASE ({at}) % {len(lines)} " + " ".join(f"WHEN {n} THEN {_quoted(x)}" for n, x in enumerate(lines)) + " END"
 _LINE_TEXTS = ", ".join(f"CASE WHEN event_id % 2 = 0 THEN {_LINE_AT(PYTHON_LINES, py)} ELSE {_LINE_AT(SCRIPT_LINES, js)} END" for py, js in (("event_id // 2",) * 2, tuple(f"event_id // 2 // {len(x)}" for x in (PYTHON_LINES, SCRIPT_LINES))))
 
@@ -290,7 +317,18 @@ _LINE_TEXTS = ", ".join(f"CASE WHEN event_id % 2 = 0 THEN {_LINE_AT(PYTHON_LINES
 _PLANTED_TEXT = "CASE event_id % " + str(len(planted_parts())) + " " + " ".join(f"WHEN {n} THEN " + " || ".join(_quoted(p) if isinstance(p, str) else f"left({'upper(h)' if p[0] else 'h'}, {p[1]})" for p in parts) for n, parts in enumerate(planted_parts())) + " END"
 _PLANTED = re.sub(r"txt AS \(SELECT .*? FROM documents\)", lambda _: f"txt AS (SELECT 'ev/' || event_id AS path, {_PLANTED_TEXT} AS body FROM (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h FROM events))", _FOUND)
 
+_EFFECT = lambda k: f"CASE event_id // {len(STEPS) ** k} % {len(STEPS)} " + " ".join(f"WHEN {n} THEN {kept}" for n, (kept, _) in enumerate(STEPS) if kept is not None) + " END"
+_CHOICE = lambda names, k: f"list_extract({list(names)}, CAST(doc_id // {k} % {len(names)} + 1 AS INTEGER))"
+_PLAIN = lambda c: f"regexp_replace(coalesce({c}, 'none'), '[^A-Za-z0-9]', '_', 'g')"
+_TEXT = r"regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')"
+
 ORACLE = {
+    # what the last statement with a sure effect leaves, or the source
+    "branch_flows": f"SELECT event_id || '.py' AS path, 'py.taint.sql-injection' AS rule_id FROM events WHERE coalesce({_EFFECT(2)}, {_EFFECT(1)}, {_EFFECT(0)}, TRUE)",
+    "source_tree": f"""WITH t AS (SELECT {_PLAIN('lang')} AS top, {_CHOICE(TREE_FOLDERS, 1)} AS folder, {_CHOICE(TREE_SUFFIXES, 4)} AS suffix, {_PLAIN('source')} AS source, doc_id, {_TEXT} AS body FROM documents)
+        SELECT top || '/' || source || '/' || folder || '/d' || doc_id || suffix AS path, strlen(body) AS size, CASE suffix WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' END AS language, sha256(body) AS digest
+        FROM t WHERE folder <> 'node_modules' AND (suffix <> '.log' OR folder = 'src') AND (suffix <> '.txt' OR top <> 'en')""",
+    "archive_members": f"SELECT doc_id // 100 || CASE WHEN doc_id // 100 % 3 = 0 THEN '.zip' ELSE '.tar' END AS archive, 'd/' || doc_id || '.txt' AS path, strlen({_TEXT}) AS size, sha256({_TEXT}) AS digest FROM documents",
     "planted_secrets": _PLANTED + "SELECT path, rule_id, CAST(line AS INTEGER) AS start_line, shown, length(value) AS size, round(bits, 6) AS bits FROM found",
     "planted_confidence": _PLANTED + "SELECT rule_id, severity, count(*) AS n FROM found WHERE rule_id NOT IN ('secrets.jwt', 'secrets.generic.high-entropy-assignment', 'secrets.slack.token') GROUP BY rule_id, severity",
     "severity_counts": _FOUND + "SELECT s.severity, count(path) AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) s(severity) LEFT JOIN found USING (severity) GROUP BY s.severity",
@@ -329,6 +367,8 @@ ORACLE = {
     "code_scan": f"SELECT event_id || '.' || suffix AS path, rule_id, CAST(line AS INTEGER) AS line FROM events JOIN {_EXPECTED} ON event_id % {len(TEMPLATES)} = n",
     "rule_lines": f"""WITH l AS (SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'py' ELSE 'js' END AS suffix, unnest([1, 2]) AS line, replace(unnest([{_LINE_TEXTS}]), '{{0}}', CAST(event_id AS VARCHAR)) AS text FROM events)
         SELECT event_id || '.' || suffix AS path, rule_id, CAST(line AS INTEGER) AS line FROM l JOIN (VALUES {", ".join(f"('{s}', '{r}', {_quoted(p)})" for s, r, p in _LINE_RULES)}) r(suffix, rule_id, pattern) USING (suffix) WHERE regexp_matches(text, pattern)""",
+    "rule_counts": f"""WITH l AS (SELECT CASE event_id % 2 WHEN 0 THEN 'py' ELSE 'js' END AS suffix, replace(unnest([{_LINE_TEXTS}]), '{{0}}', CAST(event_id AS VARCHAR)) AS text FROM events)
+        SELECT r.rule_id, r.severity, count(l.text) AS n FROM (VALUES {", ".join(f"('{s}', '{r}', {_quoted(p)}, '{_SEVERITY[r]}')" for s, r, p in _LINE_RULES)}) r(suffix, rule_id, pattern, severity) LEFT JOIN l ON l.suffix = r.suffix AND regexp_matches(text, pattern) GROUP BY ALL""",
     "taint_flows": f"SELECT event_id || '.' || suffix AS path, rule_id, CAST(first_line AS INTEGER) AS first_line, CAST(line AS INTEGER) AS last_line FROM events JOIN {_EXPECTED} ON event_id % {len(TEMPLATES)} = n WHERE first_line > 0",
     "baseline_diff": _FOUND + _LINES + """, fp AS (SELECT f.path, sha256(f.rule_id || chr(0) || string_agg(trim(regexp_replace(h.text, '[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}]+', ' ', 'g')), chr(10) ORDER BY h.n) || chr(0) || f.idx) AS fingerprint
         FROM found f JOIN lin h ON h.path = f.path AND h.n BETWEEN f.line - 3 AND f.line + 3 GROUP BY f.path, f.rule_id, f.line, f.nth, f.idx)
@@ -336,4 +376,3 @@ ORACLE = {
     "line_shapes": r"""WITH l AS (SELECT 'doc/' || doc_id || '.txt' AS path, unnest(regexp_split_to_array(regexp_replace(text, '(\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}])$', ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]')) AS line FROM documents WHERE text <> '')
         SELECT path, count(*) AS n_lines, CAST(sum(length(trim(regexp_replace(line, '[\s\x0B\x1C-\x1F\x{85}\x{A0}]+', ' ', 'g')))) AS BIGINT) AS n_chars FROM l GROUP BY path""",
 }
-# rule_counts has no SQL: rules aren't in the tables; a test counts the rule files.

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import os
-import re
-import tarfile
-import zipfile
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.functions.text import unix_newlines
+from basalt.sources import tree
 
 MAX_BYTES, SNIFFED = 5_000_000, 8192
 # What is never scanned, and how languages are told.
@@ -36,9 +31,10 @@ def ignore_regex(pattern: str) -> tuple[str, bool] | None:
         if line.startswith("**/", at):
             out, at = out + "(?:.*/)?", at + 3
         elif line.startswith("**", at):
-            out, at = out + ".*", at + 2
+            out, at = out + (".+" if line[:at].endswith("/") else ".*"), at + 2
         elif line[at] == "*":
-            out, at = out + "[^/]*", at + 1
+            alone = line[at - 1 : at] in ("", "/") and line[at + 1 : at + 2] in ("", "/")
+            out, at = out + ("[^/]+" if alone else "[^/]*"), at + 1
         elif line[at] == "?":
             out, at = out + "[^/]", at + 1
         elif line[at] == "[" and (end := line.find("]", at + 2)) > 0:
@@ -81,54 +77,28 @@ def with_language(files: DataFrame) -> DataFrame:
 def decoded(data: Column) -> Column:
     @F.pandas_udf("string")
     def decode(values):
-        return values.map(lambda b: bytes(b).decode("utf-8", "replace"))
+        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
 
     return F.coalesce(F.try_validate_utf8(data.cast("string")), decode(data))
 
 
-def _hidden(root: str, max_bytes: int) -> Iterator[str]:
-    """Relative paths of local files that Spark's readers leave out: those with a part that starts with _ or a dot."""
-    for folder, folders, names in os.walk(root):
-        at = os.path.relpath(folder, root).replace(os.sep, "/")
-        folders[:] = [d for d in folders if f"{d}/" not in IGNORED]
-        for name in names:
-            path = name if at == "." else f"{at}/{name}"
-            full = os.path.join(folder, name)
-            if any(part[0] in "_." for part in path.split("/")) and os.path.isfile(full) and os.path.getsize(full) <= max_bytes:
-                yield path
-
-
-def _read_hidden(spark: SparkSession, root: str, max_bytes: int) -> DataFrame:
-    """path, data. Only the names pass the driver; tasks read the files."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                with open(os.path.join(root, path), "rb") as f:
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "data"])
-
-    return spark.createDataFrame([(p,) for p in _hidden(root, max_bytes)], "path string").mapInArrow(run, "path string, data binary")
-
-
-def files_from_dir(spark: SparkSession, root: str, *, max_bytes: int = MAX_BYTES, ignore: tuple[str, ...] = (), ignore_files: tuple[str, ...] = (".gitignore",)) -> DataFrame:
+def files_from_dir(spark: SparkSession, root: str, *, max_bytes: int = MAX_BYTES, ignore: tuple[str, ...] = (), ignore_files: tuple[str, ...] = (".gitignore",), nested: bool = False, tasks: int | None = None) -> DataFrame:
     """path (relative), content, size, language, digest of the text files below root that no ignore pattern excludes.
 
-    Spark's readers pass over names that start with _ or a dot. Below a local root (one that all executors share) those are read
-    too, and so are the root's ignore files; in other stores give their lines as `ignore`.
+    A local root (one that all executors share) is listed by tasks that leave out ignored folders before they look into them (see
+    sources.tree), and then read by `tasks` tasks; its own ignore files count, and with `nested` those of folders below it. Other
+    stores are read by Spark's reader, which passes over names that start with _ or a dot; give their ignore lines as `ignore`.
     """
     root = root.rstrip("/")
-    plain = re.sub("^file:(?://)?(?=/)", "", root)
-    local, lines = "://" not in plain, []
-    for name in ignore_files if local else ():
-        if os.path.isfile(at := os.path.join(plain, name)):
-            with open(at, encoding="utf-8", errors="replace") as f:
-                lines += f.read().splitlines()
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    tail = plain.split("://", 1)[-1].lstrip("/") + "/"
-    rows = found.where(F.col("length") <= max_bytes).select(F.expr("substring(path, instr(path, :tail) + length(:tail))".replace(":tail", "'" + tail.replace("\\", "\\\\").replace("'", "\\'") + "'")).alias("path"), F.col("content").alias("data"))
-    if local:
-        rows = rows.unionByName(_read_hidden(spark, plain, max_bytes))
-    rows = rows.where(~ignored(F.col("path"), [*IGNORED, *lines, *ignore])).where(~is_binary(F.col("path"), F.col("data")))
+    if "://" not in tree.local_path(root):
+        listed = tree.listing(spark, root, ignore=ignore, ignore_files=ignore_files, nested=nested, max_bytes=max_bytes)
+        rows = tree.read_files(listed, root, tasks)
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        tail = "'" + (root.split("://", 1)[-1].lstrip("/") + "/").replace("\\", "\\\\").replace("'", "\\'") + "'"
+        rows = found.where(F.col("length") <= max_bytes).select(F.expr(f"substring(path, instr(path, {tail}) + length({tail}))").alias("path"), F.col("content").alias("data"))
+        rows = rows.where(~ignored(F.col("path"), [*IGNORED, *ignore]))
+    rows = rows.where(~is_binary(F.col("path"), F.col("data")))
     return with_language(rows.select("path", decoded(F.col("data")).alias("content")))
 
 
@@ -137,43 +107,25 @@ def files_from_table(df: DataFrame, path: Column, content: Column) -> DataFrame:
     return with_language(df.select(path.cast("string").alias("path"), content.cast("string").alias("content")))
 
 
-def _members(name: str, data: bytes, max_files: int, max_bytes: int) -> Iterator[tuple[str, bytes]]:
-    """Regular files of a zip or tar archive. Raises ValueError for too many or too large ones, and for paths that leave it."""
-    seen = total = 0
-    if zipfile.is_zipfile(io.BytesIO(data)):
-        archive = zipfile.ZipFile(io.BytesIO(data))
-        entries = [(i.filename, i.file_size, lambda i=i: archive.read(i)) for i in archive.infolist() if not i.is_dir() and (i.external_attr >> 28) != 0xA]
-    else:
-        tar = tarfile.open(fileobj=io.BytesIO(data))
-        entries = [(m.name, m.size, lambda m=m: tar.extractfile(m).read()) for m in tar.getmembers() if m.isfile()]
-    for path, size, read in entries:
-        seen, total = seen + 1, total + size
-        if seen > max_files or total > max_bytes:
-            raise ValueError(f"{name}: more than {max_files} files or {max_bytes} bytes")
-        if path.startswith(("/", "\\")) or ".." in path.replace("\\", "/").split("/") or ":" in path[:3]:
-            raise ValueError(f"{name}: {path} leaves the archive")
-        yield path.removeprefix("./"), read()
-
-
-def files_from_archives(spark: SparkSession, path: str, *, max_files: int = 20_000, max_bytes: int = 200 << 20) -> DataFrame:
-    """archive, path, content, size, language, digest, error of the members of the archives below path.
+def files_from_archives(spark: SparkSession, path: str, *, max_files: int = 20_000, max_bytes: int = 200 << 20, tasks: int | None = None) -> DataFrame:
+    """archive, path, content, size, language, digest, error of the members of an archive, or of all archives in a folder.
 
-    An archive that breaks a limit, or that can't be read, gives one row with an error and no content.
+    The path must be one that all executors share. Tasks share an archive by ranges of its members (see sources.tree). An archive that breaks
+    a limit, or that can't be read, gives one row with an error; of one that is damaged further in, what comes before stays.
     """
+    top = tree.local_path(path)
+    if os.path.isdir(top):
+        listed = tree.listing(spark, top, recursive=False, default_ignores=False)
+    else:
+        top, name = os.path.split(top)
+        listed = spark.createDataFrame([(name,)], "path string")
+    found = tree.read_archives(listed, top, max_files, max_bytes, _is_text, tasks)
+    rows = found.select(F.concat(F.lit(f"{top}/"), "archive").alias("archive"), "path", decoded(F.col("data")).alias("content"), "error")
+    return with_language(rows.where(F.col("error").isNotNull() | ~ignored(F.col("path"))))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    rows = [(name, p, d, None) for p, d in _members(name, data, max_files, max_bytes) if b"\0" not in d[:SNIFFED]]
-                except (ValueError, OSError, zipfile.BadZipFile, tarfile.TarError) as e:
-                    rows = [(name, "", None, str(e))]
-                for row in rows:
-                    text = None if row[2] is None else row[2].decode("utf-8", "replace")
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (row[0], row[1], text, row[3])], ["archive", "path", "content", "error"])
-
-    members = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, path string, content string, error string")
-    return with_language(members.where(F.col("error").isNotNull() | ~ignored(F.col("path"))))
+def _is_text(data: bytes) -> bool:
+    return b"\0" not in data[:SNIFFED]
 
 
 def base_name(path: Column) -> Column:

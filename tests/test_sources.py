@@ -1,4 +1,8 @@
 import io
+import json
+import os
+import random
+import re
 import tarfile
 import zipfile
 
@@ -6,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basalt.sources import files as S
+from basalt.sources import tree
 
 
 def test_walk(spark, tmp_path):
@@ -23,7 +28,7 @@ def test_bad_bytes_are_replaced(spark, tmp_path):
     assert S.files_from_dir(spark, str(tmp_path)).first()["content"] == b"x = '\xff\xe2\x82'\n".decode("utf-8", "replace")
 
 
-@pytest.mark.parametrize("pattern,path,excluded", [("*.map", "a/b.map", True), ("/a.py", "b/a.py", False), ("/a.py", "a.py", True), ("a/b", "c/a/b", False), ("dist/", "x/dist/y.js", True), ("dist/", "dist", False), ("**/t.py", "x/y/t.py", True), ("a/**", "a/b/c", True), ("f[0-9].py", "f3.py", True), ("f?.py", "f/.py", False), ("# x", "# x", False)])
+@pytest.mark.parametrize("pattern,path,excluded", [("*.map", "a/b.map", True), ("/a.py", "b/a.py", False), ("/a.py", "a.py", True), ("a/b", "c/a/b", False), ("dist/", "x/dist/y.js", True), ("dist/", "dist", False), ("**/t.py", "x/y/t.py", True), ("a/**", "a/b/c", True), ("a/*", "a/", False), ("a/*", "a/b/c", True), ("*", "a/b", True), ("a/**", "a/", False), ("f[0-9].py", "f3.py", True), ("f?.py", "f/.py", False), ("# x", "# x", False)])
 def test_ignore_patterns(spark, pattern, path, excluded):
     assert spark.createDataFrame([(path,)], "p string").select(S.ignored(F.col("p"), [pattern])).first()[0] is excluded
 
@@ -59,6 +64,120 @@ def test_archives(spark, tmp_path, kind):
     assert sorted(r["archive"].rsplit("/", 1)[1] for r in rows if r["error"]) == ["bad", "broken", "many"]
 
 
+def plain_walk(root, lines=(), ignore_files=(".gitignore",), nested=False, max_bytes=1 << 60):
+    """What os.walk finds, with the ignore lines of each folder and of those above it; the last match decides."""
+    found = []
+
+    def walk(folder, rules):
+        here = [(folder, line) for name in ignore_files if nested or not folder for line in ((root / folder / name).read_text().splitlines() if (root / folder / name).is_file() else ())]
+        rules = [*rules, *here] if folder else [*(("", x) for x in S.IGNORED), *here, *(("", x) for x in lines)]
+
+        def out(path):
+            state = False
+            for base, line in rules:
+                if (r := S.ignore_regex(line)) and path.startswith(base) and re.search(r[0], path[len(base) :]):
+                    state = r[1]
+            return state
+
+        for e in os.scandir(root / folder):
+            path = f"{folder}{e.name}"
+            if e.is_dir(follow_symlinks=False):
+                if not out(path + "/"):
+                    walk(path + "/", rules)
+            elif e.is_file() and not out(path) and e.stat().st_size <= max_bytes:
+                found.append((path, e.stat().st_size))
+
+    walk("", [])
+    return sorted(found)
+
+
+def grow(root, seed, files=400):
+    rng = random.Random(seed)
+    folders = [""]
+    for _ in range(60):
+        folders.append(f"{rng.choice(folders)}{rng.choice(['src', 'lib', 'dist', 'node_modules', '.git', '_x', 'é', 'a b', 'gen'])}{rng.choice(['', '1', '2'])}/")
+    for n in range(files):
+        path = root / f"{rng.choice(folders)}{rng.choice(['a', 'b', '.h', 'x.min'])}{n}{rng.choice(['.py', '.js', '.map', '', '.ts'])}"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x" * rng.randrange(50))
+    for folder in rng.sample(folders, 12):
+        if (root / folder).is_dir():
+            (root / folder / ".gitignore").write_text(rng.choice(["*.js\n", "/gen/\n!a1*\n", "src*/\n", "# none\n*.py\n!b*.py\n", "**/a*\n"]))
+    (root / ".gitignore").write_text("*2.ts\nlib1/\n!lib1/\n")
+    (root / "src").mkdir(exist_ok=True)
+    if not (root / "loop").exists():
+        (root / "loop").symlink_to(root)
+        (root / "link.py").symlink_to(root / ".gitignore")
+
+
+@pytest.mark.parametrize("seed,nested", [(1, False), (2, True), (3, True)])
+def test_a_tree_lists_what_a_walk_finds(spark, tmp_path, seed, nested):
+    grow(tmp_path, seed)
+    for spread, cut in ((1, 50_000), (6, 7), (200, 3)):
+        got = tree.listing(spark, str(tmp_path), ignore=("gen2/", "!x.min*"), ignore_files=(".gitignore",), nested=nested, max_bytes=40, spread=spread, slice=cut)
+        assert sorted(map(tuple, got.collect())) == plain_walk(tmp_path, ("gen2/", "!x.min*"), nested=nested, max_bytes=40)
+    read = {r["path"] for r in S.files_from_dir(spark, str(tmp_path), nested=nested, tasks=3).collect()}
+    assert read == {p for p, _ in plain_walk(tmp_path, nested=nested)}
+
+
+def test_ignored_folders_are_not_looked_into_and_plans_hold_no_files(tmp_path):
+    for n in range(300):
+        (tmp_path / "node_modules" / f"m{n}").mkdir(parents=True)
+        (tmp_path / "src" / f"p{n % 20}").mkdir(parents=True, exist_ok=True)
+        for k in range(4):
+            (tmp_path / "src" / f"p{n % 20}" / f"f{n}_{k}.py").write_text("")
+    reader = tree.TreeReader({"path": str(tmp_path), "spread": "8", "slice": "100"})
+    plan = reader.partitions()
+    assert len(plan) < 40 and not any("f1_" in json.dumps(vars(share), default=str) for share in plan)
+    assert reader.tree.seen < 60  # neither the planner nor the tasks open the 300 ignored folders
+    assert sum(1 for share in plan for _ in reader.read(share)) == 1200
+    assert reader.tree.seen < 120
+
+
+def test_one_folder_is_listed_by_many_tasks(tmp_path):
+    for n in range(1000):
+        (tmp_path / f"f{n}.py").write_text("")
+    reader = tree.TreeReader({"path": str(tmp_path), "slice": "100"})
+    plan = reader.partitions()
+    counts = [sum(1 for _ in reader.read(share)) for share in plan]
+    assert len(plan) == 10 and sum(counts) == 1000 and max(counts) < 200
+
+
+def test_missing_and_empty_folders(spark, tmp_path):
+    assert tree.listing(spark, str(tmp_path)).count() == 0
+    with pytest.raises(Exception, match="nowhere"):
+        tree.listing(spark, str(tmp_path / "nowhere")).count()
+
+
+@pytest.mark.parametrize("kind", ["zip", "tar", "gz"])
+def test_an_archive_is_read_in_ranges(spark, tmp_path, kind):
+    rng = random.Random(1)
+    wanted = {f"d{n % 7}/f{n}.py": rng.randbytes(rng.randrange(3000)).hex().encode() for n in range(60)}
+    (tmp_path / "a").mkdir()
+    if kind == "zip":
+        (tmp_path / "a" / "x").write_bytes(archive("zip", wanted))
+    else:
+        with tarfile.open(tmp_path / "a" / "x", "w" if kind == "tar" else "w:gz") as t:
+            for name, content in wanted.items():
+                info = tarfile.TarInfo(f"./{name}")
+                info.size = len(content)
+                t.addfile(info, io.BytesIO(content))
+    parts = tree.ranges(str(tmp_path / "a" / "x"), 100, 1 << 30, limit=20_000)
+    assert len(parts) == 1 if kind == "gz" else len(parts) > 5
+    assert {name: data for part in parts for name, data in tree.members(str(tmp_path / "a" / "x"), part)} == wanted
+    for at in (tmp_path / "a", tmp_path / "a" / "x"):
+        rows = S.files_from_archives(spark, str(at)).collect()
+        assert {r["path"]: r["content"].encode() for r in rows} == wanted and {r["archive"] for r in rows} == {str(tmp_path / "a" / "x")}
+
+
+def test_a_damaged_archive_keeps_what_comes_before(spark, tmp_path):
+    rng = random.Random(2)
+    data = archive("tar", {f"f{n}.py": rng.randbytes(5000).hex().encode() for n in range(9)})
+    (tmp_path / "cut.tar.gz").write_bytes(data[: len(data) // 2])
+    rows = S.files_from_archives(spark, str(tmp_path)).collect()
+    assert [bool(r["error"]) for r in rows] == [True]
+
+
 def test_repository(spark):
     urls = {"https://github.com/a/b": ("a", "b"), "https://github.com/a/b.git": ("a", "b"), "http://www.github.com/a/b/": ("a", "b"), "https://github.com/a": None, "https://github.com/a/b/c": None, "https://evil.com/github.com/a/b": None, "ftp://github.com/a/b": None}
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", S.repository(F.col("u")).alias("r")).collect()
