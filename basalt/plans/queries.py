@@ -15,7 +15,7 @@ from basalt.operators import reports
 from basalt.operators.facts import code_facts
 from basalt.operators.patterns import pattern_candidates, pattern_rows, patterns_table
 from basalt.operators.secrets import DETECTORS, rules_table, secrets
-from basalt.plans.corpus import PYTHON_LINES, SCRIPT_LINES, STEPS, TEMPLATES, TREE_FOLDERS, TREE_SUFFIXES, branching, planted, planted_parts, ruled, templated, tree_paths, write_archives, write_tree
+from basalt.plans.corpus import PYTHON_LINES, SCRIPT_LINES, STEPS, TEMPLATES, TREE_FOLDERS, TREE_SUFFIXES, branching, nested, planted, planted_parts, ruled, templated, tree_paths, write_archives, write_tree
 from basalt.plans.scan import Options, scan
 from basalt.plans.store import shared_path, stored
 from basalt.sources.files import base_name, files_from_archives, files_from_dir, files_from_table, ignored, language, repository
@@ -234,6 +234,16 @@ def branch_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("location.path").alias("path"), "rule_id")
 
 
+NESTED_RULES = [{"id": f"own.{name}", "languages": ["python"], "mode": "pattern", "severity": "LOW", "confidence": "LOW", "message": name, "pattern": text} for name, text in (("encoded-twice", "send(encode($X), ..., $X)"), ("doubled", "f($X + $X)"), ("keyed", "send($F($X), ..., key[$K], $Y)"))]
+
+
+def nested_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns with calls, operators and subscripts inside, over two lines for each event."""
+    files = nested(table(spark, sf_dir, "events"))
+    found = scan(files_from_table(files, F.col("path"), F.col("content")), Options(rules=[rulepacks.checked(r) for r in NESTED_RULES], passes=("patterns",)))
+    return found.select(F.col("location.path").alias("path"), "rule_id", F.col("location.start_line").alias("line"))
+
+
 def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as files of a tree with ignored folders and nested ignore files, as the tree's source reads them."""
     root = local_path(shared_path(spark))
@@ -256,7 +266,7 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return F.broadcast(rules).join(counts, "rule_id", "left").select("rule_id", "severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (severity_counts, secret_values, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, taint_flows, rule_lines, branch_flows, source_tree, archive_members, rule_counts)}
+QUERIES = {f.__name__: f for f in (severity_counts, secret_values, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, taint_flows, rule_lines, branch_flows, nested_calls, source_tree, archive_members, rule_counts)}
 
 # The same in SQL. RE2 patterns: its \s has no vertical tab, its \b is of ASCII letters.
 _RE = {
@@ -325,6 +335,8 @@ _TEXT = r"regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')"
 ORACLE = {
     # what the last statement with a sure effect leaves, or the source
     "branch_flows": f"SELECT event_id || '.py' AS path, 'py.taint.sql-injection' AS rule_id FROM events WHERE coalesce({_EFFECT(2)}, {_EFFECT(1)}, {_EFFECT(0)}, TRUE)",
+    "nested_calls": """SELECT event_id || '.py' AS path, r.rule_id, r.line FROM events, (VALUES ('own.encoded-twice', 1), ('own.doubled', 2), ('own.keyed', 1)) r(rule_id, line)
+        WHERE CASE r.rule_id WHEN 'own.encoded-twice' THEN event_type = 'view' AND event_id % 3 = user_id % 3 WHEN 'own.doubled' THEN event_id % 5 = user_id % 5 ELSE event_id % 4 = 0 END""",
     "source_tree": f"""WITH t AS (SELECT {_PLAIN('lang')} AS top, {_CHOICE(TREE_FOLDERS, 1)} AS folder, {_CHOICE(TREE_SUFFIXES, 4)} AS suffix, {_PLAIN('source')} AS source, doc_id, {_TEXT} AS body FROM documents)
         SELECT top || '/' || source || '/' || folder || '/d' || doc_id || suffix AS path, strlen(body) AS size, CASE suffix WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' END AS language, sha256(body) AS digest
         FROM t WHERE folder <> 'node_modules' AND (suffix <> '.log' OR folder = 'src') AND (suffix <> '.txt' OR top <> 'en')""",
