@@ -1,4 +1,8 @@
-"""Secrets by regular expressions, entropy and format, all within the JVM."""
+"""Secrets by regular expressions, entropy and format, all within the JVM.
+
+A text is folded once and searched for the literals that the expressions require (see operators.literals); only a detector whose literal is
+there runs its expression. An index of trigrams, where there is one, leaves out the texts that no detector can match before that.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basalt.functions.text import entropy
+from basalt.operators.literals import TrigramIndex, folded, may_match
+from basalt.plans.store import stored
 
 
 @dataclass(frozen=True)
@@ -54,8 +60,8 @@ def is_jwt(value: Column) -> Column:
     return F.coalesce(F.arrays_overlap(keys, F.array(F.lit("alg"), F.lit("typ"))), F.lit(False))
 
 
-def _matches(content: Column, at: int, detector: Detector) -> Column:
-    """detector (number), at, lead (text from the last match to the value), value, tail (characters of the match after the value)."""
+def _matches(content: Column, text: Column, at: int, detector: Detector) -> Column:
+    """text: content, folded. detector (number), at, lead (text from the last match to the value), value, tail (characters of the match after the value)."""
     gaps = F.split(content, detector.pattern, -1)
     whole = F.regexp_extract_all(content, F.lit(detector.pattern if detector.grouped else f"({detector.pattern})"), F.lit(0))
     values = F.regexp_extract_all(content, F.lit(detector.pattern), F.lit(1)) if detector.grouped else whole
@@ -64,18 +70,26 @@ def _matches(content: Column, at: int, detector: Detector) -> Column:
     tail = 1 if detector.grouped else 0
     lead = lambda m: F.concat(m["gap"], F.expr("''") if not detector.grouped else F.left(m["whole"], F.length(m["whole"]) - F.length(m["value"]) - 1))
     cut = F.transform(found, lambda m, i: F.struct(F.lit(at).alias("detector"), i.alias("at"), lead(m).alias("lead"), m["value"].alias("value"), F.lit(tail).alias("tail")))
-    return F.when(content.rlike(detector.pattern), cut)
+    return F.when(may_match(text, detector.pattern) & content.rlike(detector.pattern), cut)
 
 
 def _last_line(text: Column) -> Column:
     return F.length(F.substring_index(text, "\n", -1))
 
 
-def secrets(files: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
-    """Candidates (see model.CANDIDATE) of files (path, content). One scan of the texts serves all detectors."""
+def possible(files: DataFrame, index: TrigramIndex, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
+    """The files (digest) that a detector may match by the index, and those that it doesn't know."""
+    may = stored(index.candidates({d.rule_id: d.pattern for d in detectors}).select("digest").distinct())
+    known = index.known().join(may, "digest", "left_anti")
+    return files.join(known, "digest", "left_anti")
+
+
+def secrets(files: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, index: TrigramIndex | None = None) -> DataFrame:
+    """Candidates (see model.CANDIDATE) of files (path, content; with an index also digest). One scan of the texts serves all detectors."""
+    files = possible(files, index, detectors) if index else files
     content, empty = F.col("content"), F.expr("cast(array() as array<struct<detector: int, at: int, lead: string, value: string, tail: int>>)")
-    every = F.concat(*(F.coalesce(_matches(content, n, d), empty) for n, d in enumerate(detectors)))
-    rows = files.select("path", F.explode(every).alias("m")).select("path", "m.*")
+    every = F.concat(*(F.coalesce(_matches(content, F.col("text"), n, d), empty) for n, d in enumerate(detectors)))
+    rows = files.select("path", "content", folded(content).alias("text")).select("path", F.explode(every).alias("m")).select("path", "m.*")
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     upto = Window.partitionBy("path", "detector").orderBy("at")
     before = upto.rowsBetween(Window.unboundedPreceding, -1)

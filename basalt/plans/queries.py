@@ -13,6 +13,7 @@ from basalt.model import SEVERITIES, severity_rank
 from basalt.operators import findings as fin
 from basalt.operators import reports
 from basalt.operators.facts import code_facts
+from basalt.operators.literals import TrigramIndex, literals
 from basalt.operators.patterns import pattern_candidates, pattern_rows, patterns_table
 from basalt.operators.secrets import DETECTORS, rules_table, secrets
 from basalt.plans.corpus import PYTHON_LINES, SCRIPT_LINES, STEPS, TEMPLATES, TREE_FOLDERS, TREE_SUFFIXES, branching, nested, planted, planted_parts, ruled, templated, tree_paths, write_archives, write_tree
@@ -50,6 +51,25 @@ def secret_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "rule_id", "start_line", masked(F.col("value")).alias("shown"), F.length("value").cast("long").alias("size"), F.round(entropy(F.col("value")), 6).alias("bits"))
 
 
+def indexed_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of all documents, found through an index of trigrams that was filled in two steps."""
+    files, index = documents(spark, sf_dir), TrigramIndex(spark, shared_path(spark))
+    index.add(files.where("digest < '8'"))
+    index.add(files)
+    found = secrets(files, index=index)
+    return found.select("path", "rule_id", "start_line", masked(F.col("value")).alias("shown"))
+
+
+def literal_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many contents the index leaves to each detector, and how many there are."""
+    index = TrigramIndex(spark, shared_path(spark))
+    index.add(documents(spark, sf_dir))
+    counts = index.candidates({d.rule_id: d.pattern for d in DETECTORS}).groupBy(F.col("name").alias("rule_id")).agg(F.count(F.lit(1)).alias("n"))
+    names = spark.createDataFrame([(d.rule_id,) for d in DETECTORS], "rule_id string")
+    total = index.known().agg(F.count(F.lit(1)).alias("contents")).first()[0]
+    return F.broadcast(names).join(counts, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(total).cast("long").alias("contents"))
+
+
 def planted_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every kind, in texts made from the events."""
     found = secrets(planted(table(spark, sf_dir, "events")))
@@ -266,7 +286,7 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return F.broadcast(rules).join(counts, "rule_id", "left").select("rule_id", "severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (severity_counts, secret_values, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, taint_flows, rule_lines, branch_flows, nested_calls, source_tree, archive_members, rule_counts)}
+QUERIES = {f.__name__: f for f in (severity_counts, secret_values, indexed_secrets, literal_pruning, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, taint_flows, rule_lines, branch_flows, nested_calls, source_tree, archive_members, rule_counts)}
 
 # The same in SQL. RE2 patterns: its \s has no vertical tab, its \b is of ASCII letters.
 _RE = {
@@ -345,6 +365,9 @@ ORACLE = {
     "planted_confidence": _PLANTED + "SELECT rule_id, severity, count(*) AS n FROM found WHERE rule_id NOT IN ('secrets.jwt', 'secrets.generic.high-entropy-assignment', 'secrets.slack.token') GROUP BY rule_id, severity",
     "severity_counts": _FOUND + "SELECT s.severity, count(path) AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) s(severity) LEFT JOIN found USING (severity) GROUP BY s.severity",
     "secret_values": _FOUND + "SELECT path, rule_id, CAST(line AS INTEGER) AS start_line, shown, length(value) AS size, round(bits, 6) AS bits FROM found",
+    "indexed_secrets": _FOUND + "SELECT path, rule_id, CAST(line AS INTEGER) AS start_line, shown FROM found",
+    "literal_pruning": "WITH t AS (SELECT DISTINCT " + _TEXT + " AS body FROM documents), f AS (SELECT lower(translate(body, 'ſKıİ', 'skii')) AS body FROM t) SELECT rule_id, n, (SELECT count(*) FROM t) AS contents FROM ("
+    + " UNION ALL ".join(f"SELECT {_quoted(d.rule_id)} AS rule_id, count(*) FILTER (WHERE " + " OR ".join("(" + " AND ".join(f"contains(body, {_quoted(x[k : k + 3])})" for k in range(len(x) - 2)) + ")" for x in literals(d.pattern)) + ") AS n FROM f" for d in DETECTORS) + ")",
     "secrets_all_counts": _FOUND + "SELECT det.rule_id, count(path) AS n FROM det LEFT JOIN found USING (rule_id) GROUP BY det.rule_id",
     "fail_threshold": _FOUND + "SELECT " + ", ".join(f"coalesce(max(CAST(severity IN ({', '.join(map(repr, SEVERITIES[: n + 1]))}) AS INTEGER)), 0) AS fails_on_{s.lower()}" for n, s in enumerate(SEVERITIES)) + " FROM found",
     "min_confidence": _FOUND + "SELECT rule_id, count(*) AS n FROM found WHERE rule_id NOT IN ('secrets.jwt', 'secrets.generic.high-entropy-assignment') GROUP BY rule_id",
