@@ -11,7 +11,8 @@ from pathlib import Path
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 
-CONFIG = ".basalt.yml"
+CONFIG, CACHE = ".basalt.yml", ".basalt-cache"
+COMPACT = 20  # versions of the cache
 KEYS = {"exclude": [], "fail_on": "LOW", "format": "console", "min_confidence": "LOW", "disabled_rules": []}
 TEMPLATE = "# Settings of scans below this folder.\nexclude: []\nfail_on: LOW\nformat: console\nmin_confidence: LOW\ndisabled_rules: []\n"
 
@@ -52,6 +53,8 @@ def main(args: list[str] | None = None) -> int:
     scan.add_argument("--fail-on")
     scan.add_argument("--baseline")
     scan.add_argument("--no-config", action="store_true")
+    scan.add_argument("--cache", default=CACHE, help="a folder of what earlier scans found; contents that it knows aren't searched again")
+    scan.add_argument("--no-cache", action="store_true")
     make = commands.add_parser("baseline")
     make.add_argument("paths", nargs="*", default=["."])
     make.add_argument("-o", "--output", default=".basalt-baseline")
@@ -69,6 +72,7 @@ def main(args: list[str] | None = None) -> int:
 def _run(given: argparse.Namespace) -> int:
     from basalt.operators import findings as fin
     from basalt.operators.reports import REPORTERS, report
+    from basalt.plans.cache import ScanCache
     from basalt.plans.scan import Options
     from basalt.plans.scan import scan as scan_files
     from basalt.plans.store import stored
@@ -89,12 +93,16 @@ def _run(given: argparse.Namespace) -> int:
         raise ValueError(f"unknown format: {form}")
     options = Options(disabled=tuple(settings["disabled_rules"]), min_confidence=settings["min_confidence"], fail_on=fail_on)
     spark = SparkSession.builder.appName("basalt").getOrCreate()
-    files = targets(spark, given.paths, tuple(settings["exclude"]))
+    folder = getattr(given, "cache", CACHE)
+    files = targets(spark, given.paths, (*settings["exclude"], f"{os.path.basename(folder)}/"))
     if given.command == "baseline":
         fin.save_baseline(scan_files(files), os.path.abspath(given.output))
         return 0
     known = fin.load_baseline(spark, os.path.abspath(given.baseline)) if given.baseline else None
-    found = stored(scan_files(files, options, known))
+    cache = None if given.no_cache else ScanCache(spark, os.path.abspath(folder))
+    found = stored(scan_files(files, options, known, cache))
+    if cache and len(cache.contents.numbers()) > COMPACT:
+        cache.compact()
     lines = report(found, form, files.count())
     if given.output:
         with open(given.output, "w", encoding="utf-8") as out:

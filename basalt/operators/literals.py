@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basalt.plans.store import Versions
+
 #: At most so many texts for a part, and characters of a class.
 _MOST, _CLASS = 64, 8
 
@@ -136,28 +138,18 @@ class TrigramIndex:
     """Postings in a folder that all executors share. Each add() writes a version beside the ones before; compact() makes them one."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _versions(self) -> list[int]:
-        """The whole versions: those with a mark. What a lost job left behind has none."""
-        files = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        system = files.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not system.exists(files):
-            return []
-        return sorted(int(m[1]) for s in system.listStatus(files) if (m := re.fullmatch(r"v(\d+)", s.getPath().getName())) and system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+        self.spark, self.versions = spark, Versions(spark, path, "gram int, digest string")
 
     def postings(self) -> DataFrame:
-        paths = [f"{self.path}/v{v}" for v in self._versions()]
-        return self.spark.read.schema("gram int, digest string").parquet(*paths) if paths else self.spark.createDataFrame([], "gram int, digest string")
+        return self.versions.read()
 
     def known(self) -> DataFrame:
         """The digests in the index. Each has a posting of gram -1, whatever its text."""
         return self.postings().where("gram = -1").select("digest").distinct()
 
-    def _write(self, rows: DataFrame) -> None:
+    def _arranged(self, rows: DataFrame) -> DataFrame:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        version = max(self._versions(), default=-1) + 1
-        rows.repartitionByRange(parts, "gram", "digest").sortWithinPartitions("gram", "digest").write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        return rows.distinct().repartitionByRange(parts, "gram", "digest").sortWithinPartitions("gram", "digest")
 
     def add(self, files: DataFrame) -> DataFrame:
         """Indexes the files (content, digest) that are new; returns them."""
@@ -173,17 +165,11 @@ class TrigramIndex:
                         part = found[at : at + 65536]
                         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([digest] * len(part))], ["gram", "digest"])
 
-        self._write(new.select("digest", "content").mapInArrow(run, "gram int, digest string").distinct())
+        self.versions.add(self._arranged(new.select("digest", "content").mapInArrow(run, "gram int, digest string")))
         return new
 
     def compact(self) -> None:
-        """One version in place of all; a reader that began before keeps the files that it listed until they are gone."""
-        old = self._versions()
-        if len(old) > 1:
-            self._write(self.postings().distinct())
-            for v in old:
-                gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}")
-                gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+        self.versions.replace(self._arranged)
 
     def candidates(self, patterns: dict[str, str]) -> DataFrame:
         """name, digest: the contents that each of the named expressions may match. An expression without literals has all."""

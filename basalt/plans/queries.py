@@ -16,6 +16,7 @@ from basalt.operators.facts import code_facts
 from basalt.operators.literals import TrigramIndex, literals
 from basalt.operators.patterns import pattern_candidates, pattern_rows, patterns_table
 from basalt.operators.secrets import DETECTORS, rules_table, secrets
+from basalt.plans.cache import ScanCache
 from basalt.plans.corpus import PYTHON_LINES, SCRIPT_LINES, STEPS, TEMPLATES, TREE_FOLDERS, TREE_SUFFIXES, branching, nested, planted, planted_parts, ruled, templated, tree_paths, write_archives, write_tree
 from basalt.plans.scan import Options, scan
 from basalt.plans.store import shared_path, stored
@@ -235,6 +236,27 @@ def code_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("location.path").alias("path"), "rule_id", F.col("location.start_line").alias("line"))
 
 
+def cached_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passes over a file for each event, through a cache that holds every other one already, and was compacted."""
+    files, cache = _templated(spark, sf_dir), ScanCache(spark, shared_path(spark))
+    scan(files.where(F.crc32("path") % 2 == 0), cache=cache)
+    scan(files.where(F.crc32("path") % 3 == 0), cache=cache)
+    cache.compact()
+    found = scan(files, cache=cache)
+    return found.select(F.col("location.path").alias("path"), "rule_id", F.col("location.start_line").alias("line"))
+
+
+def cache_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many contents each of three scans searches: the English documents, all, and all again."""
+    files, cache, options = documents(spark, sf_dir), ScanCache(spark, shared_path(spark)), Options(passes=("secrets",))
+    english = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    for which in (files.join(english, "path", "left_semi"), files, files):
+        scan(which, options, cache=cache)
+    steps = spark.range(3).select((F.col("id") + 1).alias("scan"))
+    counts = cache.contents.read().groupBy(F.regexp_extract(F.input_file_name(), r"/v(\d+)/", 1).cast("long").alias("version")).agg(F.count(F.lit(1)).alias("contents"))
+    return steps.join(counts, F.col("version") + 1 == F.col("scan"), "left").select("scan", F.coalesce("contents", F.lit(0)).alias("contents"))
+
+
 def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(_templated(spark, sf_dir), Options(passes=("taint",)))
     return found.select(F.col("location.path").alias("path"), "rule_id", F.get("data_flow", F.lit(0))["location"]["start_line"].alias("first_line"), F.element_at("data_flow", -1)["location"]["start_line"].alias("last_line"))
@@ -286,7 +308,7 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return F.broadcast(rules).join(counts, "rule_id", "left").select("rule_id", "severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (severity_counts, secret_values, indexed_secrets, literal_pruning, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, taint_flows, rule_lines, branch_flows, nested_calls, source_tree, archive_members, rule_counts)}
+QUERIES = {f.__name__: f for f in (severity_counts, secret_values, indexed_secrets, literal_pruning, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, cached_scan, cache_growth, taint_flows, rule_lines, branch_flows, nested_calls, source_tree, archive_members, rule_counts)}
 
 # The same in SQL. RE2 patterns: its \s has no vertical tab, its \b is of ASCII letters.
 _RE = {
@@ -400,6 +422,9 @@ ORACLE = {
     "feedback_counts": "SELECT 'rule.' || event_type AS rule_id, count(*) AS n FROM events WHERE event_id % 10 <> 0 AND regexp_full_match('rule.' || event_type, '[a-z0-9]+([.-][a-z0-9]+)*') GROUP BY 1",
     "script_calls": "SELECT page_id, 'js.track' AS rule_id, CAST(1 AS INTEGER) AS start_line FROM pages WHERE regexp_matches(html, '<script>[^<]*(</p>)?[^<]*track\\([^,)]+\\)')",
     "code_scan": f"SELECT event_id || '.' || suffix AS path, rule_id, CAST(line AS INTEGER) AS line FROM events JOIN {_EXPECTED} ON event_id % {len(TEMPLATES)} = n",
+    "cached_scan": f"SELECT event_id || '.' || suffix AS path, rule_id, CAST(line AS INTEGER) AS line FROM events JOIN {_EXPECTED} ON event_id % {len(TEMPLATES)} = n",
+    "cache_growth": f"""WITH t AS (SELECT {_TEXT} AS body, bool_or(coalesce(lang = 'en', FALSE)) AS english FROM documents GROUP BY 1)
+        SELECT CAST(scan AS BIGINT) AS scan, CASE scan WHEN 1 THEN (SELECT count(*) FROM t WHERE english) WHEN 2 THEN (SELECT count(*) FROM t WHERE NOT english) ELSE 0 END AS contents FROM range(1, 4) s(scan)""",
     "rule_lines": f"""WITH l AS (SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'py' ELSE 'js' END AS suffix, unnest([1, 2]) AS line, replace(unnest([{_LINE_TEXTS}]), '{{0}}', CAST(event_id AS VARCHAR)) AS text FROM events)
         SELECT event_id || '.' || suffix AS path, rule_id, CAST(line AS INTEGER) AS line FROM l JOIN (VALUES {", ".join(f"('{s}', '{r}', {_quoted(p)})" for s, r, p in _LINE_RULES)}) r(suffix, rule_id, pattern) USING (suffix) WHERE regexp_matches(text, pattern)""",
     "rule_counts": f"""WITH l AS (SELECT CASE event_id % 2 WHEN 0 THEN 'py' ELSE 'js' END AS suffix, replace(unnest([{_LINE_TEXTS}]), '{{0}}', CAST(event_id AS VARCHAR)) AS text FROM events)

@@ -1,0 +1,85 @@
+import pytest
+from pyspark.sql import functions as F
+
+from basalt.__main__ import main
+from basalt.operators.secrets import DETECTORS
+from basalt.plans import cache as C
+from basalt.plans import scan as S
+from basalt.plans.scan import Options, scan
+from basalt.sources.files import files_from_table
+
+FILES = {"a.py": "eval(x)\n", "b/a.py": "eval(x)\n", "c.js": "eval(x)\n", "d.txt": "password = 'abcdefghijkl1234'\n", "e.py": "def v():\n    q = request.args.get('id')\n    cursor.execute(q)\n", "f.py": "x = 1\n", "g.py": None}
+
+
+def table(spark, files):
+    return files_from_table(spark.createDataFrame(list(files.items()), "p string, c string"), F.col("p"), F.col("c"))
+
+
+def rows(found):
+    return sorted(map(str, found.drop("seq").collect()))
+
+
+@pytest.fixture
+def searched(monkeypatch):
+    """The contents that each scan searches."""
+    counts = []
+    own = S.candidates
+
+    def counted(files, options):
+        counts.append(sorted(r["content"] for r in files.select("content").collect()))
+        return own(files, options)
+
+    monkeypatch.setattr(S, "candidates", counted)
+    return counts
+
+
+def test_a_second_scan_searches_only_what_is_new(spark, tmp_path, searched):
+    cache, plain = C.ScanCache(spark, str(tmp_path / "cache")), rows(scan(table(spark, FILES)))
+    searched.clear()
+    assert rows(scan(table(spark, FILES), cache=cache)) == plain
+    assert len(searched) == 1 and searched[0] == sorted(["eval(x)\n", "eval(x)\n", FILES["d.txt"], FILES["e.py"], "x = 1\n", ""])  # Python's and JavaScript's are two contents
+    assert rows(scan(table(spark, FILES), cache=cache)) == plain and len(searched) == 1  # nothing is searched
+    moved = {"new/" + p: t for p, t in FILES.items()} | {"h.py": "exec(y)\n"}
+    assert rows(scan(table(spark, moved), cache=cache)) == rows(scan(table(spark, moved)))
+    assert searched[1] == ["exec(y)\n"]
+    assert "new/e.py" in str(scan(table(spark, moved), cache=cache).where("engine = 'taint'").first()["data_flow"])
+
+
+def test_configurations_are_apart_and_thresholds_are_not(spark, tmp_path, searched):
+    cache, files = C.ScanCache(spark, str(tmp_path / "cache")), table(spark, FILES)
+    scan(files, cache=cache)
+    assert rows(scan(files, Options(disabled=("py.dangerous.eval",), min_confidence="HIGH"), cache=cache)) == rows(scan(files, Options(disabled=("py.dangerous.eval",), min_confidence="HIGH")))
+    searched.clear()
+    assert rows(scan(files, Options(detectors=DETECTORS[:1]), cache=cache)) == rows(scan(files, Options(detectors=DETECTORS[:1])))
+    assert len(searched[0]) == 6 and len({C.configuration([], DETECTORS, ("secrets",)), C.configuration([], DETECTORS, ("taint",)), C.configuration([{"id": "x"}], DETECTORS, ("secrets",))}) == 3
+
+
+def test_compaction_and_lost_jobs(spark, tmp_path):
+    cache, files = C.ScanCache(spark, str(tmp_path / "cache")), table(spark, FILES)
+    plain = rows(scan(files))
+    for paths in (["a.py"], ["c.js", "d.txt"], list(FILES)):
+        scan(files.where(F.col("path").isin(paths)), cache=cache)
+    # a job that was lost after it had written candidates: they are there twice, and their contents count as new
+    config = C.configuration(S._rules(Options()), DETECTORS, Options().passes)
+    cache.candidates.add(cache.get(config).withColumn("config", F.lit(config)))
+    (tmp_path / "cache" / "contents" / "v9").mkdir()
+    assert rows(scan(files, cache=cache)) == plain
+    cache.compact()
+    assert cache.candidates.numbers() == [4] and cache.contents.numbers() == [3] and cache.known(config).count() == 6
+    assert rows(scan(files, cache=cache)) == plain
+
+
+def test_an_empty_corpus(spark, tmp_path):
+    cache = C.ScanCache(spark, str(tmp_path / "cache"))
+    assert scan(table(spark, FILES).limit(0), cache=cache).count() == 0 and cache.contents.numbers() == []
+
+
+def test_command_line(spark, tmp_path, monkeypatch, searched):
+    (tmp_path / "a.py").write_text("eval(x)\n")
+    monkeypatch.chdir(tmp_path)
+    assert main(["scan", "."]) == 1 and main(["scan", "."]) == 1
+    assert len(searched) == 1 and (tmp_path / ".basalt-cache").is_dir()
+    assert main(["scan", ".", "--no-cache"]) == 1 and len(searched) == 2
+    (tmp_path / "a.py").write_text("x = 1\n")
+    assert main(["scan", "."]) == 0 and searched[2] == ["x = 1\n"]
+    assert main(["scan", ".", "--cache", "other"]) == 0 and len(searched) == 4 and (tmp_path / "other").is_dir()
