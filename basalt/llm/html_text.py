@@ -1,16 +1,19 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's events. Each block of text (a paragraph, heading, list item, cell and so
-on) is a line with its characters, its tags and the characters within links. A line's text-to-tag ratio, link characters aside, is
-smoothed by a Gaussian over the lines. Where a line stands is a weight on that level, not a decision: more within an article
-or main part, less beside it, next to nothing within navigation, headers, footers, sidebars, notices, adverts, forms and comments.
-Two-means clustering finds the threshold, and the lines above it are the content region. Lines of its container (the
-innermost division that holds most of the region) that the threshold cuts off, such as headings and short items, join it.
-
-Defined results: null and empty pages, and pages without a line above the floor, give an empty text; if nothing but the class
-names of its elements holds a page below the floor, they count nothing; markup that never ends is read as far as it goes;
-pages of one line are that line; very long pages and deep markup take time in proportion to their length; null ids and repeated rows
-are kept; empty input gives an empty result; other columns are ignored.
+on) is a line with its characters, its tags and the characters within links. A line's text-to-tag ratio counts characters outside links;
+those of navigation, headers, footers, sidebars, notices, adverts, forms and comments, and of lines
+that start with a copyright sign, count nothing, and those beside an article or main part
+a fiftieth. The logarithms of the ratios are smoothed by a Gaussian over the lines. Two-means clustering of the lines with a ratio finds the threshold; the lines above it are the content region.
+
+Lines with a ratio that the threshold cuts off, such as headings and short items, join the region if they are in its container (the
+innermost division that holds most of the region). Where the page has no such division, those join that are directly in a division that
+holds lines of the region, at most three lines from one of them. Lines without a ratio never join.
+
+Defined results: null and empty pages give an empty text; if no line has a ratio, class names count nothing, and if none has one then,
+the lines outside of boilerplate elements are the text; markup that never ends and is followed by no further `>` is left out, other markup that
+never ends is read as far as it goes; pages of one line are that line; very long pages, deep and broken markup take time in proportion to
+their length; null ids and repeated rows are kept; empty input gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,10 +48,12 @@ SPACE = re.compile(r"\s+")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Parts of a class that say that something is beside the element, or isn't.
 BESIDE = frozenset("with without has no".split())
-#: Weights of a line's level by where it stands: within and beside an article or main part, and in boilerplate.
-IN_MAIN, BESIDE_MAIN, IN_BOILERPLATE = 1.5, 0.3, 0.01
-#: The level that content has at least, unless no line has it: a character for six tags. No line of boilerplate reaches it, however long.
-FLOOR = 0.15
+#: What a character counts for in a ratio if the page has an article or main part, and the line stands beside it.
+BESIDE_MAIN = 0.02
+#: The clusters must differ so much for the threshold to count: the upper mean over the lower.
+APART = 1.5
+#: Lines around one of the region that may join it where it has no division of its own.
+GAP = 3
 TAGGED, MARKED, TALK = 1, 2, 4
 
 
@@ -65,10 +70,9 @@ class Block:
     def text(self) -> str:
         return SPACE.sub(" ", "".join(self.chars)).strip()
 
-    def weight(self, classes: bool, has_main: bool) -> float:
-        if self.beside & TAGGED or (classes and self.beside):
-            return IN_BOILERPLATE
-        return IN_MAIN if self.main else BESIDE_MAIN if has_main else 1.0
+    def boilerplate(self, classes: bool) -> bool:
+        """Whether all its characters count as links: by its elements, or also by their class names."""
+        return bool(self.beside & TAGGED or (classes and self.beside))
 
 
 class BlockParser(HTMLParser):
@@ -82,10 +86,37 @@ class BlockParser(HTMLParser):
         self.block_tags: list[str] = []
         self.parents, self.names = [0], [""]  # containers by number, in order of their start
         self.hidden = self.container = self.beside = 0
-        self.main = False
+        self.main = self.endless = self.endless_section = False
         self.blocks: list[Block] = [Block()]
         self.pending = 0
 
+    def _finished(self, at: int, end: int) -> int:
+        """Where parsing goes on after the markup at a place. Without a further `>` no markup ends, so nothing behind it is looked at again."""
+        return len(self.rawdata) if end < 0 and self.rawdata.find(">", at) < 0 else end
+
+    def parse_starttag(self, i: int) -> int:
+        return self._finished(i, super().parse_starttag(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self._finished(i, super().parse_endtag(i))
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        # once a comment has no end, neither has any that starts later
+        end = -1 if self.endless else super().parse_comment(i, report)
+        self.endless = end < 0
+        return self._finished(i, end)
+
+    def parse_pi(self, i: int) -> int:
+        return self._finished(i, super().parse_pi(i))
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._finished(i, super().parse_html_declaration(i))
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        end = -1 if self.endless_section else super().parse_marked_section(i, report)
+        self.endless_section = end < 0
+        return end
+
     def _new_block(self) -> None:
         if self.blocks[-1].chars:
             self.blocks.append(Block())
@@ -170,9 +201,9 @@ class BlockParser(HTMLParser):
             block.links += len(data) if self.counts["a"] else 0
 
 
-def ratios(sizes: np.ndarray, tags: np.ndarray, links: np.ndarray) -> np.ndarray:
-    """Characters outside links for each tag of the line."""
-    return np.maximum(sizes - links, 0) / np.maximum(tags, 1)
+def ratios(sizes: np.ndarray, tags: np.ndarray, links: np.ndarray, worth: np.ndarray | float = 1.0) -> np.ndarray:
+    """Characters outside links for each tag of the line, times what one is worth where the line stands."""
+    return worth * np.maximum(sizes - links, 0) / np.maximum(tags, 1)
 
 
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -183,24 +214,29 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), mode="valid")
 
 
-def two_means(values: np.ndarray, rounds: int = 20) -> float:
-    """The threshold between the two clusters of the values."""
+def clusters(values: np.ndarray, rounds: int = 20) -> tuple[float, float]:
+    """The means of the two clusters of the values."""
     low, high = float(values.min()), float(values.max())
     for _ in range(rounds):
-        cut = (low + high) / 2
-        above = values >= cut
+        above = values >= (low + high) / 2
         if above.all() or not above.any():
             break
         new = float(values[~above].mean()), float(values[above].mean())
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2
+    return low, high
+
+
+def two_means(values: np.ndarray) -> float:
+    """The threshold between the two clusters: halfway between their means."""
+    return sum(clusters(values)) / 2
 
 
 def content_region(levels: np.ndarray, floor: float) -> np.ndarray:
-    """Which lines are content by their level alone."""
-    return levels >= max(two_means(levels), floor)
+    """Which lines are in the upper cluster and above the floor; all above it, if the clusters aren't apart."""
+    low, high = clusters(levels)
+    return levels >= max((low + high) / 2 if high >= APART * low else low, floor)
 
 
 def main_text(html: str, sigma: float = 1.0, link_share: float = 0.6) -> str:
@@ -210,36 +246,50 @@ def main_text(html: str, sigma: float = 1.0, link_share: float = 0.6) -> str:
     lines = [(b, t) for b in parser.blocks if (t := b.text())]
     if not lines:
         return ""
-    sizes = np.array([len(t) for _, t in lines], float)
-    links = np.array([b.links for b, _ in lines], float)
-    smoothed = smooth(np.log1p(ratios(sizes, np.array([b.tags for b, _ in lines]), links)), sigma)
+    sizes, tags, links = (np.array(x, float) for x in zip(*((len(t), b.tags, b.links) for b, t in lines)))
+    main = np.array([b.main for b, _ in lines])
     for classes in (True, False):  # without class names, where these leave nothing
-        has_main = any(b.main and b.weight(classes, True) == IN_MAIN for b, _ in lines)
-        weights = np.array([b.weight(classes, has_main) for b, _ in lines])
-        usual = weights > IN_BOILERPLATE
-        if usual.any():
+        boilerplate = np.array([b.boilerplate(classes) or (not b.main and t.startswith("©")) for b, t in lines])
+        has_main = bool((main & ~boilerplate & (sizes > links)).any())
+        ratio = ratios(sizes, tags, links, np.where(boilerplate, 0, np.where(main | (not has_main), 1, BESIDE_MAIN)))
+        if ratio.any():
             break
     else:
-        return ""
-    levels = smoothed * weights
-    region = content_region(levels, min(FLOOR, float(levels[usual].max())))
+        return "\n".join(t for (_, t), beside in zip(lines, boilerplate) if not beside)
+    levels, has_ratio = smooth(np.log1p(ratio), sigma), ratio > 0
+    region = np.zeros(len(lines), bool)
+    region[has_ratio] = content_region(levels[has_ratio], 0.0)
 
     # how much of the region each container holds: a container's number is greater than its parent's
+    own = np.array([b.container for b, _ in lines])
     held = np.zeros(len(parser.names))
-    np.add.at(held, [b.container for b, _ in lines], sizes * region)
+    np.add.at(held, own, sizes * region)
     total = held.sum()
     for n in range(len(held) - 1, 0, -1):
         held[parser.parents[n]] += held[n]
     content = max((n for n in range(len(held)) if held[n] >= 0.7 * total), default=0)
-    inside = np.zeros(len(held), bool)
-    inside[content] = True
-    for n in range(content + 1, len(held)):
-        inside[n] = inside[parser.parents[n]]
-    within = inside[[b.container for b, _ in lines]]
-    joins = within & (weights > BESIDE_MAIN) & (has_main | (links <= link_share * sizes))
+    if parser.names[content] in ("", "body"):
+        joins = _near(own, region)
+    else:
+        inside = np.zeros(len(held), bool)
+        inside[content] = True
+        for n in range(content + 1, len(held)):
+            inside[n] = inside[parser.parents[n]]
+        joins = inside[own]
+    joins &= has_ratio & (main | (not has_main)) & (has_main | (links <= link_share * sizes))
     return "\n".join(t for (_, t), keep in zip(lines, region | joins) if keep)
 
 
+def _near(containers: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """Lines that are at most GAP lines from one of the region in the same container."""
+    near = np.zeros(len(region), bool)
+    for k in range(1, min(GAP, len(region) - 1) + 1):
+        same = containers[k:] == containers[:-k]
+        near[k:] |= same & region[:-k]
+        near[:-k] |= same & region[k:]
+    return near
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of keep, text of every row of pages. Kept columns that are named id or text come with an underscore before it."""
 
