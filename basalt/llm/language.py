@@ -15,20 +15,19 @@ names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"\P{L}+")
 #: The same for Spark: what NOT_LETTERS leaves.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+LETTER = r"\p{L}"
 #: More than there are code points, so three letters are one number of 63 bits; 1 is the end of a word.
 CLASSES = 1 << 21
 NO_LANGUAGE = "und"
@@ -113,11 +112,11 @@ class LanguageModel:
         return [self.languages[b] if k else NO_LANGUAGE for b, k in zip(best, known)], [float(s) if k else 0.0 for s, k in zip(score, known)]
 
 
-def fit_language(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, landmarks: int = 32, all_texts: int = 60_000, all_landmarks: int = 4096, ridge: float = 1e-3) -> LanguageModel:
+def fit_language(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, landmarks: int = 32, all_texts: int = 20_000, all_landmarks: int = 4096, ridge: float = 1e-3) -> LanguageModel:
     """A model from rows with text and language.
 
     Every language that has a text with a letter is learned. At most per_language distinct texts of each (those with the smallest
-    hash of the text) come to the driver, as n-grams; landmarks of the texts of each language are the Nyström landmarks. Where languages are
+    hash of the text) come to the driver, as arrays of n-grams; landmarks of the texts of each language are the Nyström landmarks. Where languages are
     so many that this would exceed all_texts or all_landmarks, each language has an equal share of these, and at least 8 texts and one
     landmark. Texts without a letter teach nothing.
     """
@@ -132,20 +131,21 @@ def fit_language(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
     # Of languages with many texts, a share by hash that holds about twice the texts wanted, however often each is repeated.
     share = F.broadcast(texts.select(F.col("lang").alias("its"), F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("texts")).alias("share")))
     picked = rows.join(share, F.col("lang") == F.col("its")).where(F.pmod("hash", F.lit(1 << 40)) < F.col("share") * float(1 << 40))
-    picked = picked.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("text", "lang", "hash")  # copies count once
+    picked = picked.groupBy("lang", "hash").agg(F.min("text").alias("text"))  # copies count once
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 40)), "hash"))
+    picked = picked.withColumn("place", first).where(F.col("place") <= per_language).select("text", "lang", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [spectrum().grams(t).tolist() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(grams, pa.list_(pa.int64()))], ["lang", "hash", "grams"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                grams = pa.array([spectrum().grams(t) for t in part.column(0).to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), grams], ["lang", "place", "grams"])
 
-    seen = picked.mapInArrow(run, "lang string, hash long, grams array<long>").where("size(grams) > 0").collect()
-    seen.sort(key=lambda r: (r["lang"], r["hash"] % (1 << 40), r["grams"]))
+    seen = picked.mapInArrow(run, "lang string, place int, grams array<long>").where("size(grams) > 0").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
     by: dict[str, list[np.ndarray]] = {}
-    for r in seen:
-        own = by.setdefault(r["lang"], [])
-        if len(own) < per_language:
-            own.append(np.asarray(r["grams"], np.int64))
+    for name, grams in zip(seen["lang"].to_pylist(), seen["grams"]):
+        by.setdefault(name, []).append(grams.values.to_numpy())
     languages = sorted(by)
     texts = [g for name in languages for g in by[name]]
     truth = np.repeat(np.arange(len(languages)), [len(by[name]) for name in languages])

@@ -93,3 +93,21 @@ def test_sparse_products():
     marks = [np.unique(rng.integers(10, 50, size)) for size in (1, 10, 30)]
     want = [[len(set(t) & set(m)) / np.sqrt(len(m)) for m in marks] for t in texts]
     assert np.allclose(Incidence.of(marks).product(texts), want)
+
+
+def test_digits_and_signs_are_no_letters(spark):
+    rows = [(n, t, lang) for n, (t, lang) in enumerate([("the cat sat on the mat and the dog", "en"), ("le chat est sur la table avec le chien", "fr")] * 20)]
+    odd = ["²", "½", "ⅷ", "１２", "٣", "_", "á".replace("a", ""), "² the", "ª"]
+    docs = spark.createDataFrame(rows + [(1000 + n, t, None) for n, t in enumerate(odd)], "doc_id long, text string, lang string")
+    found = {r["id"]: (r["lang_pred"], r["score"]) for r in language_report(docs).collect()}
+    assert [found[1000 + n] == ("und", 0.0) for n in range(len(odd))] == [True] * 7 + [False, False]
+
+
+def test_the_sample_is_bounded_and_keeps_every_language(spark):
+    words = {"aa": "ka ki ku", "bb": "lo le la", "cc": "zu zo za"}
+    rows = [(f"{w} {n} {chr(97 + n % 26)}{chr(97 + n // 26)}", lang) for lang, w in words.items() for n in range(60)]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    model = fit_language(frame, per_language=9, landmarks=4)
+    assert model.languages == ["aa", "bb", "cc"] and len(model.incidence.scale) == 12
+    again = fit_language(frame.repartition(7), per_language=9, landmarks=4)
+    assert (model.incidence.vocab == again.incidence.vocab).all() and abs(model.weights - again.weights).max() < 1e-9
