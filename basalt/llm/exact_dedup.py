@@ -1,11 +1,11 @@
 """Exact duplicates through a log-structured merge index of digests.
 
-A batch of rows is flushed through memtables of bounded size, each of which becomes a run: (digest, smallest id, copies), sorted by
-digest, with a bitmap filter of its digests. Compaction is tiered: when a level has `fanout` runs they merge into one
-of the next level, which keeps the smallest id of each digest. A lookup of new rows asks each run's filter first, so only rows that
-may be known are joined with the run. Of a batch itself, a filter of the digests with more than one member picks the texts whose
-bytes are compared, so texts without a copy never move. All of it is DataFrame work in the JVM; runs are tables in the
-shared folder.
+Rows are flushed through memtables of bounded size, four at least, each of which becomes a run: (digest, smallest id, copies), sorted by
+digest, with a bitmap filter of its digests. Before a memtable is flushed its digests are looked up in the runs before it: each run's
+filter is asked first, so only digests that may be known are joined with the run. Compaction is tiered: when a level has `fanout` runs they
+merge into one of the next level, which keeps the smallest id of each digest. The digests that a lookup hit, and those that a memtable
+itself holds twice, are shared: only their rows meet the index again, and a filter of them picks the texts whose bytes are compared, so
+texts without a copy never move. All of it is DataFrame work in the JVM; runs are tables in the shared folder.
 
 Defined results: null texts count as empty texts; null ids sort after all others; rows that repeat an id are judged by their own
 text; of rows that share both the smallest id and the text exactly one is kept; very long texts are digested whole; empty input
@@ -28,6 +28,8 @@ SLICE = 32768
 #: Filters have at least so many bits for each digest, and at most 2**MOST_BITS (128 MB, for 67 million digests). A filter
 #: over that bound passes more rows that aren't there, and loses none.
 BITS_EACH, MOST_BITS = 16, 30
+#: The memtables of a table at least.
+MEMTABLES = 4
 
 
 def normalised(text: Column) -> Column:
@@ -81,20 +83,28 @@ class Run:
 class DigestIndex:
     """Sorted runs by level. flush() adds level-0 runs for a batch and compacts levels that are full, lookup() probes, view() merges all."""
 
-    def __init__(self, spark: SparkSession, memtable_rows: int = 50_000_000, fanout: int = 8):
+    def __init__(self, spark: SparkSession, memtable_rows: int = 50_000_000, fanout: int = 4):
         self.spark, self.memtable_rows, self.fanout = spark, memtable_rows, fanout
         self.levels: list[list[Run]] = []
 
-    def flush(self, rows: DataFrame, count: int) -> None:
-        """rows: id, row (a number that tells equal ids apart), digest, a stored table of so many rows. Each memtable takes about memtable_rows of them."""
-        tables = max(1, -(-count // self.memtable_rows))
+    def flush(self, rows: DataFrame, count: int, least: int = 1) -> DataFrame:
+        """The distinct digests of rows that others share, among the rows and all that were flushed before them.
+
+        rows: id, row (a number that tells equal ids apart), digest, a stored table of so many rows. Each memtable, of which there are `least` or more,
+        takes about memtable_rows of them.
+        """
+        tables = max(least, -(-count // self.memtable_rows))
         first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
         runs = rows.groupBy(F.pmod(F.xxhash64("row"), F.lit(tables)).cast("int").alias("memtable"), "digest").agg(first, F.count(F.lit(1)).alias("copies"))
         runs = runs.select("digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "copies", "memtable")
         written = stored(runs, sort_by="digest", partition_by="memtable")
+        shared = written.where("copies > 1").select("digest")
         for m in range(tables):
             run = written.where(F.col("memtable") == m).drop("memtable")
+            if self.runs():
+                shared = shared.unionByName(stored(self.lookup(run).select("digest")))
             self._add(0, Run(run, run.count()))
+        return stored(shared.distinct())
 
     def _add(self, level: int, run: Run) -> None:
         while len(self.levels) <= level:
@@ -136,7 +146,7 @@ class DigestIndex:
         return found.groupBy("digest").agg(first, F.sum("copies").alias("copies")).select("digest", F.col("first.id").alias("keep_id"), "copies")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest: Callable[[Column], Column] = sha256, memtable_rows: int = 50_000_000, fanout: int = 8) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest: Callable[[Column], Column] = sha256, memtable_rows: int = 50_000_000, fanout: int = 4) -> DataFrame:
     """One row per row of docs: id, keep_id (smallest id of the equal texts), copies, kept, digest (binary).
 
     Texts are equal if they are identical after white space runs become one space. digest may be any hash of the text;
@@ -146,16 +156,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = normalised(text_of(text_col))
     ids = stored(docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), digest(text).alias("digest")))
     rows = ids.count()
-    index.flush(ids, rows)
-    merged = index.view()
+    shared = index.flush(ids, rows, least=MEMTABLES)
+    groups = stored(index.view().join(shared, "digest", "left_semi"))
 
-    shared = stored(merged.where("copies > 1").select("digest"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("body")).withColumn("digest", digest(F.col("body")))
     suspects = Filter.of(shared, shared.count()).may_have(texts)
     # Of each digest the smallest and the largest text, gathered in each task first: equal bytes if, and only if, they are equal.
     differing = stored(suspects.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low != high").select("digest"))
 
-    found = join_groups(ids, merged, "digest", "copies", rows).select("id", "row", "keep_id", "keep_row", "copies", "digest")
+    # Rows that share their digest with no other are groups of their own.
+    found, alone = join_groups(ids, groups, "digest", "copies", rows, "left"), F.col("copies").isNull()
+    own = lambda c, mine: F.when(alone, mine).otherwise(F.col(c)).alias(c)
+    found = found.select("id", "row", own("keep_id", F.col("id")), own("keep_row", F.col("row")), own("copies", F.lit(1)), "digest")
     if not differing.isEmpty():
         split = stored(texts.join(differing, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()))
         first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")

@@ -85,3 +85,29 @@ def test_filters_lose_nothing(spark):
 def test_clashing_names(spark):
     rows = spark.createDataFrame([(1, "a", 5, 6, 7, 8), (2, "a", 5, 6, 7, 8)], "doc_id long, text string, group_id int, __id int, text_digest int, kept int")
     assert [tuple(r) for r in exact_dedup(rows).collect()] == [(1, "a", 5, 6, 7, 8)]
+
+
+def test_the_groups_come_through_lookups_filters_and_merges(spark, monkeypatch):
+    import random
+
+    calls = {"lookup": 0, "may_have": 0, "_merged": 0}
+    for owner, name in ((DigestIndex, "lookup"), (DigestIndex, "_merged"), (Filter, "may_have")):
+        monkeypatch.setattr(owner, name, lambda self, *a, f=getattr(owner, name), n=name: (calls.__setitem__(n, calls[n] + 1), f(self, *a))[1])
+    rng = random.Random(8)
+    rows = [(n, rng.choice(["same", " same", f"text {rng.randrange(60)}", f"own {n}"])) for n in rng.sample(range(1000), 300)]
+    assert groups(table(spark, rows)) == expected(rows)
+    # three lookups in one, two and three runs, a filter for each and one for the texts; the four runs are one level up
+    assert calls == {"lookup": 3, "may_have": 7, "_merged": 1}
+    calls.update(dict.fromkeys(calls, 0))
+    assert groups(table(spark, rows), memtable_rows=40, fanout=3) == expected(rows)
+    assert calls["lookup"] == 7 and calls["_merged"] >= 3
+
+
+def test_flushes_tell_what_is_shared(spark):
+    index = DigestIndex(spark, memtable_rows=3, fanout=2)
+    known = {}
+    for batch in (["a", "b", "b", "c"], ["d"], ["c", "e", "a", "f", "f"], []):
+        frame = spark.createDataFrame([(n, n, d.encode()) for n, d in enumerate(batch)], "id long, row long, digest binary")
+        for d in batch:
+            known[d] = known.get(d, 0) + 1
+        assert {bytes(r["digest"]).decode() for r in index.flush(frame, len(batch)).collect()} == {d for d in batch if known[d] > 1}
