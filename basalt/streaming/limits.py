@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState
 
 from basalt.operators.findings import severity_counts
 from basalt.plans.scan import Options, scan
+from basalt.plans.store import stored
 
 
 def _decide(log: deque, at: float, limit: int, window: float) -> bool:
@@ -26,35 +27,69 @@ def _decide(log: deque, at: float, limit: int, window: float) -> bool:
     return True
 
 
+def _segments(requests: DataFrame, key: str, ts: str, tie: str, window: float, row: str, segment: str) -> DataFrame:
+    """requests in order of key, ts and tie, with their place in that order (row) and a number of their segment.
+
+    A segment ends where the key changes, or where it was quiet for longer than the window: nothing before counts there. Rows are dealt by
+    ranges of (key, ts, tie), so a key's rows lie in many tasks; each compares its rows with those before them, and only the last row
+    of a range and the number of its segments go to the others.
+    """
+    spark = requests.sparkSession
+    parts, rest = int(spark.conf.get("spark.sql.shuffle.partitions")), int(window * 1e6) + 1
+    order = F.struct(F.col(f"`{key}`").alias("key"), F.unix_micros(F.col(f"`{ts}`").cast("timestamp")).alias("at"))
+    ranged = requests.repartitionByRange(parts, F.col(f"`{key}`"), F.col(f"`{ts}`"), F.col(f"`{tie}`")).sortWithinPartitions(f"`{key}`", f"`{ts}`", f"`{tie}`")
+    ranged = stored(ranged.withColumn(row, F.monotonically_increasing_id()))
+    part = F.shiftright(F.col(f"`{row}`"), 33)
+    ends = stored(ranged.groupBy(part.alias("part")).agg(F.max_by(order, F.col(f"`{row}`")).alias("end")))
+    # one row for each range
+    before_range = F.broadcast(ends.select("part", F.struct(F.lag("end").over(Window.orderBy("part")).alias("end")).alias("last")))
+    own = Window.partitionBy("part").orderBy("row")
+    narrow = ranged.select(F.col(f"`{row}`").alias("row"), part.alias("part"), order.alias("own")).join(before_range, "part")
+    before = F.coalesce(F.lag("own").over(own), F.col("last.end"))
+    starts = before.isNull() | ~before["key"].eqNullSafe(F.col("own.key")) | (F.col("own.at") - before["at"] > rest)
+    counted = stored(narrow.withColumn("n", F.sum(starts.cast("long")).over(own)).select("row", "part", "n"))
+    offset = counted.groupBy("part").agg(F.max("n").alias("segments")).select("part", F.coalesce(F.sum("segments").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    numbered = counted.join(F.broadcast(offset), "part").select(F.col("row").alias(row), (F.col("n") + F.col("offset")).alias(segment))
+    return ranged.join(numbered, row)
+
+
 def rate_limited(requests: DataFrame, key: str, ts: str, tie: str, *, limit: int = 3, window: float = 60.0) -> DataFrame:
     """requests with accepted. A key's requests are taken in order of time, then of tie.
 
     Null is a key like any other. A request without a time can't be decided: its accepted is null, and it counts for nothing. Each
-    decision depends on those before it, so a key's rows meet in one task; they come as sorted batches, and the task keeps only
-    `limit` times, not the rows. Only the decision is made in Python: all columns pass through as they are.
+    decision depends on those before it, but only within the window: where a key was quiet for longer, a new segment begins, and the
+    segments of a key are decided by as many tasks as there are. A segment's rows come to its task as sorted batches, and the task keeps only
+    `limit` times. Only the decision is made in Python: all columns pass through as they are.
     """
-    schema = T.StructType([*requests.schema.fields, T.StructField("accepted", T.BooleanType())])
+    schema, columns = T.StructType([*requests.schema.fields, T.StructField("accepted", T.BooleanType())]), requests.columns
+    taken = {c.lower() for c in columns}
+    row, segment = (next(n for k in range(len(taken) + 1) if (n := "_" * k + name) not in taken) for name in ("row_number", "segment_number"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, log = object(), deque()
+        current, log = None, deque()
         for batch in batches:
             times = batch.column(batch.schema.names.index(ts)).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist()
             out = []
-            for name, at in zip(batch.column(batch.schema.names.index(key)).to_pylist(), times):
-                if name != current and (name == name or current == current):  # NaN is one key
-                    current, log = name, deque()
-                out.append(None if at is None else _decide(log, at / 1e6, limit, window))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], schema=batch.schema.append(pa.field("accepted", pa.bool_())))
+            for number, at in zip(batch.column(batch.schema.names.index(segment)).to_pylist(), times):
+                if number != current:
+                    current, log = number, deque()
+                out.append(_decide(log, at / 1e6, limit, window))
+            kept = batch.select(columns)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.bool_())], schema=kept.schema.append(pa.field("accepted", pa.bool_())))
 
-    return requests.repartition(key).sortWithinPartitions(key, ts, tie).mapInArrow(run, schema)
+    timed = _segments(requests.where(F.col(f"`{ts}`").isNotNull()), key, ts, tie, window, row, segment)
+    decided = timed.repartition(segment).sortWithinPartitions(segment, row).mapInArrow(run, schema)
+    return decided.unionByName(requests.where(F.col(f"`{ts}`").isNull()).withColumn("accepted", F.lit(None).cast("boolean")))
 
 
 def rate_limited_stream(requests: DataFrame, key: str, ts: str, *, limit: int = 3, window: float = 60.0, late: str = "10 minutes") -> DataFrame:
-    """The same over a stream: key, ts, accepted. State is the accepted times of a key; it goes when the key has been quiet for the window.
+    """The same over a stream: key (of its own type), ts, accepted. State is the accepted times of a key; it goes when the key has been quiet for the window.
 
-    Within a micro-batch requests are taken in order of time; one that comes after later ones were decided is decided as of then.
+    Within a micro-batch requests are taken in order of time; one that comes after later ones were decided is decided as of then. A request
+    without a time has accepted null. Null is a key like any other.
     """
-    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("accepted", T.BooleanType())])
+    kind = requests.schema[key].dataType
+    out = T.StructType([T.StructField("key", kind), T.StructField("ts", T.TimestampType()), T.StructField("accepted", T.BooleanType())])
     state_type = T.StructType([T.StructField("log", T.ArrayType(T.DoubleType()))])
 
     def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -62,13 +97,14 @@ def rate_limited_stream(requests: DataFrame, key: str, ts: str, *, limit: int =
             state.remove()
             return
         log = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(frames)).sort_values("ts")
-        accepted = [_decide(log, t.timestamp(), limit, window) for t in rows["ts"]]
+        rows = pd.concat(list(frames)).sort_values("at")
+        # microseconds since 1970, so the session's time zone has no part in it
+        accepted = [None if pd.isna(at) else _decide(log, at / 1e6, limit, window) for at in rows["at"]]
         state.update((list(log),))
         state.setTimeoutTimestamp(max(int((log[-1] if log else 0) * 1000), state.getCurrentWatermarkMs()) + int(window * 1000) + 1)
-        yield pd.DataFrame({"key": str(name[0]), "ts": rows["ts"], "accepted": accepted})
+        yield pd.DataFrame({"key": pd.Series([name[0]] * len(rows), dtype=object, index=rows.index), "ts": rows["ts"], "accepted": pd.Series(accepted, dtype=object, index=rows.index)})
 
-    rows = requests.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).withWatermark("ts", late)
+    rows = requests.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at")).withWatermark("ts", late)
     return rows.groupBy("key").applyInPandasWithState(run, out, state_type, "append", "EventTimeTimeout")
 
 
