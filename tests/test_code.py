@@ -111,6 +111,18 @@ def test_taint(spark):
     assert "source" in flow[0]["message"] and flow[0]["location"]["start_line"] == 2 and "sink" in flow[-1]["message"] and flow[-1]["location"]["start_line"] == 3
 
 
+def test_flows_through_long_chains_keep_their_steps(spark):
+    """Twelve functions that call each other, two that call each other in turn, and twenty assignments in a row."""
+    chain = "".join(f"def f{n}(u):\n    return f{n + 1}(u)\n" for n in range(12)) + "def f12(u):\n    return u\n"
+    both = "def odd(u):\n    if u:\n        return even(u)\n    return 0\ndef even(u):\n    if u:\n        return odd(u)\n    return u\n"
+    body = "    a0 = f0(odd(request.args))\n" + "".join(f"    a{n + 1} = a{n}\n" for n in range(20)) + "    cursor.execute(a20)\n    cursor.execute(g(a20))\n    cursor.execute(int(a20))\n"
+    found, rows = scanned(spark, {"a.py": chain + both + "def v():\n" + body}, passes=("taint",))
+    assert [(p, r) for p, _, r in found] == [("a.py", "py.taint.sql-injection")]
+    lines = [step["location"]["start_line"] for step in rows[0]["data_flow"]]
+    first = (chain + both).count("\n") + 2
+    assert lines == [first, *range(first, first + 21), first + 21]  # the source, 21 assignments, the sink
+
+
 def test_javascript_destructuring_and_types(spark):
     found, _ = scanned(spark, {"d.js": "function v(req) {\n  const { id } = req.query;\n  conn.query(id);\n}\n", "t.ts": "const q: string = req.query.id as string;\nasync function f(a: number): Promise<void> { await g<number>(a); }\nconn.query(q)\n"}, passes=("taint",))
     assert [(p, n) for p, n, _ in found] == [("d.js", 3), ("t.ts", 3)]
