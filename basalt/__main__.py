@@ -71,7 +71,7 @@ def main(args: list[str] | None = None) -> int:
 
 def _run(given: argparse.Namespace) -> int:
     from basalt.operators import findings as fin
-    from basalt.operators.reports import REPORTERS, report
+    from basalt.operators.reports import REPORTERS, report, write_report
     from basalt.plans.cache import ScanCache
     from basalt.plans.scan import Options
     from basalt.plans.scan import scan as scan_files
@@ -103,12 +103,10 @@ def _run(given: argparse.Namespace) -> int:
     found = stored(scan_files(files, options, known, cache))
     if cache and len(cache.contents.numbers()) > COMPACT:
         cache.compact()
-    lines = report(found, form, files.count())
     if given.output:
-        with open(given.output, "w", encoding="utf-8") as out:
-            out.writelines(line + "\n" for line in lines)
+        write_report(found, form, files.count(), os.path.abspath(given.output))
     else:
-        for line in lines:
+        for line in report(found, form, files.count()):
             print(line)
     return fin.fails(found, fail_on).first()["exit_code"]
 

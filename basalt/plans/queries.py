@@ -130,6 +130,14 @@ def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.markdown_rows(found_secrets(spark, sf_dir)).select("row")
 
 
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of findings in a Markdown file that tasks wrote, with their numbers in the file's order."""
+    path = local_path(shared_path(spark)) + ".md"
+    reports.write_report(stored(found_secrets(spark, sf_dir)), "markdown", 0, path)
+    lines = spark.read.option("wholetext", True).text(f"file://{path}").select(F.posexplode(F.split("value", "\n")).alias("at", "row"))
+    return lines.where("row rlike '^[|] [A-Z]'").select((F.row_number().over(Window.orderBy("at")) - 1).alias("n"), "row")
+
+
 def ui_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fin.matching(found_secrets(spark, sf_dir), "Doc/1", "MEDIUM").select(F.col("location.path").alias("path"), "rule_id")
 
@@ -308,7 +316,7 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return F.broadcast(rules).join(counts, "rule_id", "left").select("rule_id", "severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (severity_counts, secret_values, indexed_secrets, literal_pruning, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, cached_scan, cache_growth, taint_flows, rule_lines, branch_flows, nested_calls, source_tree, archive_members, rule_counts)}
+QUERIES = {f.__name__: f for f in (severity_counts, secret_values, indexed_secrets, literal_pruning, planted_secrets, planted_confidence, secrets_all_counts, fail_threshold, min_confidence, line_snippets, fingerprints, dedup_findings, baseline_diff, markdown_rows, written_report, ui_search, sarif_levels, content_dedup, cache_hits, line_shapes, html_escape, language_detect, ignore_filter, repository_urls, client_ips, progress_percent, rate_limit, open_requests, report_ttl, feedback_counts, script_calls, code_scan, cached_scan, cache_growth, taint_flows, rule_lines, branch_flows, nested_calls, source_tree, archive_members, rule_counts)}
 
 # The same in SQL. RE2 patterns: its \s has no vertical tab, its \b is of ASCII letters.
 _RE = {
@@ -399,6 +407,7 @@ ORACLE = {
         FROM found f JOIN lin h ON h.path = f.path AND h.n BETWEEN f.line - 3 AND f.line + 3 GROUP BY f.path, f.rule_id, f.line, f.nth, f.idx""",
     "dedup_findings": _FOUND + "SELECT path, count(*) AS n, count(*) AS n_fingerprints FROM found GROUP BY path",
     "markdown_rows": _FOUND + "SELECT '| ' || severity || ' | `' || rule_id || '` | `' || path || ':' || line || '` | ' || m.message || ' |' AS row FROM found JOIN (VALUES " + ", ".join(f"({_quoted(d.rule_id)}, {_quoted(d.message)})" for d in DETECTORS) + ") m(rule_id, message) USING (rule_id)",
+    "written_report": _FOUND + "SELECT CAST(row_number() OVER (ORDER BY path, line, first, rule_id) - 1 AS INTEGER) AS n, '| ' || severity || ' | `' || rule_id || '` | `' || path || ':' || line || '` | ' || m.message || ' |' AS row FROM found JOIN (VALUES " + ", ".join(f"({_quoted(d.rule_id)}, {_quoted(d.message)})" for d in DETECTORS) + ") m(rule_id, message) USING (rule_id)",
     "ui_search": _FOUND + "SELECT path, rule_id FROM found WHERE severity = 'MEDIUM' AND path LIKE 'doc/1%'",
     "sarif_levels": _FOUND + "SELECT rule_id, CAST(row_number() OVER (ORDER BY min((path, line))) - 1 AS INTEGER) AS rule_index, CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END AS level, CASE severity WHEN 'CRITICAL' THEN '9.5' WHEN 'HIGH' THEN '8.0' WHEN 'MEDIUM' THEN '5.0' ELSE '3.0' END AS score, count(*) AS n FROM found GROUP BY rule_id, severity",
     "content_dedup": r"SELECT sha256(t) AS digest, count(*) AS copies, CAST(min(strlen(t)) AS BIGINT) AS size FROM (SELECT regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents) GROUP BY 1",

@@ -56,9 +56,9 @@ def test_the_index_loses_no_finding_and_prunes(spark, tmp_path):
         index.add(files)
     assert {r["path"] for r in possible(files, index).collect()} == {p for p, *_ in plain} | {r["path"] for r in possible(files, index).collect() if r["path"] == "9"}
     rows = index.postings().count()
-    assert index.add(files).count() == 0 and index.postings().count() == rows and len(index._versions()) == 2
+    assert index.add(files).count() == 0 and index.postings().count() == rows and len(index.versions.numbers()) == 2
     index.compact()
-    assert index._versions() == [2] and index.postings().count() == rows and index.known().count() == 9
+    assert index.versions.numbers() == [2] and index.postings().count() == rows and index.known().count() == 9
 
 
 def test_lookups_read_few_grams(spark, tmp_path):
