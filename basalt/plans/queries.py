@@ -135,7 +135,7 @@ def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = local_path(shared_path(spark)) + ".md"
     reports.write_report(stored(found_secrets(spark, sf_dir)), "markdown", 0, path)
     lines = spark.read.option("wholetext", True).text(f"file://{path}").select(F.posexplode(F.split("value", "\n")).alias("at", "row"))
-    return lines.where("row rlike '^[|] [A-Z]'").select((F.row_number().over(Window.orderBy("at")) - 1).alias("n"), "row")
+    return lines.where("row rlike '^[|] [A-Z]+ [|]'").select((F.row_number().over(Window.orderBy("at")) - 1).alias("n"), "row")
 
 
 def ui_search(spark: SparkSession, sf_dir: str) -> DataFrame:
