@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WHITE, free_names, join_groups, stored, text_of
+from .shared import WHITE, HashFilter, free_names, join_groups, stored, text_of
 
 #: Bits of one filter slice; Spark's bitmap functions use this size.
 SLICE = 32768
@@ -181,11 +181,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, mark, own = free_names(docs, "group_id", "group_digest", "text_digest")
     groups = exact_groups(docs, id_col, text_col, digest=digest, **options)
     each = stored(groups.groupBy(F.col("id").alias(key), F.col("digest").alias(mark)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"))
+    # Only texts of rows that may have to go, or to be counted, are shuffled.
     rows = docs.withColumn(own, digest(normalised(text_of(text_col))))
+    clear, rest = HashFilter(stored(each.select(F.xxhash64(key, mark).alias("h")))).parted(rows, F.xxhash64(F.col(f"`{id_col}`"), own))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.col(own) == F.col(mark))
-    left = rows.join(each.where("not kept").select(key, mark), same, "left_anti")
+    rest = rest.join(each.where("not kept").select(key, mark), same, "left_anti")
     twice = each.where("kept").select(key, mark)
     if not twice.isEmpty():
-        once = left.join(twice, same, "left_semi").dropDuplicates([id_col, own])
-        left = left.join(twice, same, "left_anti").unionByName(once)
+        once = rest.join(twice, same, "left_semi").dropDuplicates([id_col, own])
+        rest = rest.join(twice, same, "left_anti").unionByName(once)
+    left = clear.unionByName(rest)
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, free_names, join_groups, stored, text_of
+from .shared import WORD, HashFilter, free_names, join_groups, stored, text_of
 
 #: Ranks have RANK_BITS bits and are cut by BIN_BITS at a time, LEVELS times or until the bin at the cut has at most BIN_ROWS rows (or none
 #: of the bits is left), so that only the rows of one tiny bin are ever ordered one by one. The last TIE_BITS tell equal quotients apart.
@@ -152,10 +152,14 @@ def _mix(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights:
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, share: float = 1.0, odds_col: str | None = None, seed: int = 7, rounds: int = 3) -> DataFrame:
     """The mixture itself: every row of docs as often as it is taken, all columns kept. Rows of size 0 go. Options as for pareto_mix."""
     mark, times, members, each = free_names(docs, "plan_mark", "copies", "rows", "copy")
-    plan = stored(_mix(docs, id_col, source_col, text_col, weights, most, share, odds_col, seed, rounds).where("copies > 0 and size > 0").select("mark", "copies", "rows"))
+    plan = stored(_mix(docs, id_col, source_col, text_col, weights, most, share, odds_col, seed, rounds).select("mark", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"), "rows").where("copies != 1"))
     total = plan.count()
     plan = plan if plan.where("rows > 1").isEmpty() else stored(plan.distinct())
-    plan = plan.select(F.col("mark").alias(mark), F.col("copies").alias(times), F.col("rows").alias(members))
+    # Rows that are taken once stay where they are; of the others, those that go or are repeated are told by their mark.
     rows = docs.withColumn(mark, block_mark(id_col, source_col, text_col, _odds(odds_col), seed))
+    once, rest = HashFilter(stored(plan.select(F.col("mark").alias("h")))).parted(rows, F.col(mark))
+    plan = plan.select(F.col("mark").alias(mark), F.col("copies").cast("long").alias(times), F.col("rows").alias(members))
     out = [F.col(f"`{c}`") for c in docs.columns]
-    return join_groups(rows, plan, mark, members, total).select(*out, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(each)).drop(each)
+    rest = join_groups(rest, plan, mark, members, total, "left").withColumn(times, F.coalesce(times, F.lit(1))).where(F.col(times) > 0)
+    rest = rest.select(*out, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(each)).drop(each)
+    return once.select(*out).unionByName(rest)

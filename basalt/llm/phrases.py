@@ -17,44 +17,19 @@ order; an empty table gives an empty result; other columns are ignored, whatever
 
 from __future__ import annotations
 
-import math
 import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import stored, text_of
+from .shared import HashFilter, stored, text_of
 
 #: What ends a piece; a tab is a space.
 ENDS = ".,;:!?\n\x0b\x0c\r"
-#: Bits of a row of a filter, bits for each hash, and the most bits of a filter (2**30, 128 MB).
-_ROW, _BITS_EACH, _MOST_BITS = 32768, 16, 30
 _SHARES = 64
 
 
-class HashFilter:
-    """A bitmap of hashes as a table of rows of 512 longs. It never loses a hash, and lets few others through."""
-
-    def __init__(self, hashes: DataFrame):
-        """hashes: a stored table with a column h."""
-        self.bits = min(_MOST_BITS, max(15, math.ceil(math.log2(max(1, hashes.count()) * _BITS_EACH))))
-        at = self._at("h")
-        words = hashes.groupBy(F.expr(f"{at} div {_ROW}").alias("filter_row"), F.expr(f"cast({at} % {_ROW} div 64 as int)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} % 64 as int)))").alias("b"))
-        found = words.groupBy("filter_row").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
-        full = F.transform(F.sequence(F.lit(0), F.lit(_ROW // 64 - 1)), lambda w: F.coalesce(F.col("m")[w], F.lit(0).cast("long")))
-        self.rows = stored(found.select("filter_row", full.alias("filter_bits")))
-
-    def _at(self, h: str) -> str:
-        return f"({h} & {(1 << self.bits) - 1}L)"
-
-    def marked(self, rows: DataFrame, h: str, name: str) -> DataFrame:
-        """rows with a boolean column of that name: whether the hash (a long column, or null) may be there."""
-        at = self._at(h)
-        hit = F.expr(f"coalesce((shiftrightunsigned(filter_bits[cast({at} % {_ROW} div 64 as int)], cast({at} % 64 as int)) & 1L) = 1L, false)")
-        return rows.withColumn("filter_row", F.expr(f"{at} div {_ROW}")).join(F.broadcast(self.rows), "filter_row", "left").withColumn(name, hit).drop("filter_row", "filter_bits")
-
-
 def positions(docs: DataFrame, length: int, text_col: str, lang_col: str) -> DataFrame:
     """lang, w0 to w{length-1}: a row for each word with the words after it in its piece (null beyond its end)."""
     lower = F.translate(text_of(text_col), string.ascii_uppercase + ENDS + "\t", string.ascii_lowercase + "\n" * len(ENDS) + " ")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a row of a filter, bits for each hash, and the most bits of a filter (2**30, 128 MB).
+_ROW, _BITS_EACH, _MOST_BITS = 32768, 16, 30
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -73,3 +76,32 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, members: str, tota
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df marked for broadcast if it has at most so many rows (it must be a stored, narrow table), else df."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+class HashFilter:
+    """A bitmap of hashes as a table of rows of 512 longs. It never loses a hash, and lets few others through."""
+
+    def __init__(self, hashes: DataFrame):
+        """hashes: a stored table with a column h."""
+        self.bits = min(_MOST_BITS, max(15, math.ceil(math.log2(max(1, hashes.count()) * _BITS_EACH))))
+        at = self._at("h")
+        words = hashes.groupBy(F.expr(f"{at} div {_ROW}").alias("filter_row"), F.expr(f"cast({at} % {_ROW} div 64 as int)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} % 64 as int)))").alias("b"))
+        found = words.groupBy("filter_row").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
+        full = F.transform(F.sequence(F.lit(0), F.lit(_ROW // 64 - 1)), lambda w: F.coalesce(F.col("m")[w], F.lit(0).cast("long")))
+        self.rows = stored(found.select("filter_row", full.alias("filter_bits")))
+
+    def _at(self, h: str) -> str:
+        return f"(`{h}` & {(1 << self.bits) - 1}L)"
+
+    def marked(self, rows: DataFrame, h: str, name: str) -> DataFrame:
+        """rows with a boolean column of that name: whether the hash (a long column, or null) may be there."""
+        at, (row, bits) = self._at(h), free_names(rows, "filter_row", "filter_bits")
+        own = self.rows.select(F.col("filter_row").alias(row), F.col("filter_bits").alias(bits))
+        hit = F.expr(f"coalesce((shiftrightunsigned(`{bits}`[cast({at} % {_ROW} div 64 as int)], cast({at} % 64 as int)) & 1L) = 1L, false)")
+        return rows.withColumn(row, F.expr(f"{at} div {_ROW}")).join(F.broadcast(own), row, "left").withColumn(name, hit).drop(row, bits)
+
+    def parted(self, rows: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+        """The rows whose hash surely isn't there, and those whose hash may be. Nothing is shuffled."""
+        h, flag = free_names(rows, "row_hash", "may_be")
+        marked = self.marked(rows.withColumn(h, key), h, flag)
+        return marked.where(~F.col(flag)).drop(h, flag), marked.where(flag).drop(h, flag)

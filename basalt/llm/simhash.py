@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_names, join_groups, small, stored, text_of
+from .shared import HashFilter, free_names, join_groups, small, stored, text_of
 
 SHINGLE_WORDS, SEED = 3, 42
 SEGMENTS, SEGMENT_BITS = 32, 2
@@ -164,5 +164,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with one row of each component: the one with the smallest id (rows that share it stay together). Every column stays."""
     key, mark = free_names(docs, "gone_id", "gone_mark")
     gone = near_duplicates(docs, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key), F.col("mark").alias(mark))
+    gone = stored(gone.distinct())
+    clear, rest = HashFilter(stored(gone.select(F.xxhash64(key, mark).alias("h")))).parted(docs, F.xxhash64(F.col(f"`{id_col}`"), F.xxhash64(text_of(text_col))))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.xxhash64(text_of(text_col)) == F.col(mark))
-    return docs.join(stored(gone.distinct()), same, "left_anti")
+    return clear.unionByName(rest.join(gone, same, "left_anti"))
