@@ -4,9 +4,11 @@ Of an expression's parts that each match has, the one whose shortest text is lon
 must be in the file. Texts are compared in folded case, so nothing that matches is passed over; an expression without such a part is tried
 on every file.
 
-The index is a table of postings (gram, digest): every three bytes in a row of a file's folded text, a row for each distinct content,
-sorted by gram, so that a lookup reads the row groups of its few grams. Contents that it knows aren't read again. A literal's files are those
-that hold all its grams; a detector's are those of any of its literals.
+The index is a table of blocks. A block is some thousand contents that one task read, numbered from 0, and has a row for each gram (three
+bytes in a row of a folded text) with the numbers of the contents that hold it, and one of gram -1 with all numbers and digests. So a posting
+takes a small number instead of a digest, nothing is shuffled to build the index, and as a task sorts its rows by gram, a lookup reads the
+row groups of its few grams. Contents that it knows aren't read again. A literal's files are those that hold all its grams, found by
+intersecting the lists of each block; a detector's are those of any of its literals.
 
 Defined results: null contents count as empty; contents under three bytes have no grams, and no detector with literals; files that share
 a digest share their postings; an empty table gives an empty index; adding the same files again changes nothing.
@@ -15,6 +17,7 @@ a digest share their postings; an empty table gives an empty index; adding the s
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from itertools import product
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.plans.store import Versions
+from basalt.plans.store import Versions, stored
 
 #: At most so many texts for a part, and characters of a class.
 _MOST, _CLASS = 64, 8
@@ -128,44 +131,92 @@ def may_match(text: Column, pattern: str) -> Column:
     return reduce(Column.__or__, (text.contains(x) for x in literals(pattern)), F.lit(not literals(pattern)))
 
 
+def _grams(text: str) -> np.ndarray:
+    data = np.frombuffer(fold(text).encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+    return np.unique(data[:-2] << 16 | data[1:-1] << 8 | data[2:])
+
+
 def grams(text: str) -> list[int]:
     """Three bytes in a row as a number each, without repeats."""
-    data = np.frombuffer(fold(text).encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
-    return np.unique(data[:-2] << 16 | data[1:-1] << 8 | data[2:]).tolist() if len(data) > 2 else []
+    return _grams(text).tolist()
+
+
+#: A block has at most so many contents, and postings but for its last content. Digests that meet texts by a broadcast of their hashes.
+_CONTENTS, _POSTINGS, _BROADCAST = 16384, 1 << 21, 500_000
+
+
+def of_digests(files: DataFrame, digests: DataFrame) -> DataFrame:
+    """The files whose digest is in a stored table, and perhaps others (whose hash is equal). Up to a bounded number of digests, no text moves."""
+    if digests.limit(_BROADCAST + 1).count() > _BROADCAST:
+        return files.join(digests, "digest", "left_semi")
+    hashes = digests.select(F.xxhash64("digest").alias("__h"))
+    return files.join(F.broadcast(hashes), F.xxhash64(files["digest"]) == F.col("__h"), "left_semi")
+
+
+def _block(digests: list[str], found: list[np.ndarray]) -> pa.RecordBatch:
+    """The rows of a block: found has the grams of each of its contents."""
+    sizes = [len(g) for g in found]
+    keys = np.sort(np.concatenate(found) << 32 | np.repeat(np.arange(len(found), dtype=np.int64), sizes)) if sum(sizes) else np.empty(0, np.int64)
+    all_grams = keys >> 32
+    starts = np.flatnonzero(np.diff(all_grams, prepend=-1))
+    n = len(digests)
+    numbers = np.concatenate([np.arange(n), keys & 0xFFFFFFFF]).astype(np.int32)
+    offsets = np.concatenate([[0], starts + n, [len(numbers)]]).astype(np.int32)
+    columns = [pa.array(np.concatenate([[-1], all_grams[starts]]).astype(np.int32)), pa.array([uuid.uuid4().hex] * (len(starts) + 1)), pa.ListArray.from_arrays(offsets, pa.array(numbers)), pa.array([digests] + [None] * len(starts), pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, ["gram", "block", "numbers", "digests"])
 
 
 class TrigramIndex:
-    """Postings in a folder that all executors share. Each add() writes a version beside the ones before; compact() makes them one."""
+    """Blocks in a folder that all executors share. Each add() writes a version beside the ones before; compact() makes them one."""
+
+    SCHEMA = "gram int, block string, numbers array<int>, digests array<string>"
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.versions = spark, Versions(spark, path, "gram int, digest string")
+        self.spark, self.versions = spark, Versions(spark, path, self.SCHEMA)
 
     def postings(self) -> DataFrame:
-        return self.versions.read()
+        """gram, digest, each once; gram -1 for every content."""
+        rows = self.versions.read().select("gram", "block", F.explode("numbers").alias("number"))
+        return self._named(rows).select("gram", "digest").distinct()
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        """rows (block, number) with their digest."""
+        names = self.versions.read().where("gram = -1").select("block", F.posexplode("digests").alias("number", "digest"))
+        return rows.join(names, ["block", "number"])
 
     def known(self) -> DataFrame:
-        """The digests in the index. Each has a posting of gram -1, whatever its text."""
-        return self.postings().where("gram = -1").select("digest").distinct()
+        """The digests in the index."""
+        return self.versions.read().where("gram = -1").select(F.explode("digests").alias("digest")).distinct()
 
     def _arranged(self, rows: DataFrame) -> DataFrame:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return rows.distinct().repartitionByRange(parts, "gram", "digest").sortWithinPartitions("gram", "digest")
+        return rows.repartitionByRange(parts, "gram", "block").sortWithinPartitions("gram", "block")
 
     def add(self, files: DataFrame) -> DataFrame:
-        """Indexes the files (content, digest) that are new; returns them."""
-        new = files.join(self.known(), "digest", "left_anti")
-        if new.isEmpty():
+        """Indexes the files (content, digest) that are new; returns them. A content that two new files have may be in two blocks."""
+        new = files
+        if self.versions.numbers():
+            digests = stored(files.select("digest").distinct().join(self.known(), "digest", "left_anti"))
+            new = of_digests(files, digests)
+            if digests.isEmpty():
+                return files.join(digests, "digest", "left_semi")
+        elif files.isEmpty():
             return new
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            digests, found, size = [], [], 0
             for batch in batches:
                 for digest, content in zip(*(c.to_pylist() for c in batch.columns)):
-                    found = [-1, *grams(content or "")]
-                    for at in range(0, len(found), 65536):
-                        part = found[at : at + 65536]
-                        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([digest] * len(part))], ["gram", "digest"])
-
-        self.versions.add(self._arranged(new.select("digest", "content").mapInArrow(run, "gram int, digest string")))
+                    digests.append(digest)
+                    found.append(_grams(content or ""))
+                    size += len(found[-1])
+                    if size >= _POSTINGS or len(digests) == _CONTENTS:
+                        yield _block(digests, found)
+                        digests, found, size = [], [], 0
+            if digests:
+                yield _block(digests, found)
+
+        self.versions.add(new.select("digest", "content").mapInArrow(run, self.SCHEMA).sortWithinPartitions("gram", "block"))
         return new
 
     def compact(self) -> None:
@@ -173,10 +224,11 @@ class TrigramIndex:
 
     def candidates(self, patterns: dict[str, str]) -> DataFrame:
         """name, digest: the contents that each of the named expressions may match. An expression without literals has all."""
-        wanted = [(name, n, text, gram, len(grams(text))) for name, p in patterns.items() for n, text in enumerate(literals(p)) for gram in grams(text)]
+        wanted = [(name, n, gram, len(grams(text))) for name, p in patterns.items() for n, text in enumerate(literals(p)) for gram in grams(text)]
         free = [F.lit(name) for name, p in patterns.items() if not literals(p)]
-        postings = self.postings()
-        table = self.spark.createDataFrame(wanted, "name string, n int, text string, gram int, need int")
-        met = postings.where(F.col("gram").isin(sorted({w[3] for w in wanted}))).join(F.broadcast(table), "gram")
-        found = met.groupBy("name", "n", "need", "digest").agg(F.count_distinct("gram").alias("have")).where("have = need").select("name", "digest").distinct()
+        table = self.spark.createDataFrame(wanted, "name string, n int, gram int, need int")
+        met = self.versions.read().where(F.col("gram").isin(sorted({w[2] for w in wanted}))).select("gram", "block", "numbers").join(F.broadcast(table), "gram")
+        whole = met.groupBy("name", "n", "need", "block").agg(F.collect_list("numbers").alias("lists")).where(F.size("lists") == F.col("need"))
+        both = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(1))), F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
+        found = self._named(whole.select("name", "block", F.explode(both).alias("number")).distinct()).select("name", "digest").distinct()
         return found.unionByName(self.known().select(F.explode(F.array(*free)).alias("name"), "digest")) if free else found

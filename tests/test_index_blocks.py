@@ -1,0 +1,35 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from basalt.operators import literals as L
+from basalt.sources.files import files_from_table
+
+
+def test_a_block_has_a_row_for_each_gram():
+    texts = ["abcd", "", "xbcd", "bcdbcd", "ab"]
+    rows = L._block([f"d{n}" for n in range(5)], [L._grams(t) for t in texts]).to_pylist()
+    assert rows[0]["gram"] == -1 and rows[0]["numbers"] == [0, 1, 2, 3, 4] and rows[0]["digests"] == ["d0", "d1", "d2", "d3", "d4"]
+    want = {g: [n for n, t in enumerate(texts) if g in L.grams(t)] for t in texts for g in L.grams(t)}
+    assert {r["gram"]: r["numbers"] for r in rows[1:]} == want and [r["gram"] for r in rows[1:]] == sorted(want)
+    assert len({r["block"] for r in rows}) == 1 and all(r["digests"] is None for r in rows[1:])
+    assert L._block(["d"], [np.empty(0, np.int64)]).to_pylist()[0]["numbers"] == [0]
+
+
+def test_the_index_takes_a_row_for_a_gram_and_block_and_finds_what_brute_force_does(spark, tmp_path):
+    texts = [f"secret number {n} of {n % 7} toKens" for n in range(300)] + ["ghp_", "a ghp b_", "gh", ""]
+    files = files_from_table(spark.createDataFrame(list(enumerate(texts * 2)), "n int, t string"), F.col("n"), F.col("t")).repartition(5).localCheckpoint()
+    index = L.TrigramIndex(spark, str(tmp_path / "index"))
+    index.add(files.where("path < '2'"))
+    index.add(files)
+    every = {g for t in texts for g in L.grams(t)}
+    stored = index.versions.read()
+    assert stored.count() <= 2 * 5 * (len(every) + 1) < index.postings().count()
+    assert stored.groupBy("gram", "block").count().where("count > 1").isEmpty()
+    patterns = {"a": "number 1[0-3]|tokens", "b": "(?i)ghp_", "c": "secret.*of 6", "d": "nothing"}
+    digest = {r["content"]: r["digest"] for r in files.select("content", "digest").distinct().collect()}
+    want = {(name, digest[t]) for name, p in patterns.items() for t in texts if any(set(L.grams(x)) <= set(L.grams(t)) for x in L.literals(p))}
+    for _ in range(2):
+        found = [(r["name"], r["digest"]) for r in index.candidates(patterns).collect()]
+        assert len(found) == len(set(found)) and set(found) == want and {n for n, _ in found} == {"a", "b", "c"}
+        index.compact()
+    assert index.known().count() == len(set(texts))
