@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basalt.functions.text import entropy
-from basalt.operators.literals import TrigramIndex, folded, may_match
+from basalt.operators.literals import TrigramIndex, folded, may_match, of_digests
 from basalt.plans.store import stored
 
 
@@ -78,10 +78,10 @@ def _last_line(text: Column) -> Column:
 
 
 def possible(files: DataFrame, index: TrigramIndex, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
-    """The files (digest) that a detector may match by the index, and those that it doesn't know."""
-    may = stored(index.candidates({d.rule_id: d.pattern for d in detectors}).select("digest").distinct())
-    known = index.known().join(may, "digest", "left_anti")
-    return files.join(known, "digest", "left_anti")
+    """The files (digest) that a detector may match by the index, and those that it doesn't know. Of the others only digests move."""
+    may = index.candidates({d.rule_id: d.pattern for d in detectors}).select("digest").distinct()
+    unknown = files.select("digest").distinct().join(index.known(), "digest", "left_anti")
+    return of_digests(files, stored(may.unionByName(unknown)))
 
 
 def secrets(files: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, index: TrigramIndex | None = None) -> DataFrame:
