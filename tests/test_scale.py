@@ -64,3 +64,21 @@ def test_only_files_with_a_source_and_a_sink_are_followed(spark, monkeypatch):
 
 def test_passes_of_rules_without_their_roles_find_nothing(spark):
     assert scan(table(spark, FILES), Options(rules=[], passes=("patterns", "taint"))).count() == 0
+
+
+def test_nested_patterns_alone_store_no_rows_of_flows(spark, monkeypatch):
+    from basalt import rules as rulepacks
+    from basalt.plans.queries import NESTED_RULES
+
+    kinds = []
+
+    def caught(df):
+        if "kind" in df.columns:
+            kinds.append({r["kind"] for r in df.select("kind").distinct().collect()})
+        return stored(df)
+
+    monkeypatch.setattr(S, "stored", caught)
+    files = {"a.py": "def v(k):\n    send(encode(k), 1, k)\n    s = f(k + k)\n", "b.py": "send(decode(a), 1, key[2], b)\n"}
+    found = scan(table(spark, files), Options(rules=[rulepacks.checked(r) for r in NESTED_RULES], passes=("patterns",)))
+    assert {(r["p"], r["rule_id"]) for r in found.select(F.col("location.path").alias("p"), "rule_id").collect()} == {("a.py", "own.encoded-twice"), ("a.py", "own.doubled"), ("b.py", "own.keyed")}
+    assert len(kinds) == 1 and "expr" in kinds[0] and not kinds[0] & FLOW_KINDS
